@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, sql
+from . import minhash, sql, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
@@ -25,3 +25,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op5_minhash(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=4)
+
+
+@query
+def op10_substring(spark, sf_dir):
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"), window=35)

@@ -16,3 +16,15 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l
 SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id, g.doc_id = c.component_id AS kept
 FROM g JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON g.doc_id = c.a
 """
+
+ORACLE_SQL["op10_substring"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+h AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS x FROM s),
+d AS (SELECT x FROM h GROUP BY x HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM h JOIN d USING (x)),
+g AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: ps IS NULL OR NOT list_contains(ps, z[2])), lambda z: z[1]), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+"""
