@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, sql, substring
+from . import lm, minhash, sql, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
@@ -30,3 +30,12 @@ def op5_minhash(spark, sf_dir):
 @query
 def op10_substring(spark, sf_dir):
     return substring.repeated_passages(_table(spark, sf_dir, "documents"), window=35)
+
+
+def _held_out(modulus: int, rest: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
+
+
+@query
+def op7_lm(spark, sf_dir):
+    return lm.lm_scores(_table(spark, sf_dir, "documents"), _held_out(7, 2))
