@@ -5,10 +5,11 @@ its sketch. Documents with the same shingle set form a class that one document
 stands for. Inverted lists of the retained values give candidate pairs, the sketch of
 the union estimates their resemblance, and the full sets decide.
 
-No list is expanded into all its pairs unless it is short. The members of a long list
-are compared with a few pivots; whoever links joins the pivot's component; lists that
-still hold several components get further pivots, until every pair of members in
-different components has been compared. So components are those of all links.
+No list is expanded into all its pairs unless it is short. Members of long lists are listed
+anew by larger sketches; those still crowded are compared with a few pivots of their list;
+whoever links joins the pivot's component; lists that hold several components get further
+pivots, until every pair of members in different components has been compared. So components
+are those of all links.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from .components import components
 SKETCH = 64
 #: Overlap that a pair at the threshold has in its sketches but for one pair in about 1e8 (binomial, 64 draws at 0.8).
 SURE = SKETCH // 2
+#: The same for members of long lists, with sketches of WIDE values.
+WIDE, SURE_WIDE = 512, 353
 SHORT_LIST = 12
+PEER_ROUNDS = 3
 PIVOTS = 8
 
 
@@ -87,56 +91,104 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = stage(sets.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     nodes = stage(sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", "sketch").join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "n", "sketch").dropDuplicates(["id", "n"]), "nodes")
 
-    links = _links(docs, nodes, size, percent)
-    reached = components(links) if links is not None else None
-    named = classes if reached is None else classes.join(reached.withColumnRenamed("id", "rep"), "rep", "left")
-    named = stage(named.select("s1", "s2", "n_shingles", F.coalesce(F.col("component") if reached is not None else F.lit(None).cast("long"), "rep").alias("component_id")), "named")
+    reached = components(_links(docs, nodes, size, percent)).withColumnRenamed("id", "rep")
+    named = classes.join(reached, "rep", "left")
+    named = stage(named.select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "named")
     out = sets.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Verified links that join every component; None without any candidate."""
+def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links that join every component."""
     share = percent / 100
     # The overlap that a link needs at least, from the side of one node.
     need = F.least(F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)), F.lit(SURE)).cast("int")
     postings = nodes.select("id", "n", F.explode("sketch").alias("v"))
-    frequency = stage(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
-    # Rarest values first, only as many as any partner with the needed overlap must meet.
-    ranked = postings.join(frequency, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
-    width = F.least(F.col("n"), F.lit(SKETCH)).cast("int")
-    room = F.greatest(F.lit(0), F.size("values") - need + 1)
-    lists = stage(ranked.withColumn("values", F.slice("values", F.lit(1), room)).where(width >= need).select("id", "n", F.explode("values").alias("x")).select("id", "n", "x.v", "x.df"), "lists")
-    alive = lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
-    lists = stage(lists.drop("df").join(alive, "v"), "alive")
-    fits = (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
+    lists = stage(_prefixes(postings, need), "narrow")
 
     short = lists.where(F.col("m") <= SHORT_LIST)
-    tried = stage(_pairs_of(short.alias("l").join(short.alias("r"), (F.col("l.v") == F.col("r.v")) & (F.col("l.id") < F.col("r.id")) & fits).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))), "pairs")
-    long = stage(lists.where(F.col("m") > SHORT_LIST).select("v", "id", "n"), "long")
-    ids = tried.select(F.explode(F.array("a", "b")).alias("id")).union(long.select("id")).distinct()
+    tried = stage(_pairs_of(_joined(short, short, percent, F.col("l.id") < F.col("r.id"))), "pairs")
+    crowd = stage(lists.where(F.col("m") > SHORT_LIST).select("id").distinct(), "crowd")
+    ids = tried.select(F.explode(F.array("a", "b")).alias("id")).union(crowd).distinct()
     texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
     full = stage(texts.mapInArrow(_full(size), "id long, full array<long>").join(nodes, "id").where(F.size("full") == F.col("n")), "full")
-
     links = _verified(tried, full, percent)
-    done = None
-    while True:
-        labels = components(links)
+
+    # Members of long lists again, by the whole set or a much larger sketch: what remains listed
+    # then shares nearly everything, not just a passage.
+    wide = full.join(crowd, "id", "left_semi").select("id", "n", F.explode(F.slice("full", 1, WIDE)).alias("v"))
+    whole = F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int")
+    lists = stage(_prefixes(wide, F.when(F.col("n") <= WIDE, whole).otherwise(SURE_WIDE)), "wide")
+    short = lists.where(F.col("m") <= SHORT_LIST)
+    pairs = stage(_pairs_of(_joined(short, short, percent, F.col("l.id") < F.col("r.id"))).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = stage(links.union(_verified(pairs, full, percent)), "links")
+    return _crowded(stage(lists.where(F.col("m") > SHORT_LIST).select("v", "id", "n"), "long"), full, links, percent)
+
+
+def _prefixes(postings: DataFrame, need) -> DataFrame:
+    """``(v, id, n, m)``: of each node its rarest values, as many as any partner with ``need`` common values must meet; m nodes list v."""
+    frequency = stage(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
+    ranked = postings.join(frequency, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
+    lists = stage(ranked.select("id", "n", F.explode(F.slice("values", F.lit(1), F.greatest(F.lit(0), F.size("values") - need + 1))).alias("x")).select("id", "n", "x.v"), "lists")
+    return lists.join(stage(lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "listed"), "v")
+
+
+def _joined(left: DataFrame, right: DataFrame, percent: int, also) -> DataFrame:
+    """Pairs of ids in one list whose sizes admit the threshold."""
+    fits = (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
+    return left.alias("l").join(right.alias("r"), (F.col("l.v") == F.col("r.v")) & fits & also).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
+
+
+def _crowded(long: DataFrame, full: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links until each long list is one component or all its pairs across components are compared.
+
+    Round 0 compares every member with the smallest one. A few rounds then compare members outside
+    a list's largest component with random ones. After that each round takes members outside the
+    largest component and compares them with all others, and so ends.
+    """
+    labels = components(links)
+    tried = done = None
+    k = 0
+    while not long.isEmpty():
         members = long.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         live = members if done is None else members.join(done, ["v", "id"], "left_anti")
         groups = stage(live.groupBy("v", "component").agg(F.count("*").alias("c"), F.min("id").alias("pivot")), "groups")
-        largest = groups.groupBy("v").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("v", "top.component")
-        pivots = groups.join(largest.withColumnRenamed("component", "top"), "v").where("component <> top")
-        pivots = stage(pivots.groupBy("v", F.pmod(F.hash("component"), F.lit(PIVOTS)).alias("lane")).agg(F.min("pivot").alias("pivot")).select("v", F.col("pivot").alias("id")), "pivots")
-        if pivots.isEmpty():
-            return links
-        chosen = pivots.join(members, ["v", "id"]).select("v", "id", "n", "component")
-        pairs = members.alias("l").join(chosen.alias("r"), (F.col("l.v") == F.col("r.v")) & (F.col("l.component") != F.col("r.component")) & fits).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
-        pairs = stage(_pairs_of(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = stage(links.union(_verified(pairs, full, percent)), "links")
-        tried = tried.union(pairs)
-        done = pivots if done is None else stage(done.union(pivots), "done")
+        tops = groups.groupBy("v").agg(F.max(F.struct("c", "component")).alias("top"), F.min("pivot").alias("least"), F.count("*").alias("groups")).where("groups > 1").select("v", F.col("top.component").alias("top"), "least")
+        tops = stage(tops, "tops")
+        if tops.isEmpty():
+            break
+        members = members.join(tops, "v")
+        if k == 0:
+            chosen, others = members.where(F.col("id") == F.col("least")), members
+        elif k <= PEER_ROUNDS:
+            lane = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(PIVOTS))
+            chosen = members.groupBy("v", lane.alias("lane")).agg(F.min(F.struct(F.xxhash64("id", F.lit(k), F.lit(1)).alias("h"), "id", "n", "component")).alias("p")).select("v", "p.id", "p.n", "p.component")
+            others = members.where(F.col("component") != F.col("top"))
+        else:
+            pivots = groups.join(tops, "v").where(F.col("component") != F.col("top")).groupBy("v", F.pmod(F.hash("component"), F.lit(PIVOTS)).alias("lane")).agg(F.min("pivot").alias("id")).select("v", "id")
+            pivots = stage(pivots, "pivots")
+            chosen, others = pivots.join(members, ["v", "id"]), members
+            done = pivots if done is None else stage(done.union(pivots), "done")
+        pairs = _pairs_of(_joined(others.select("v", "id", "n", "component"), chosen.select("v", "id", "n", "component"), percent, F.col("l.component") != F.col("r.component")))
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        new = _verified(pairs, full, percent)
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = _relabelled(labels, new)
+        k += 1
+    return links
+
+
+def _relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels after more links: components of the labels, then of all ids."""
+    name = lambda at: labels.select(F.col("id").alias(at), F.col("component").alias(f"c_{at}"))
+    ends = new.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    ends = ends.select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
+    merged = components(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("id").alias("old"), F.col("component").alias("further"))
+    every = labels.union(ends.select(F.explode(F.array(F.struct("a", "c_a"), F.struct(F.col("b").alias("a"), F.col("c_b").alias("c_a")))).alias("e")).select("e.a", "e.c_a")).distinct()
+    return stage(every.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("further", "component").alias("component")), "labels")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
