@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, minhash, sql, substring
+from . import lm, minhash, sql, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
@@ -39,3 +39,8 @@ def _held_out(modulus: int, rest: int):
 @query
 def op7_lm(spark, sf_dir):
     return lm.lm_scores(_table(spark, sf_dir, "documents"), _held_out(7, 2))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _held_out(3, 1))
