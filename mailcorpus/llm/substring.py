@@ -8,9 +8,10 @@ place), so a window whose run occurs once in the corpus has no equal.
 Suffixes filed under one run form a group that fits in memory; its tree is grown from the
 root, a few words a level, dropping branches with one leaf; nodes at depth ``window`` that
 keep two leaves are the deep internal nodes. A run with more than ``group_limit`` occurrences
-gets a longer prefix instead, the whole window, where a count alone tells how many leaves a
-node has; so no group outgrows memory and none is cut short. Neighbouring repeated windows
-merge into maximal repeats.
+is dealt into parts with a tree each; suffixes that have no equal in their part go on under a
+longer prefix, the whole window, where a count over all parts tells how many leaves a node
+has. So no group outgrows memory and none is cut short. Neighbouring repeated windows merge
+into maximal repeats.
 """
 
 from __future__ import annotations
@@ -61,8 +62,8 @@ def _anchors(window: int, prefix: int):
     return run
 
 
-def _slices(window: int, full_prefix: bool):
-    """The words under each anchor; or with ``full_prefix`` each window's 128-bit hash instead."""
+def _slices(window: int):
+    """The words under each anchor."""
 
     def run(batches):
         for batch in batches:
@@ -71,72 +72,83 @@ def _slices(window: int, full_prefix: bool):
                 words = Words(data, offsets)
                 out = []
                 raw = data.tobytes()
-                if full_prefix:
-                    one, two = gram_hashes(words.hash, window), gram_hashes(mix(words.hash), window)
                 for r in range(lo, hi):
                     base = words.first[r - lo]
-                    for a in sorted({(x["key"], x["lo"], x["hi"]) for x in anchors[r].as_py()}):
-                        at = np.arange(base + a[1], base + a[2] + 1)
-                        if full_prefix:
-                            out += [(int(h), int(g), r, int(s)) for h, g, s in zip(one[at].view(np.int64), two[at].view(np.int64), at - base)]
-                        else:
-                            out.append((a[0], raw[words.start[at[0]] : words.end[at[-1] + window - 1]], r, a[1]))
+                    for key, first, last, part in sorted({(x["key"], x["lo"], x["hi"], x["part"]) for x in anchors[r].as_py()}):
+                        out.append((key, part, raw[words.start[base + first] : words.end[base + last + window - 1]], r, first))
                 if out:
                     c = list(zip(*out))
-                    rows = pa.array(c[2])
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64() if full_prefix else pa.binary()), ids.take(rows), text_ids.take(rows), pa.array(c[3], pa.int32())], ["key", "key2" if full_prefix else "words", "doc_id", "text_id", "lo"])
+                    rows = pa.array(c[3])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), ids.take(rows), text_ids.take(rows), pa.array(c[4], pa.int32())], ["key", "part", "words", "doc_id", "text_id", "lo"])
 
     return run
 
 
-def _deep(key: np.ndarray, words: Words, window: int) -> np.ndarray:
-    """Word positions whose suffix shares ``window`` words with another of its group."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    at = np.flatnonzero(words.row[:n] == words.row[window - 1 :])
-    _, node = np.unique(key[words.row[at]], return_inverse=True)
-    depth = 0
+def _deep(group: np.ndarray, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes of ``window`` words or more; those that share as many with another of their group, and their nodes."""
+    n = max(0, len(words) - window + 1)
+    every = np.flatnonzero(words.row[:n] == words.row[window - 1 :])
+    at, node, depth = every, group[words.row[every]], 0
     while depth < window and len(at):
         step = min(LEVEL, window - depth)
-        edge = gram_hashes(words.hash, step)[at + depth]
-        _, edge = np.unique(edge, return_inverse=True)
+        _, edge = np.unique(gram_hashes(words.hash, step)[at + depth], return_inverse=True)
         _, node, leaves = np.unique(node.astype(np.int64) * (len(at) + 1) + edge, return_inverse=True, return_counts=True)
         keep = leaves[node] > 1
         at, node = at[keep], node[keep]
         depth += step
-    return at
+    return every, at, node
+
+
+FOUND = "doc_id long, text_id long, lo int, hi int, key long, key2 long, leaves int"
 
 
 def _trees(window: int):
-    """Rows sorted by key -> the repeated stretches (first and last start) of each row."""
+    """Rows sorted by group -> the repeated stretches (first and last start) of each row.
+
+    Parts of an overfull group also give, by its hash, each window seen once and each node's
+    leaves (2 stands for more): what is left to compare between parts.
+    """
 
     def grow(rows: list[tuple]):
-        key = np.array([r[0] for r in rows], np.int64)
-        data, offsets = as_bytes(pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()))
-        words = Words(data, offsets)
-        at = _deep(key, words, window)
-        if not len(at):
-            return None
+        key, part, text, doc, text_id, lo = zip(*rows)
+        _, group = np.unique(np.array([key, part], np.int64), axis=1, return_inverse=True)
+        words = Words(*as_bytes(pa.array(text, pa.binary()).cast(pa.string())))
+        every, at, node = _deep(group.reshape(-1), words, window)
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (words.row[at[1:]] != words.row[at[:-1]])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
-        row = words.row[at[first]]
-        shift = np.array([r[4] for r in rows], np.int64)[row] - words.first[row]
-        return pa.RecordBatch.from_arrays([pa.array([rows[r][2] for r in row], pa.int64()), pa.array([rows[r][3] for r in row], pa.int64()), pa.array((at[first] + shift).astype(np.int32)), pa.array((at[last] + shift).astype(np.int32))], ["doc_id", "text_id", "lo", "hi"])
+        over = np.array(part, np.int64) >= 0
+        single = np.setdiff1d(every, at, assume_unique=True)
+        single = single[over[words.row[single]]]
+        _, one = np.unique(node, return_index=True)
+        one = at[one][over[words.row[at[one]]]] if len(at) else at
+        loose = np.concatenate([single, one])
+        begin = np.concatenate([at[first], loose]) if len(at) else loose
+        if not len(begin):
+            return None
+        end = np.concatenate([at[last], loose]) if len(at) else loose
+        row = words.row[begin]
+        shift = np.array(lo, np.int64)[row] - words.first[row]
+        bare = np.arange(len(begin)) < len(begin) - len(loose)
+        h1, h2 = (gram_hashes(h, window)[begin].view(np.int64) for h in (words.hash, mix(words.hash)))
+        leaves = np.where(np.arange(len(begin)) < len(begin) - len(one), 1, 2)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([doc[r] for r in row], pa.int64()), pa.array([text_id[r] for r in row], pa.int64()), pa.array((begin + shift).astype(np.int32)), pa.array((end + shift).astype(np.int32)), pa.array(h1, mask=bare), pa.array(h2, mask=bare), pa.array(leaves.astype(np.int32), mask=bare)],
+            ["doc_id", "text_id", "lo", "hi", "key", "key2", "leaves"],
+        )
 
     def run(batches):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "words", "doc_id", "text_id", "lo"))):
-                if held and size > TREE_BYTES and row[0] != held[-1][0]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "words", "doc_id", "text_id", "lo"))):
+                if held and size > TREE_BYTES and row[:2] != held[-1][:2]:
                     if (out := grow(held)) is not None:
                         yield out
                     held, size = [], 0
                 held.append(row)
-                size += len(row[1])
+                size += len(row[2])
         if held and (out := grow(held)) is not None:
             yield out
 
@@ -179,18 +191,22 @@ def repeated_passages(docs: DataFrame, window: int = 35, prefix: int = 12, group
     docs = docs.select(ids.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("doc_id", "text"))
     anchors = stage(docs.mapInArrow(_anchors(window, prefix), "key long, doc_id long, text_id long, lo int, hi int"), "anchors")
     counts = stage(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    # A row of each document that may repeat something: where its runs lie, apart for overfull runs.
-    mine = anchors.join(counts, "key").select("text_id", F.struct("key", "lo", "hi").alias("a"), (F.col("n") > group_limit).alias("over"))
-    mine = mine.groupBy("text_id").agg(F.collect_list(F.when(~F.col("over"), F.col("a"))).alias("anchors"), F.collect_list(F.when(F.col("over"), F.col("a"))).alias("over"))
+    # A row of each document that may repeat something: where its runs lie, dealt into parts where a run is overfull.
+    parts = F.ceil(F.col("n") / group_limit)
+    part = F.when(parts > 1, F.pmod(F.col("text_id"), parts)).otherwise(-1).cast("int")
+    mine = anchors.join(counts, "key").select("text_id", F.struct("key", "lo", "hi", part.alias("part")).alias("a"))
+    mine = mine.groupBy("text_id").agg(F.collect_list("a").alias("anchors"))
     joined = stage(docs.join(mine, "text_id", "left"), "joined")
     plain, some = joined.where("anchors IS NULL"), joined.where("anchors IS NOT NULL")
 
-    slices = some.where(F.size("anchors") > 0).select("doc_id", "text_id", "text", "anchors").mapInArrow(_slices(window, False), "key long, words binary, doc_id long, text_id long, lo int")
-    trees = slices.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), "doc_id long, text_id long, lo int, hi int")
-    deep = stage(some.where(F.size("over") > 0).select("doc_id", "text_id", "text", F.col("over").alias("anchors")).mapInArrow(_slices(window, True), "key long, key2 long, doc_id long, text_id long, lo int"), "deep")
-    nodes = stage(deep.groupBy("key", "key2").agg(F.count("*").alias("leaves")).where("leaves > 1").select("key", "key2"), "nodes")
-    leaves = deep.join(nodes, ["key", "key2"]).select("doc_id", "text_id", "lo", F.col("lo").alias("hi"))
-    found = trees.union(leaves).groupBy("text_id").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    slices = some.mapInArrow(_slices(window), "key long, part int, words binary, doc_id long, text_id long, lo int")
+    trees = stage(slices.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_trees(window), FOUND), "trees")
+    loose = trees.where("key IS NOT NULL")
+    # Windows that parts have once each: repeats only between parts.
+    nodes = stage(loose.groupBy("key", "key2").agg(F.sum("leaves").alias("all"), F.min("leaves").alias("least")).where("all > 1 AND least = 1").select("key", "key2"), "nodes")
+    across = loose.where("leaves = 1").join(nodes, ["key", "key2"])
+    found = trees.where("key IS NULL").select("text_id", "lo", "hi").union(across.select("text_id", "lo", "hi"))
+    found = found.groupBy("text_id").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     cut = some.select("doc_id", "text_id", "text").join(found, "text_id", "left").select("doc_id", "text", "found")
     none = plain.select("doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
