@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, minhash, sql, substring, toxicity
+from . import chat, html, lm, minhash, sql, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
@@ -44,3 +44,13 @@ def op7_lm(spark, sf_dir):
 @query
 def op1_toxicity(spark, sf_dir):
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _held_out(3, 1))
+
+
+@query
+def op8_chat(spark, sf_dir):
+    return chat.chat_digests(chat.with_control_strings(_table(spark, sf_dir, "conversations")))
+
+
+@query
+def op9_html(spark, sf_dir):
+    return html.main_text(_table(spark, sf_dir, "pages"))
