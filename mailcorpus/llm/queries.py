@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, lm, minhash, sql, substring, toxicity
+from . import ann, chat, html, lm, minhash, sql, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
@@ -54,3 +54,8 @@ def op8_chat(spark, sf_dir):
 @query
 def op9_html(spark, sf_dir):
     return html.main_text(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_ann(spark, sf_dir):
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
