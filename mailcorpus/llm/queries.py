@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, html, lm, minhash, sql, substring, toxicity
+from . import ann, chat, html, lm, minhash, pii, sql, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
@@ -59,3 +59,8 @@ def op9_html(spark, sf_dir):
 @query
 def op4_ann(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op3_pii(spark, sf_dir):
+    return pii.pii_spans(_table(spark, sf_dir, "documents"))
