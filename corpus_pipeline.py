@@ -1,29 +1,66 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailcorpus.llm import minhash
+from mailcorpus.llm import decontaminate, minhash, mixing, pii, toxicity
 
+#: Stages give back exactly these columns of ``documents``.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-def _columns(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(kept, "doc_id", "left_semi")
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go. A null doc_id is judged with its repeats."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    rejected = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out).where("predicted = 1").select("doc_id").distinct()
+    return _without(docs, rejected)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    found = minhash.near_duplicates(docs)
-    return _columns(docs, found.where("kept"))
+    """One document of each near-duplicate group stays, and one row of each repeated document."""
+    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return _without(docs, gone).dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.contaminated(docs, benchmark).select("doc_id").distinct())
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind; n_chars follows."""
+    return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled to the target weights, with their weight and probability."""
+    chosen = mixing.mixture(docs).where("kept").select("doc_id", "tokens", "topic", "weight", "probability").dropDuplicates(["doc_id"])
+    return docs.select(*COLUMNS).join(chosen, "doc_id")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii", personal_data),
+    ("mixing", target_mix),
+]
+#: Trained classifiers, sketches and sampling have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each written to the shared folder and read again."""
+    from mailcorpus.llm._stage import stage as written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = written(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

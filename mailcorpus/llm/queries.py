@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, html, lm, minhash, pii, sql, substring, toxicity
+from . import ann, chat, decontaminate, html, lm, minhash, mixing, pii, sql, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
@@ -64,3 +64,13 @@ def op4_ann(spark, sf_dir):
 @query
 def op3_pii(spark, sf_dir):
     return pii.pii_spans(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_mixing(spark, sf_dir):
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
