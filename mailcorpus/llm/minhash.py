@@ -7,9 +7,9 @@ the union estimates their resemblance, and the full sets decide.
 
 No list is expanded into all its pairs unless it is short. Members of long lists are listed
 anew by larger sketches; those still crowded are compared with a few pivots of their list;
-whoever links joins the pivot's component; lists that hold several components get further
-pivots, until every pair of members in different components has been compared. So components
-are those of all links.
+whoever links joins the pivot's component; who does not link after a few rounds is compared
+with all members of other components that could reach the threshold by their counts of common
+values. So components are those of all links.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ SURE = SKETCH // 2
 #: The same for members of long lists, with sketches of WIDE values.
 WIDE, SURE_WIDE = 512, 353
 SHORT_LIST = 12
-PEER_ROUNDS = 3
-PIVOTS = 8
+#: Members that each of the first rounds compares the others of a long list with.
+ROUNDS = (1, 4, 8)
 
 
 def _sets(words: Words, rows: int, size: int):
@@ -105,10 +105,10 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     # The overlap that a link needs at least, from the side of one node.
     need = F.least(F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)), F.lit(SURE)).cast("int")
     postings = nodes.select("id", "n", F.explode("sketch").alias("v"))
-    lists = stage(_prefixes(postings, need), "narrow")
+    lists = stage(_prefixes(postings, need, SKETCH), "narrow")
 
     short = lists.where(F.col("m") <= SHORT_LIST)
-    tried = stage(_pairs_of(_joined(short, short, percent, F.col("l.id") < F.col("r.id"))), "pairs")
+    tried = stage(_pairs_of(_joined(short, short, percent, SKETCH, F.col("l.id") < F.col("r.id"))), "pairs")
     crowd = stage(lists.where(F.col("m") > SHORT_LIST).select("id").distinct(), "crowd")
     ids = tried.select(F.explode(F.array("a", "b")).alias("id")).union(crowd).distinct()
     texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
@@ -119,65 +119,65 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     # then shares nearly everything, not just a passage.
     wide = full.join(crowd, "id", "left_semi").select("id", "n", F.explode(F.slice("full", 1, WIDE)).alias("v"))
     whole = F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int")
-    lists = stage(_prefixes(wide, F.when(F.col("n") <= WIDE, whole).otherwise(SURE_WIDE)), "wide")
+    lists = stage(_prefixes(wide, F.when(F.col("n") <= WIDE, whole).otherwise(SURE_WIDE), WIDE), "wide")
     short = lists.where(F.col("m") <= SHORT_LIST)
-    pairs = stage(_pairs_of(_joined(short, short, percent, F.col("l.id") < F.col("r.id"))).join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = stage(_pairs_of(_joined(short, short, percent, WIDE, F.col("l.id") < F.col("r.id"))).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = stage(links.union(_verified(pairs, full, percent)), "links")
-    return _crowded(stage(lists.where(F.col("m") > SHORT_LIST).select("v", "id", "n"), "long"), full, links, percent)
+    return _crowded(stage(lists.where(F.col("m") > SHORT_LIST).drop("m"), "long"), full, links, percent)
 
 
-def _prefixes(postings: DataFrame, need) -> DataFrame:
-    """``(v, id, n, m)``: of each node its rarest values, as many as any partner with ``need`` common values must meet; m nodes list v."""
+def _prefixes(postings: DataFrame, need, sketch: int) -> DataFrame:
+    """``(v, id, n, common, rare, m)``: the lists of values, as short as they can be.
+
+    Of each node its rarest values, as many as any partner with ``need`` common values must meet.
+    ``common`` of the node's values occur elsewhere, ``rare`` do not; m nodes list v.
+    """
     frequency = stage(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
     ranked = postings.join(frequency, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
-    lists = stage(ranked.select("id", "n", F.explode(F.slice("values", F.lit(1), F.greatest(F.lit(0), F.size("values") - need + 1))).alias("x")).select("id", "n", "x.v"), "lists")
+    room = F.greatest(F.lit(0), F.size("values") - need + 1)
+    common = F.size("values").alias("common")
+    lists = stage(ranked.select("id", "n", common, (F.least("n", F.lit(sketch)) - F.size("values")).cast("int").alias("rare"), F.explode(F.slice("values", F.lit(1), room)).alias("x")).select("id", "n", "common", "rare", "x.v"), "lists")
     return lists.join(stage(lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "listed"), "v")
 
 
-def _joined(left: DataFrame, right: DataFrame, percent: int, also) -> DataFrame:
-    """Pairs of ids in one list whose sizes admit the threshold."""
+def _joined(left: DataFrame, right: DataFrame, percent: int, sketch: int, also) -> DataFrame:
+    """Pairs of ids in one list that can reach the threshold by their sizes and common values."""
+    n, most = F.col("l.n") + F.col("r.n"), F.least("l.common", "r.common")
     fits = (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
+    fits &= (F.greatest("l.n", "r.n") > sketch) | (most * 100 >= (n - most) * percent)
     return left.alias("l").join(right.alias("r"), (F.col("l.v") == F.col("r.v")) & fits & also).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
 
 
 def _crowded(long: DataFrame, full: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links until each long list is one component or all its pairs across components are compared.
 
-    Round 0 compares every member with the smallest one. A few rounds then compare members outside
-    a list's largest component with random ones. After that each round takes members outside the
-    largest component and compares them with all others, and so ends.
+    First rounds compare members outside a list's largest component with those members that have
+    the fewest values of their own, nearest to what all share. The last round compares who is left
+    with every member of another component.
     """
     labels = components(links)
-    tried = done = None
-    k = 0
-    while not long.isEmpty():
+    tried = None
+    for lanes in (*ROUNDS, 0):
         members = long.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        live = members if done is None else members.join(done, ["v", "id"], "left_anti")
-        groups = stage(live.groupBy("v", "component").agg(F.count("*").alias("c"), F.min("id").alias("pivot")), "groups")
-        tops = groups.groupBy("v").agg(F.max(F.struct("c", "component")).alias("top"), F.min("pivot").alias("least"), F.count("*").alias("groups")).where("groups > 1").select("v", F.col("top.component").alias("top"), "least")
-        tops = stage(tops, "tops")
-        if tops.isEmpty():
+        groups = members.groupBy("v", "component").agg(F.count("*").alias("c"))
+        tops = groups.groupBy("v").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("v", F.col("top.component").alias("top"))
+        members = stage(members.join(stage(tops, "tops"), "v"), "members")
+        long = members.drop("component", "top")
+        if members.isEmpty():
             break
-        members = members.join(tops, "v")
-        if k == 0:
-            chosen, others = members.where(F.col("id") == F.col("least")), members
-        elif k <= PEER_ROUNDS:
-            lane = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(PIVOTS))
-            chosen = members.groupBy("v", lane.alias("lane")).agg(F.min(F.struct(F.xxhash64("id", F.lit(k), F.lit(1)).alias("h"), "id", "n", "component")).alias("p")).select("v", "p.id", "p.n", "p.component")
-            others = members.where(F.col("component") != F.col("top"))
+        if lanes:
+            lane = F.pmod(F.xxhash64("id"), F.lit(lanes))
+            chosen = members.groupBy("v", lane.alias("lane")).agg(F.min(F.struct("rare", "id", "n", "common", "component")).alias("p")).select("v", "p.*")
         else:
-            pivots = groups.join(tops, "v").where(F.col("component") != F.col("top")).groupBy("v", F.pmod(F.hash("component"), F.lit(PIVOTS)).alias("lane")).agg(F.min("pivot").alias("id")).select("v", "id")
-            pivots = stage(pivots, "pivots")
-            chosen, others = pivots.join(members, ["v", "id"]), members
-            done = pivots if done is None else stage(done.union(pivots), "done")
-        pairs = _pairs_of(_joined(others.select("v", "id", "n", "component"), chosen.select("v", "id", "n", "component"), percent, F.col("l.component") != F.col("r.component")))
+            chosen = members
+        outside = members.where(F.col("component") != F.col("top"))
+        pairs = _pairs_of(_joined(outside, chosen, percent, WIDE, F.col("l.component") != F.col("r.component")))
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = _verified(pairs, full, percent)
-        if not new.isEmpty():
-            links = links.union(new)
+        links = links.union(new)
+        if lanes and not new.isEmpty():
             labels = _relabelled(labels, new)
-        k += 1
     return links
 
 
