@@ -155,7 +155,7 @@ def _rounds(passages: int, steps: int) -> int:
 
 def _margins(model, sample: _Sample, at: np.ndarray) -> np.ndarray:
     """log P(toxic) - log P(clean) of some passages."""
-    parts = [_forward(model, sample.batch(at[lo : lo + 2048]))[1] for lo in range(0, len(at), 2048)]
+    parts = [_forward(model, sample.batch(at[lo : lo + 512]))[1] for lo in range(0, len(at), 512)]
     logits = np.concatenate(parts) if parts else np.zeros((0, 2))
     return logits[:, 1] - logits[:, 0]
 
@@ -239,7 +239,7 @@ def _score(shared):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, sample: int = 2500, sample_bytes: int = 12_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, sample: int = 1200, sample_bytes: int = 8_000) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, held_out, score, predicted)``, a row for each row.
 
     ``labels(doc_id, toxic)`` teach where ``held_out`` is false; null labels, ids without a
