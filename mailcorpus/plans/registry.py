@@ -2,5 +2,630 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from mailcorpus.functions import columns as C
+from mailcorpus.functions import fixed as X
+from mailcorpus.operators import checks, domains, headers, rules, search, summaries, tags
+from mailcorpus.sources import mail
+
+from . import fixtures as V
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+_VIEWS = {"m": V.M, "hops": V.HOPS, "auth": V.AUTH, "tagged": V.TAGS, "html": V.HTML}
+
+
+def query(sql: str | None, *views: str):
+    """Register a query and its SQL; ``views`` become CTEs of the SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ctes = ", ".join(f"{v} AS ({_VIEWS[v]})" for v in views)
+            ORACLE_SQL[f.__name__] = (f"WITH {ctes} " if ctes else "") + sql
+        return f
+
+    return put
+
+
+def _quoted(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+# Sources ------------------------------------------------------------------------------------------
+@query("SELECT path FROM m WHERE path LIKE '%.eml'", "m")
+def mail_files(spark, d):
+    return mail.mail_files(V.messages(spark, d)).select("path")
+
+
+@query("SELECT path FROM m WHERE path NOT LIKE '%.txt'", "m")
+def mail_files_all(spark, d):
+    return mail.mail_files(V.messages(spark, d), "all").select("path")
+
+
+@query("SELECT path FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN '.deleted/' ELSE '' END || path AS path FROM m) WHERE path NOT LIKE '.deleted/%'", "m")
+def drop_reserved(spark, d):
+    m = V.messages(spark, d)
+    return mail.drop_reserved(m.select(F.concat(F.when(m.doc_id % 9 == 0, ".deleted/").otherwise(""), "path").alias("path")))
+
+
+@query("SELECT path, 'too large' AS reason FROM m WHERE size > 5000", "m")
+def rejects(spark, d):
+    return mail.rejects(mail.split_oversize(V.messages(spark, d), "size", 5000))
+
+
+@query("SELECT path, 'added' AS change FROM m WHERE doc_id % 5 = 0 UNION ALL SELECT path, 'vanished' FROM m WHERE doc_id % 7 = 0 AND doc_id % 5 <> 0", "m")
+def rescan(spark, d):
+    m = V.messages(spark, d)
+    old, new = m.where((F.col("doc_id") % 5 != 0)), m.where((F.col("doc_id") % 7 != 0) | (F.col("doc_id") % 5 == 0))
+    return mail.rescan(old, new)
+
+
+@query("SELECT path, CAST(least(200, len(regexp_extract_all(lower(body), 'the'))) AS INTEGER) AS matches FROM m WHERE lower(body) LIKE '%the%'", "m")
+def raw_scan(spark, d):
+    return mail.raw_scan(V.messages(spark, d).select("path", F.encode("body", "UTF-8").alias("content")), "the")
+
+
+@query("SELECT path, CAST(instr(lower(body), 'wire') - 1 AS INTEGER) AS offset, CAST(1 + length(left(body, CAST(instr(lower(body), 'wire') - 1 AS INTEGER))) - length(replace(left(body, CAST(instr(lower(body), 'wire') - 1 AS INTEGER)), chr(10), '')) AS INTEGER) AS line FROM m WHERE lower(body) LIKE '%wire%'", "m")
+def raw_hits(spark, d):
+    return mail.raw_hits(V.messages(spark, d).select("path", F.col("body").alias("text")), "wire").select("path", "offset", "line")
+
+
+# Derived columns ----------------------------------------------------------------------------------
+@query("SELECT path, lower(split_part('U@' || upper(from_domain), '@', 2)) AS host FROM m", "m")
+def address_domain(spark, d):
+    return V.messages(spark, d).select("path", C.domain(F.concat(F.lit("U@"), F.upper("from_domain"))).alias("host"))
+
+
+@query("SELECT path, length(body) AS n, body LIKE '%' || chr(8203) || '%' AS hidden FROM m", "m")
+def strip_invisible(spark, d):
+    text = C.strip_invisible(F.concat("body", F.lit("​")))
+    return V.messages(spark, d).select("path", F.length(text).cast("long").alias("n"), text.contains("​").alias("hidden"))
+
+
+_LINKS = "CASE WHEN doc_id % 11 = 5 THEN 'http://bit.ly/x1;www.shop.co.uk/a?b=1' ELSE '' END"
+
+
+@query(f"SELECT path, {_LINKS} AS urls, replace(replace({_LINKS}, '.', '[.]'), 'http:', 'hxxp:') AS defanged, CASE WHEN doc_id % 11 = 5 THEN 'bit.ly;www.shop.co.uk' ELSE '' END AS hosts FROM m", "m")
+def link_columns(spark, d):
+    f = V.facts(spark, d)
+    return f.select("path", F.array_join("urls", ";").alias("urls"), F.array_join(F.transform("urls", C.defanged), ";").alias("defanged"), F.array_join("url_domains", ";").alias("hosts"))
+
+
+@query("SELECT path, CAST(least(5000, len(list_distinct(regexp_extract_all(lower(body), '[a-z0-9][a-z0-9._@-]*[a-z0-9]')))) AS INTEGER) AS n_tokens FROM m", "m")
+def token_counts(spark, d):
+    return V.messages(spark, d).select("path", F.size(C.tokens(F.col("body"))).alias("n_tokens"))
+
+
+@query("""SELECT path, CAST(CASE WHEN att_list IS NULL THEN 0 ELSE len(string_split(att_list, ';')) END AS INTEGER) AS n,
+  coalesce(array_to_string(list_transform(string_split(lower(att_list), ';'), lambda x: CASE WHEN contains(x, '.') THEN '.' || list_extract(string_split(x, '.'), -1) ELSE '(none)' END), ';'), '') AS exts,
+  coalesce(att_list LIKE '%.pdf.exe%', false) AS dual FROM m""", "m")
+def attachment_columns(spark, d):
+    f = V.facts(spark, d)
+    return f.select("path", F.col("attachment_count").alias("n"), F.array_join("att_exts", ";").alias("exts"), F.coalesce(F.exists("att_names", C.dual_extension), F.lit(False)).alias("dual"))
+
+
+@query("SELECT path, CAST(len(list_distinct(string_split(lower(recipients), ';'))) AS INTEGER) AS recipient_count FROM m", "m")
+def recipient_count(spark, d):
+    return V.messages(spark, d).select("path", "recipient_count")
+
+
+_ORG = "CASE WHEN {0} LIKE '%.co.uk' THEN regexp_extract({0}, '[^.]+[.][^.]+[.][^.]+$') ELSE regexp_extract({0}, '[^.]+[.][^.]+$') END"
+
+
+@query(f"SELECT path, {_ORG.format('from_domain')} AS org, coalesce({_ORG.format('from_domain')} = {_ORG.format('reply_domain')}, false) AS aligned, from_domain LIKE 'xn--%' AS punycode FROM m", "m")
+def organisations(spark, d):
+    a, b = F.col("from_domain"), F.col("reply_domain")
+    return V.messages(spark, d).select("path", C.registrable_domain(a).alias("org"), C.aligned(a, b).alias("aligned"), C.is_punycode(a).alias("punycode"))
+
+
+_URGENCY = " + ".join(f"CAST(contains(lower(left(body, 20000)), '{k}') AS INTEGER)" for k in X.URGENCY)
+_IBAN = r"regexp_matches(left(body, 20000), '\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b')"
+
+
+@query(f"SELECT path, {_URGENCY} AS urgency, CASE WHEN {_IBAN} THEN 'iban' ELSE '' END AS financial FROM m", "m")
+def urgency_and_money(spark, d):
+    return V.facts(spark, d).select("path", F.col("urgency_score").alias("urgency"), F.array_join("financial", ";").alias("financial"))
+
+
+@query("SELECT path, from_name = 'PayPal Support' AND from_domain <> 'paypal.com' AS mismatch FROM m", "m")
+def brand_mismatch(spark, d):
+    return V.messages(spark, d).select("path", C.brand_mismatch(F.col("from_name"), F.col("from_domain")).alias("mismatch"))
+
+
+@query("""SELECT path, CAST(0 AS INTEGER) AS hidden, round((SELECT -sum(n / t * log2(n / t)) FROM (SELECT count(*)::DOUBLE AS n, length(subject)::DOUBLE AS t FROM unnest(string_split(subject, '')) u(c) WHERE c <> '' GROUP BY c)), 6) AS entropy FROM m""", "m")
+def subject_entropy(spark, d):
+    return V.messages(spark, d).select("path", C.hidden_unicode_count(F.col("subject")).alias("hidden"), F.round(C.shannon_entropy(F.col("subject")), 6).alias("entropy"))
+
+
+@query("SELECT path, 'latin' AS scripts, CAST(doc_id % 6 = 4 AS INTEGER) AS mixed FROM m", "m")
+def subject_scripts(spark, d):
+    return V.messages(spark, d).select("path", F.array_join(C.script_profile(F.col("subject")), ";").alias("scripts"), C.mixed_script_words(F.col("subject")).alias("mixed"))
+
+
+@query("SELECT path, CAST(CASE WHEN regexp_matches(html, 'style=\"(display:none|color:#fff;background:#fff)\"') THEN 1 ELSE 0 END AS INTEGER) AS hidden, CASE WHEN html LIKE '%http://track.example/p.gif%' THEN 'http://track.example/p.gif' ELSE '' END AS remote FROM html", "html")
+def page_signals(spark, d):
+    return V.pages(spark, d).select("path", C.hidden_css_blocks(F.col("html")).alias("hidden"), F.array_join(C.remote_resources(F.col("html")), ";").alias("remote"))
+
+
+@query("""SELECT path, trim(regexp_replace(regexp_extract(a, '(?s)^<a\\s[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g')) AS text, regexp_extract(a, 'href="([^"]*)"', 1) AS href, a LIKE '%evil.example%' AS mismatch
+FROM (SELECT path, unnest(regexp_extract_all(html, '(?s)<a\\s[^>]*>.*?</a>')) AS a FROM html)""", "html")
+def page_links(spark, d):
+    return V.pages(spark, d).select("path", F.explode(C.links(F.col("html"))).alias("l")).select("path", "l.text", "l.href", "l.mismatch")
+
+
+@query("SELECT path, CAST(CASE WHEN html LIKE '%evil.example%' THEN 1 ELSE 0 END AS INTEGER) AS mismatches FROM html", "html")
+def link_mismatch_counts(spark, d):
+    return V.pages(spark, d).select("path", F.size(F.filter(C.links(F.col("html")), lambda x: x["mismatch"])).alias("mismatches"))
+
+
+_TEXT = "html"
+for _t in ("script", "style", "head", "title"):
+    _TEXT = f"regexp_replace({_TEXT}, '(?is)<{_t}\\b.*?</{_t}\\s*>', ' ', 'g')"
+_TEXT = f"regexp_replace({_TEXT}, '(?i)<br\\s*/?>|</(?:p|div|tr|li|h[1-6]|table|blockquote)\\s*>', chr(10), 'g')"
+_TEXT = f"regexp_replace({_TEXT}, '(?s)<[^>]*>', '', 'g')"
+for _n, _c in (("nbsp", "' '"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("#39", "chr(39)"), ("copy", "chr(169)"), ("middot", "chr(183)"), ("amp", "'&'")):
+    _TEXT = f"replace({_TEXT}, '&{_n};', {_c})"
+_TEXT = f"trim(regexp_replace(regexp_replace({_TEXT}, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'))"
+
+
+@query(f"SELECT path, {_TEXT} AS text FROM html", "html")
+def page_text(spark, d):
+    return V.pages(spark, d).select("path", C.html_to_text(F.col("html")).alias("text"))
+
+
+@query("SELECT path, idx, from_ip LIKE '10.%' OR from_ip LIKE '192.168.%' AS private FROM hops", "hops")
+def private_addresses(spark, d):
+    return V.hops(spark, d).select("path", "idx", C.is_private_ip(F.col("from_ip")).alias("private"))
+
+
+@query("SELECT path, CAST(CASE doc_id % 11 WHEN 5 THEN 2 ELSE 0 END AS INTEGER) AS n FROM m", "m")
+def domain_tokens(spark, d):
+    tail = F.substring_index(F.concat(F.lit(" see "), F.substring_index("body", " see ", -1)), " see ", -1)
+    return V.messages(spark, d).select("path", F.when(F.col("body").contains(" see http"), F.size(C.domain_tokens(tail))).otherwise(0).alias("n"))
+
+
+# Search -------------------------------------------------------------------------------------------
+def _search(name: str, build: Callable, condition: str) -> None:
+    """Paths that a predicate finds, and the same in SQL."""
+
+    def run(spark, d):
+        s = search.Search(V.facts(spark, d))
+        return s.where(build(s)).select("path")
+
+    run.__name__ = name
+    query(f"SELECT path FROM m WHERE {condition}", "m")(run)
+
+
+_search("search_term", lambda s: s.term("wire"), "contains(lower(body), 'wire')")
+_search("search_term_any_field", lambda s: s.term("paypal"), "contains(lower(subject || ' ' || from_name || ' ' || from_domain || ' ' || body), 'paypal')")
+_search("search_phrase", lambda s: s.phrase("wire transfer"), "contains(lower(body), 'wire transfer')")
+_search("search_field", lambda s: s.field_contains("subject", "INVOICE"), "contains(lower(subject), 'invoice')")
+_search("search_field_regex", lambda s: s.field_regex("subject", r"order \d5$"), r"regexp_matches(subject, '(?i)order \d5$')")
+_search("search_attachment_regex", lambda s: s.field_regex("attachment", r"^a\."), r"regexp_matches(att_list, '(^|;)a\.')")
+_search("search_any_regex", lambda s: s.any_regex(r"^paypal|exe$"), r"regexp_matches(from_name, '(?i)^paypal') OR coalesce(regexp_matches(att_list, '(?i)exe(;|$)'), false)")
+_search("search_number", lambda s: s.num("size", ">=", "2kb") & s.num("attachment.count", ">", 1), "size >= 2048 AND coalesce(len(string_split(att_list, ';')), 0) > 1")
+_search("search_urgency", lambda s: s.num("urgency", ">=", 2), f"({_URGENCY}) >= 2")
+_search("search_extension", lambda s: s.att_ext("pdf") | s.att_ext("(none)"), "att_list IN ('a.pdf;b.pdf', 'README;a.iso')")
+_search("search_script", lambda s: s.script("subject", "latin") & ~s.script("subject", "greek"), "true")
+_search("search_domain", lambda s: s.meta_contains("from_domain", "SHOP"), "contains(from_domain, 'shop')")
+_search("search_url_domain", lambda s: s.meta_contains("url_domains", "bit.ly"), "doc_id % 11 = 5")
+_search("search_financial", lambda s: s.meta_contains("financial", "iban"), _IBAN)
+_search("search_auth", lambda s: s.auth("spf", "missing") | s.auth("dkim", "FAIL"), "spf IS NULL OR dkim = 'fail'")
+_search("search_match_case", lambda s: s.match_case(s.term("paypal"), "PayPal"), "contains(from_name, 'PayPal')")
+_search("search_paths", lambda s: s.paths("box1/*, box2/m?.eml", "*5.eml"), r"(regexp_matches(path, 'box1/.*') OR regexp_matches(path, 'box2/m.\.eml')) AND NOT regexp_matches(path, '.*5\.eml')")
+_search("search_same_as", lambda s: s.same_as("subject", ["Team lunch", 'Your "order"']), "contains(subject, 'Team lunch') OR (contains(subject, 'Your') AND contains(subject, 'order'))")
+_search("search_and_or_not", lambda s: (s.term("wire") | s.field_contains("subject", "lunch")) & ~s.auth("spf", "fail"), "(contains(lower(body), 'wire') OR contains(subject, 'lunch')) AND coalesce(spf <> 'fail', true)")
+_search("search_bad_leaf", lambda s: ~s.term("x") & s.field_contains("from", "amazom"), "from_domain = 'amazom.com'")
+
+
+@query("SELECT path FROM m WHERE email_id IN (SELECT email_id FROM tagged WHERE tag = 'toxic') OR subject LIKE '%lunch%'", "m", "tagged")
+def search_tag(spark, d):
+    s = search.Search(search.with_tags(V.facts(spark, d), V.tags(spark, d)))
+    return s.where(s.tag("toxic") | s.field_contains("subject", "lunch")).select("path")
+
+
+@query(f"""SELECT path, CAST(score AS INTEGER) AS score, fields, count(*) OVER () AS total FROM (SELECT path, date_ms,
+  CASE WHEN contains(lower(body), 'wire') THEN 1 ELSE 0 END + CASE WHEN contains(lower(subject), 'invoice') THEN 6 ELSE 0 END AS score,
+  concat_ws(';', CASE WHEN contains(lower(body), 'wire') THEN 'body' END, CASE WHEN contains(lower(subject), 'invoice') THEN 'subject' END) AS fields
+  FROM m WHERE (contains(lower(body), 'wire') OR contains(lower(subject), 'invoice')) AND ({_URGENCY}) >= 1) ORDER BY score DESC, date_ms DESC, path LIMIT 500""", "m")
+def search_ranked(spark, d):
+    s = search.Search(V.facts(spark, d))
+    best = s.ranked((s.field_contains("body", "wire") | s.field_contains("subject", "invoice")) & s.num("urgency", ">=", 1))
+    return best.select("path", "score", F.array_join("matched_fields", ";").alias("fields"), "total")
+
+
+@query("SELECT count(*) AS checked, count(*) FILTER (WHERE dmarc = 'fail') AS matched, array_to_string((list(path ORDER BY path) FILTER (WHERE dmarc = 'fail'))[1:8], ';') AS samples FROM (SELECT * FROM m ORDER BY path LIMIT 2000)", "m")
+def test_rule(spark, d):
+    return search.test_rule(V.messages(spark, d), "dmarc <=> 'fail'")
+
+
+# Sets and joins -----------------------------------------------------------------------------------
+@query("SELECT path FROM m WHERE spf = 'fail' INTERSECT SELECT path FROM m WHERE dkim = 'fail'", "m")
+def set_and(spark, d):
+    m = V.messages(spark, d)
+    return m.where("spf = 'fail'").select("path").intersect(m.where("dkim = 'fail'").select("path"))
+
+
+@query("SELECT path FROM m WHERE spf = 'fail' UNION SELECT path FROM m WHERE dkim = 'fail'", "m")
+def set_or(spark, d):
+    m = V.messages(spark, d)
+    return m.where("spf = 'fail'").select("path").union(m.where("dkim = 'fail'").select("path")).distinct()
+
+
+@query("SELECT path FROM m EXCEPT SELECT path FROM m WHERE spf = 'fail'", "m")
+def set_not(spark, d):
+    m = V.messages(spark, d)
+    return m.select("path").exceptAll(m.where("spf = 'fail'").select("path"))
+
+
+@query("SELECT path FROM m WHERE email_id IN (SELECT email_id FROM tagged WHERE tag IN ('toxic', 'good'))", "m", "tagged")
+def messages_by_tag(spark, d):
+    return V.messages(spark, d).join(V.tags(spark, d).where("tag IN ('toxic', 'good')"), "email_id", "left_semi").select("path")
+
+
+@query("SELECT DISTINCT t.email_id, tag, path FROM tagged t JOIN m ON t.email_id = m.email_id", "m", "tagged")
+def paths_of_tags(spark, d):
+    return tags.effective(V.tags(spark, d)).join(V.messages(spark, d).select("email_id", "path"), "email_id")
+
+
+_BRANDS = f"(SELECT unnest([{_quoted(X.BRANDS)}]) AS b)"
+
+
+@query(f"SELECT path, min(b) AS near FROM m, {_BRANDS} WHERE levenshtein(from_domain, b) <= 2 AND from_domain <> b GROUP BY path", "m")
+def lookalike_senders(spark, d):
+    return domains.lookalikes(V.messages(spark, d), X.BRANDS).select("path", "near")
+
+
+@query("SELECT path, 'paypal.com' AS brand FROM m WHERE from_name = 'PayPal Support' AND from_domain <> 'paypal.com'", "m")
+def brand_join(spark, d):
+    return domains.brand_mismatches(V.messages(spark, d)).select("path", "brand")
+
+
+@query("SELECT path FROM m WHERE from_domain LIKE '%firm.example' OR from_domain LIKE 'xn--%' OR from_domain = 'bit.ly'", "m")
+def trusted_senders(spark, d):
+    return domains.trusted(V.messages(spark, d), ["firm.example", "/^xn--/", "bit.ly"]).select("path")
+
+
+_WORDS = ", ".join(f"('{n}', '{w}')" for n, ws in X.CATEGORIES.items() for w in ws)
+_HOSTS = "SELECT path, unnest(CASE WHEN doc_id % 11 = 5 THEN [from_domain, 'bit.ly', 'www.shop.co.uk'] ELSE [from_domain] END) AS h FROM m"
+
+
+@query(f"SELECT path, string_agg(DISTINCT c, ';' ORDER BY c) AS categories FROM ({_HOSTS}), (VALUES {_WORDS}) w(c, k) WHERE CASE WHEN k LIKE '.%' THEN ends_with(h, k) ELSE h = k OR ends_with(h, '.' || k) END GROUP BY path", "m")
+def domain_categories(spark, d):
+    f = V.facts(spark, d).withColumn("domains", F.array_union(F.array("from_domain"), F.col("url_domains")))
+    return domains.categories(f).select("path", F.array_join("categories", ";").alias("categories"))
+
+
+@query("SELECT DISTINCT from_domain FROM m WHERE from_domain <> 'bit.ly'", "m")
+def lookup_work_list(spark, d):
+    m = V.messages(spark, d)
+    return domains.missing(m, m.where("from_domain = 'bit.ly'").select("from_domain").distinct(), "from_domain")
+
+
+# Headers ------------------------------------------------------------------------------------------
+_CHAIN = """SELECT *, CAST(floor(epoch_us(ts) / 1000) - floor(epoch_us(lag(ts) OVER w) / 1000) AS BIGINT) AS delay_ms, lag(by_host) OVER w AS before FROM hops WINDOW w AS (PARTITION BY path ORDER BY idx)"""
+_ORG2 = "regexp_extract({0}, '[^.]+[.][^.]+$')"
+_STATE = f"""SELECT path, idx, delay_ms, CASE WHEN idx = 1 THEN NULL WHEN before = 'localhost' OR from_host LIKE '%.lan' THEN 'unknown' WHEN {_ORG2.format('before')} = {_ORG2.format('from_host')} THEN 'ok' ELSE 'broken' END AS state,
+  coalesce(delay_ms < -300000, false) AS travels FROM ({_CHAIN})"""
+
+
+@query(_STATE, "hops")
+def hop_chain(spark, d):
+    return headers.chain(V.hops(spark, d)).select("path", "idx", "delay_ms", "state", "travels")
+
+
+@query(f"SELECT path, count(*) AS hops, count(*) FILTER (WHERE state = 'broken') AS broken, count(*) FILTER (WHERE travels) AS backwards, CAST(coalesce(sum(delay_ms), 0) AS BIGINT) AS total_ms, max(delay_ms) AS slowest_ms, count(*) FILTER (WHERE delay_ms < 0) AS negatives, arg_max(idx, delay_ms * 100 - idx) AS slowest_idx FROM ({_STATE}) GROUP BY path", "hops")
+def chain_totals(spark, d):
+    return headers.chain_totals(headers.chain(V.hops(spark, d)))
+
+
+@query("SELECT path, arg_min(from_ip, idx) FILTER (WHERE pub) AS origin_ip, arg_max(from_ip, idx) FILTER (WHERE pub) AS connecting_ip, NOT bool_or(pub) AS internal_only FROM (SELECT *, NOT (from_ip LIKE '10.%' OR from_ip LIKE '192.168.%') AS pub FROM hops) GROUP BY path", "hops")
+def sender_ips(spark, d):
+    return headers.sender_ips(V.hops(spark, d))
+
+
+@query("SELECT path, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) - 1704067200000 AS first_gap_ms FROM hops WHERE idx = 1", "hops")
+def first_gap(spark, d):
+    h = V.hops(spark, d)
+    return headers.first_gap(h.select("path").distinct().withColumn("date_ms", F.lit(1704067200000)), h)
+
+
+@query(f"""SELECT path, idx, from_host, by_host, CASE WHEN delay_ms IS NULL THEN NULL ELSE CASE WHEN delay_ms < 0 THEN '-' ELSE '+' END || CASE WHEN abs(delay_ms) < 1000 THEN abs(delay_ms) || ' ms' WHEN abs(delay_ms) < 60000 THEN abs(delay_ms) // 1000 || ' s'
+  WHEN abs(delay_ms) < 3600000 THEN abs(delay_ms) // 60000 || ' min' ELSE abs(delay_ms) // 3600000 || ' h' END END AS delay FROM ({_CHAIN})""", "hops")
+def hop_table(spark, d):
+    return headers.chain(V.hops(spark, d)).select("path", "idx", "from_host", "by_host", headers.readable_delay(F.col("delay_ms")).alias("delay"))
+
+
+@query("SELECT path, authserv, method, count(DISTINCT result) AS results FROM auth GROUP BY ALL HAVING count(DISTINCT result) > 1 AND count(DISTINCT pos) > 1", "auth")
+def auth_conflicts(spark, d):
+    return headers.auth_conflicts(V.auth(spark, d))
+
+
+@query("SELECT DISTINCT a.path, authserv FROM auth a WHERE pos >= 3 AND NOT EXISTS (SELECT 1 FROM hops h WHERE h.path = a.path AND h.by_host LIKE '%.net.example' AND h.idx = 1)", "auth", "hops")
+def planted_results(spark, d):
+    return headers.planted_results(V.auth(spark, d).withColumn("last_received", F.lit(3)), V.hops(spark, d).where("idx = 1")).select("path", "authserv")
+
+
+@query("SELECT path, pos, authserv, method, result, CASE result WHEN 'pass' THEN 'ok' ELSE 'flag' END AS class FROM auth", "auth")
+def auth_parsed(spark, d):
+    a = V.auth(spark, d)
+    value = F.concat("authserv", F.lit("; "), "method", F.lit("="), "result", F.lit(" (a note) smtp.mailfrom=x@y.example"))
+    return headers.auth_results(a.select("path", "pos", value.alias("value"))).select("path", "pos", "authserv", "method", "result", "class")
+
+
+@query("SELECT path, arg_min(result, pos) FILTER (WHERE method = 'spf') AS spf, arg_min(result, pos) FILTER (WHERE method = 'dkim') AS dkim, CAST(NULL AS VARCHAR) AS dmarc FROM auth GROUP BY path", "auth")
+def auth_first(spark, d):
+    a = V.auth(spark, d)
+    return headers.first_results(a.select("path", "pos", F.concat("authserv", F.lit("; "), "method", F.lit("="), "result").alias("value")))
+
+
+@query("SELECT path, idx, from_host, from_ip, by_host, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM hops", "hops")
+def hops_parsed(spark, d):
+    h = V.hops(spark, d)
+    when = F.coalesce(F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit("never"))
+    value = F.concat(F.lit("from "), "from_host", F.lit(" ("), "from_host", F.lit(" ["), "from_ip", F.lit("]) by "), "by_host", F.lit(" with ESMTP id x1 for <a@b.example>; "), when, F.lit(" +0000 (UTC)"))
+    return headers.hops(h.select("path", (-F.col("idx")).alias("pos"), value.alias("value"))).select("path", F.col("idx").cast("long").alias("idx"), "from_host", "from_ip", "by_host", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+def _header_rows(spark, d):
+    a = V.auth(spark, d)
+    row = F.struct(F.col("pos").cast("int").alias("pos"), F.initcap("method").alias("name"), F.col("method").alias("lower"), F.col("result").alias("value"))
+    return headers.headers_table(a.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("headers")))
+
+
+@query("SELECT path, CAST(pos AS INTEGER) AS pos, method AS lower, result AS value, row_number() OVER (PARTITION BY path, method ORDER BY pos) AS k, count(*) OVER (PARTITION BY path, method) AS n FROM auth", "auth")
+def headers_table(spark, d):
+    return _header_rows(spark, d).select("path", "pos", "lower", "value", F.col("k").cast("long").alias("k"), "n")
+
+
+@query("SELECT path, string_agg(result, ' ' ORDER BY pos) FILTER (WHERE method = 'spf') AS spf FROM auth GROUP BY path", "auth")
+def header_texts(spark, d):
+    return headers.header_texts(_header_rows(spark, d)).select("path", F.col("header_texts")["spf"].alias("spf"))
+
+
+@query("SELECT path, method FROM auth GROUP BY ALL HAVING count(*) > 1", "auth")
+def duplicate_headers(spark, d):
+    return _header_rows(spark, d).where("n > 1").select("path", F.col("lower").alias("method")).distinct()
+
+
+# Summaries ----------------------------------------------------------------------------------------
+@query("SELECT from_domain AS value, count(*) AS email_count FROM m GROUP BY 1", "m")
+def indicator_domains(spark, d):
+    return summaries.count_by(V.messages(spark, d), "from_domain")
+
+
+_IPS = "SELECT path, {0}(from_ip, idx) FILTER (WHERE NOT (from_ip LIKE '10.%' OR from_ip LIKE '192.168.%')) AS ip FROM hops GROUP BY path"
+
+
+@query(f"SELECT ip AS value, count(*) AS email_count FROM ({_IPS.format('arg_min')}) WHERE ip IS NOT NULL GROUP BY 1", "hops")
+def indicator_origin_ips(spark, d):
+    return summaries.count_by(headers.sender_ips(V.hops(spark, d)), "origin_ip")
+
+
+@query(f"SELECT ip AS value, count(*) AS email_count FROM ({_IPS.format('arg_max')}) WHERE ip IS NOT NULL GROUP BY 1", "hops")
+def indicator_connecting_ips(spark, d):
+    return summaries.count_by(headers.sender_ips(V.hops(spark, d)), "connecting_ip")
+
+
+_EXTS = "SELECT doc_id, CASE WHEN contains(x, '.') THEN '.' || list_extract(string_split(x, '.'), -1) ELSE '(none)' END AS e FROM (SELECT doc_id, unnest(string_split(lower(att_list), ';')) AS x FROM m)"
+
+
+@query(f"SELECT e AS value, count(*) AS email_count FROM ({_EXTS}) GROUP BY 1", "m")
+def indicator_extensions(spark, d):
+    return summaries.count_by(V.facts(spark, d), "att_exts", True)
+
+
+@query(f"SELECT e AS value, count(DISTINCT doc_id) AS email_count FROM ({_EXTS}) GROUP BY 1", "m")
+def facet_extensions(spark, d):
+    return summaries.facets(V.facts(spark, d), "att_exts")
+
+
+_LINKED = "doc_id % 11 = 5"
+_INDICATORS = f"""SELECT * FROM (SELECT 'from_domain' AS type, from_domain AS value, count(*) AS email_count FROM s GROUP BY 2
+  UNION ALL SELECT 'url_domains', h, count(*) FROM (SELECT unnest(['bit.ly', 'www.shop.co.uk']) AS h FROM s WHERE {_LINKED}) GROUP BY 2
+  UNION ALL SELECT 'att_exts', e, count(*) FROM ({_EXTS.replace('FROM m', 'FROM s')}) GROUP BY 2
+  UNION ALL SELECT 'financial', 'iban', count(*) FROM s WHERE {_IBAN} HAVING count(*) > 0)"""
+
+
+@query(_INDICATORS.replace("FROM s", "FROM m"), "m")
+def indicator_export(spark, d):
+    return summaries.indicators(V.facts(spark, d))
+
+
+@query("SELECT * FROM (" + _INDICATORS.replace("FROM s", "FROM (SELECT * FROM m WHERE spf = 'fail')") + ")", "m")
+def indicator_export_scope(spark, d):
+    f = V.facts(spark, d)
+    return summaries.indicators(f, f.where("spf = 'fail'"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE size <= 5000) AS indexed, count(*) FILTER (WHERE size > 5000) AS skipped FROM m", "m")
+def corpus_statistics(spark, d):
+    return summaries.corpus_statistics(V.messages(spark, d), F.col("size") > 5000)
+
+
+@query("SELECT tag, count(DISTINCT email_id) AS email_count FROM tagged GROUP BY tag", "tagged")
+def tag_counts(spark, d):
+    return summaries.tag_counts(V.tags(spark, d))
+
+
+@query("SELECT DISTINCT t.tag, n AS tag_size, subject, from_domain, date_ms, path FROM (SELECT DISTINCT email_id, tag FROM tagged) t JOIN m ON t.email_id = m.email_id JOIN (SELECT tag, count(DISTINCT email_id) AS n FROM tagged GROUP BY tag) s ON s.tag = t.tag", "m", "tagged")
+def case_report(spark, d):
+    return summaries.case_report(V.messages(spark, d), V.tags(spark, d))
+
+
+@query("SELECT path, count(*) OVER (PARTITION BY email_id) AS duplicates FROM m", "m")
+def duplicate_counts(spark, d):
+    return V.messages(spark, d).select("path", F.when(F.col("email_id").isNull(), 1).otherwise(F.count("*").over(W.partitionBy("email_id"))).alias("duplicates"))
+
+
+# Checks -------------------------------------------------------------------------------------------
+_ALIGN = "(from_domain = {0} OR ends_with(from_domain, '.' || {0}) OR ends_with({0}, '.' || from_domain) OR " + _ORG.format("from_domain") + " = ({1}))"
+_R, _T = (_ALIGN.format(c, _ORG.format(c)) for c in ("reply_domain", "return_domain"))
+_CHECKS = f"""
+SELECT path, 'reply-to' AS "check", CASE WHEN reply_domain IS NULL THEN 'na' WHEN {_R} THEN 'ok' ELSE 'flag' END AS status, CASE WHEN reply_domain IS NULL OR {_R} THEN '' ELSE 'replyto-mismatch' END AS flags FROM m
+UNION ALL SELECT path, 'return-path', CASE WHEN return_domain IS NULL THEN 'na' WHEN {_T} THEN 'ok' WHEN return_domain = 'sendgrid.net' THEN 'note' ELSE 'flag' END, CASE WHEN return_domain IS NULL OR {_T} THEN '' ELSE 'returnpath-mismatch' END FROM m
+UNION ALL SELECT path, 'display-name', CASE WHEN from_name = '' THEN 'na' WHEN from_name = 'ceo@firm.example' AND from_domain <> 'firm.example' THEN 'flag' ELSE 'ok' END, CASE WHEN from_name = 'ceo@firm.example' AND from_domain <> 'firm.example' THEN 'forged-display-name' ELSE '' END FROM m
+UNION ALL SELECT path, 'threading', CASE WHEN subject LIKE 'Re:%' THEN 'flag' ELSE 'na' END, CASE WHEN subject LIKE 'Re:%' THEN 'fake-reply' ELSE '' END FROM m
+UNION ALL SELECT path, 'sender-domain', 'ok', '' FROM m
+UNION ALL SELECT path, 'attachment-risk', CASE doc_id % 8 WHEN 0 THEN 'flag' WHEN 1 THEN 'note' WHEN 2 THEN 'note' WHEN 3 THEN 'ok' ELSE 'na' END,
+  CASE doc_id % 8 WHEN 0 THEN 'attachment-double-ext;attachment-executable' WHEN 1 THEN 'attachment-macro' WHEN 2 THEN 'attachment-container' ELSE '' END FROM m
+UNION ALL SELECT path, 'homoglyphs', CASE WHEN doc_id % 6 = 4 THEN 'flag' ELSE 'ok' END, CASE WHEN doc_id % 6 = 4 THEN 'homoglyph-subject' ELSE '' END FROM m
+"""
+
+
+def _check_rows(spark, d):
+    return checks.check_rows(V.messages(spark, d)).where("check NOT IN ('subject-script', 'body-script', 'script-mismatch')")
+
+
+@query(_CHECKS, "m")
+def check_rows(spark, d):
+    return _check_rows(spark, d).select("path", "check", "status", F.array_join("flags", ";").alias("flags"))
+
+
+@query(f"SELECT path, count(*) FILTER (WHERE status = 'flag') AS n_flag, count(*) FILTER (WHERE status = 'note') AS n_note FROM ({_CHECKS}) GROUP BY path", "m")
+def check_status_counts(spark, d):
+    return checks.status_counts(_check_rows(spark, d))
+
+
+_FLAGS = f"SELECT DISTINCT path, unnest(string_split(flags, ';')) AS flag FROM ({_CHECKS}) WHERE flags <> ''"
+
+
+@query(f"SELECT flag, count(*) AS email_count FROM ({_FLAGS}) GROUP BY flag", "m")
+def flag_counts(spark, d):
+    return summaries.flag_counts(checks.flags(_check_rows(spark, d)))
+
+
+_GROUPS = ", ".join(f"('{f}', '{g}', '{'note' if f in summaries.NOTES else 'flag'}')" for g, fs in summaries.FLAG_GROUPS.items() for f in fs)
+
+
+@query(f"SELECT g AS flag_group, count(DISTINCT path) AS email_count FROM ({_FLAGS}) JOIN (VALUES {_GROUPS}) v(f, g, s) ON flag = f GROUP BY g", "m")
+def flag_group_counts(spark, d):
+    return summaries.flag_group_counts(checks.flags(_check_rows(spark, d)))
+
+
+@query(f"SELECT flag, count(*) AS email_count, g AS flag_group, s AS strength FROM ({_FLAGS}) JOIN (VALUES {_GROUPS}) v(f, g, s) ON flag = f GROUP BY ALL", "m")
+def flag_overview(spark, d):
+    return summaries.flag_overview(checks.flags(_check_rows(spark, d)))
+
+
+# Rules and tags -----------------------------------------------------------------------------------
+_RULE_SQL = {
+    "sender-anomaly": "reply_domain IS NOT NULL AND from_domain <> reply_domain", "return-path-anomaly": "return_domain IS NOT NULL AND from_domain <> return_domain",
+    "sender-reply-to-org-mismatch": f"reply_domain IS NOT NULL AND ({_ORG.format('from_domain')}) <> ({_ORG.format('reply_domain')})",
+    "sender-return-path-org-mismatch": f"return_domain IS NOT NULL AND ({_ORG.format('from_domain')}) <> ({_ORG.format('return_domain')})",
+    "dmarc-fail": "dmarc = 'fail'", "auth-fail": "spf = 'fail' OR dkim = 'fail'", "lookalike-domain": "from_domain IN ('paypa1.com', 'amazom.com')", "urgency-subject": "contains(lower(subject), 'urgent')",
+    "risky-attachment": "att_list LIKE '%.exe%'", "many-attachments": "len(string_split(att_list, ';')) >= 4", "suspicious-header": "lower(x_mailer) LIKE '%bulk%'", "nested-eml-attachment": "att_list LIKE '%.eml%'",
+    "possible-pii": r"regexp_matches(body, '\b\d{3}-\d{2}-\d{4}\b') OR regexp_matches(body, '\b(?:\d[ -]?){13,19}\b') OR regexp_matches(body, '\b[2-9]\d{3}[ -]\d{4}[ -]\d{4}\b')",
+    "dual-extension": "att_list LIKE '%.pdf.exe%'", "hidden-unicode-subject": "false", "random-subject-token": "false", "brand-impersonation": "from_name = 'PayPal Support' AND from_domain <> 'paypal.com'", "punycode-sender": "from_domain LIKE 'xn--%'",
+    "high-urgency-score": f"({_URGENCY}) >= 3", "financial-indicator": _IBAN, "bec-combined-signal": f"({_URGENCY}) >= 2 AND {_IBAN}",
+    "many-recipients-25": "recipient_count_hint BETWEEN 26 AND 75", "many-recipients-75": "recipient_count_hint BETWEEN 76 AND 200", "many-recipients-200": "recipient_count_hint BETWEEN 201 AND 500", "many-recipients-500": "recipient_count_hint > 500",
+    "flagged-domain-category": "from_domain IN ('paypal.com', 'bit.ly', 'free.xyz') OR doc_id % 11 = 5",
+}
+_RUN_SQL = " UNION ALL ".join(f"SELECT '{r}' AS rule_id, path, email_id, coalesce({c}, false) AS matched FROM m" for r, c in _RULE_SQL.items())
+
+
+def _rule_facts(spark, d):
+    f = V.facts(spark, d)
+    named = domains.categories(f.withColumn("domains", F.array_union(F.array("from_domain"), F.col("url_domains"))))
+    return rules.rule_facts(f.drop("recipient_count").withColumnRenamed("recipient_count_hint", "recipient_count")).join(named, "path", "left").withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
+
+
+def _runs(spark, d):
+    return tags.run_rules(_rule_facts(spark, d), list(rules.RULES.items()))
+
+
+@query(f"SELECT rule_id, path FROM ({_RUN_SQL}) WHERE matched", "m")
+def starter_rules(spark, d):
+    return _runs(spark, d).where("matched").select("rule_id", "path")
+
+
+@query(f"SELECT rule_id, count(*) FILTER (WHERE matched) AS matched, count(*) AS total, CAST(0 AS BIGINT) AS errors, CAST(NULL AS VARCHAR) AS first_error FROM ({_RUN_SQL}) GROUP BY rule_id", "m")
+def rule_statistics(spark, d):
+    return summaries.rule_statistics(_runs(spark, d))
+
+
+@query("SELECT DISTINCT email_id, tag FROM tagged", "tagged")
+def effective_tags(spark, d):
+    return tags.effective(V.tags(spark, d))
+
+
+_OLD, _NEW = "SELECT DISTINCT 'r1' AS rule_id, email_id FROM m WHERE doc_id % 4 = 0", "SELECT DISTINCT 'r1' AS rule_id, email_id FROM m WHERE doc_id % 6 = 0"
+
+
+def _matches(spark, d, k: int):
+    return V.messages(spark, d).where(F.col("doc_id") % k == 0).select(F.lit("r1").alias("rule_id"), "email_id").distinct()
+
+
+@query(f"SELECT rule_id, email_id, 'add' AS change FROM ({_NEW} EXCEPT {_OLD}) UNION ALL SELECT rule_id, email_id, 'remove' FROM ({_OLD} EXCEPT {_NEW})", "m")
+def rule_match_diff(spark, d):
+    return tags.match_diff(_matches(spark, d, 4), _matches(spark, d, 6))
+
+
+@query(f"SELECT DISTINCT email_id, tag, source, rule_id FROM tagged t WHERE NOT (source = 'rule' AND email_id IN (SELECT email_id FROM ({_OLD} EXCEPT {_NEW}))) UNION SELECT email_id, 'toxic', 'rule', 'r1' FROM ({_NEW} EXCEPT {_OLD})", "m", "tagged")
+def converge_tags(spark, d):
+    live = spark.createDataFrame([("r1", "toxic", True), ("r2", "other", False)], "rule_id string, tag string, enabled boolean")
+    return tags.converge(V.tags(spark, d), _matches(spark, d, 4), _matches(spark, d, 6), live)
+
+
+@query("SELECT email_id, tag, source, rule_id FROM tagged WHERE rule_id IS NULL", "tagged")
+def retract_rule(spark, d):
+    return tags.retract(V.tags(spark, d), "r1")
+
+
+@query("SELECT DISTINCT email_id, CASE WHEN rule_id = 'r1' THEN 'harmful' ELSE tag END AS tag, source, rule_id FROM tagged", "tagged")
+def rename_rule_tag(spark, d):
+    return tags.rename_rule_tag(V.tags(spark, d), "r1", "harmful")
+
+
+@query("SELECT email_id, tag, source, rule_id FROM tagged UNION SELECT email_id, 'seen', 'manual', NULL FROM m WHERE spf = 'fail'", "m", "tagged")
+def add_tag(spark, d):
+    return tags.add_tag(V.tags(spark, d), V.messages(spark, d).where("spf = 'fail'"), "seen")
+
+
+@query("SELECT email_id, tag, source, rule_id FROM tagged WHERE NOT (source = 'manual' AND tag = 'good' AND email_id IN (SELECT email_id FROM m WHERE spf = 'fail'))", "m", "tagged")
+def remove_tag(spark, d):
+    return tags.remove_tag(V.tags(spark, d), V.messages(spark, d).where("spf = 'fail'"), "good")
+
+
+@query("SELECT email_id, tag, source, rule_id FROM tagged WHERE tag <> 'toxic'", "tagged")
+def delete_tag(spark, d):
+    return tags.delete_tag(V.tags(spark, d), "toxic")[0]
+
+
+@query("""SELECT count(*) FILTER (WHERE manual) AS removed, count(*) FILTER (WHERE "rule" AND NOT manual) AS rule_owned, count(*) FILTER (WHERE manual IS NULL) AS absent FROM (SELECT DISTINCT email_id FROM m WHERE spf = 'fail') s
+  LEFT JOIN (SELECT email_id, bool_or(source = 'manual') AS manual, bool_or(source = 'rule') AS "rule" FROM tagged WHERE tag = 'toxic' GROUP BY 1) t ON s.email_id = t.email_id""", "m", "tagged")
+def untag_counts(spark, d):
+    return tags.untag_counts(V.tags(spark, d), V.messages(spark, d).where("spf = 'fail'"), "toxic")
+
+
+@query("SELECT DISTINCT email_id FROM m WHERE email_id IN (SELECT email_id FROM tagged)", "m", "tagged")
+def prune_records(spark, d):
+    none = V.tags(spark, d).select("email_id", F.lit("").alias("note"))
+    return tags.prune(V.messages(spark, d).select("email_id").distinct(), V.tags(spark, d), none)
+
+
+@query("SELECT DISTINCT email_id, CASE tag WHEN 'good' THEN 'very-good' ELSE 'toxic' END AS tag, source, rule_id FROM tagged", "tagged")
+def normalise_tags(spark, d):
+    t = V.tags(spark, d).withColumn("tag", F.when(F.col("tag") == "good", " Very Good! ").otherwise("TOXIC"))
+    return tags.normalise_all(t)[0]
+
+
+@query("""SELECT coalesce(a.email_id, b.email_id) AS email_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.t, []), coalesce(b.t, [])))), ';') AS tags, coalesce(a.note, b.note) AS note
+  FROM (SELECT email_id, list(DISTINCT tag) AS t, 'mine' AS note FROM tagged WHERE source = 'manual' GROUP BY 1) a FULL JOIN (SELECT email_id, list(DISTINCT tag) AS t, 'theirs' AS note FROM tagged WHERE source = 'rule' GROUP BY 1) b ON a.email_id = b.email_id""", "tagged")
+def import_tags(spark, d):
+    t = V.tags(spark, d)
+    side = lambda s, note: t.where(F.col("source") == s).groupBy("email_id").agg(F.collect_set("tag").alias("tags"), F.lit(note).alias("note"))
+    out = tags.import_merge(side("manual", "mine"), side("rule", "theirs"))
+    return out.select("email_id", F.array_join("tags", ";").alias("tags"), "note")
+
+
+@query("SELECT 'c' || conv_id AS path, bool_or(turn > 0) AS threaded, count(*) AS n FROM conversations GROUP BY conv_id")
+def threads(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return c.groupBy("conv_id").agg(F.bool_or(F.col("turn") > 0).alias("threaded"), F.count("*").alias("n")).select(F.concat(F.lit("c"), "conv_id").alias("path"), "threaded", "n")
