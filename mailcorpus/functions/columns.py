@@ -233,3 +233,17 @@ def domain_age(answer: Column, today: Column) -> Column:
     created = F.try_element_at(F.filter(read["events"], lambda e: e["eventAction"] == "registration"), F.lit(1))["eventDate"]
     day = F.try_to_timestamp(created).cast("date")
     return F.struct(registrar.alias("registrar"), day.alias("created"), F.datediff(today, day).alias("days"))
+
+
+def pick_image(attachments: Column) -> Column:
+    """The first image of a list of attachments between 512 bytes and 8 MiB; null without one."""
+    fits = F.filter(attachments, lambda a: a["mime_type"].startswith("image/") & (a["size"] > 512) & (a["size"] < 8 * 1024 * 1024))
+    return F.try_element_at(fits, F.lit(1))
+
+
+def text_overlap(one: Column, two: Column, cap: int = 1500) -> Column:
+    """Shared words of three letters or more over those of the smaller text; null under eight words."""
+    words_ = lambda t: F.slice(F.array_distinct(F.regexp_extract_all(F.lower(F.substring(t, 1, X.SCAN_CHARS)), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))), 1, cap)
+    a, b = words_(one), words_(two)
+    small = F.least(F.size(a), F.size(b))
+    return F.when(small >= 8, F.size(F.array_intersect(a, b)) / small)

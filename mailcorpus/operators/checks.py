@@ -75,10 +75,8 @@ def check_rows(facts: DataFrame) -> DataFrame:
         add("body-parts", [], F.when(text & page, "ok").when(text | page, "note").otherwise("flag"), _list(F.when(page & ~text, "no-text-part"), F.when(text & ~page, "no-html-part"), F.when(~text & ~page, "empty-body")))
         shown = F.length(F.regexp_replace(C.html_to_text(F.coalesce("html_body", F.lit(""))), r"\s", ""))
         simple("image-only", [], ~page, (shown < 15) & F.col("html_body").rlike("(?i)<img\\b"), "image-only")
-        one, two = (F.slice(F.array_distinct(F.regexp_extract_all(F.lower(F.substring(t, 1, X.SCAN_CHARS)), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))), 1, 1500) for t in (F.coalesce("text_body", F.lit("")), C.html_to_text(F.coalesce("html_body", F.lit("")))))
-        small = F.least(F.size(one), F.size(two))
-        share = F.size(F.array_intersect(one, two)) / F.nullif(small, F.lit(0))
-        add("text-html", [], F.when(small < 8, "na").when(share < 0.25, "flag").when(share < 0.5, "note").otherwise("ok"), _list(F.when((small >= 8) & (share < 0.5), "text-html-mismatch")))
+        share = C.text_overlap(F.coalesce("text_body", F.lit("")), C.html_to_text(F.coalesce("html_body", F.lit(""))))
+        add("text-html", [], F.when(share.isNull(), "na").when(share < 0.25, "flag").when(share < 0.5, "note").otherwise("ok"), _list(F.when(share < 0.5, "text-html-mismatch")))
         hidden = C.hidden_chars(F.coalesce("text_body", F.lit("")))
         css = C.hidden_css_blocks(F.coalesce("html_body", F.lit("")))
         flags = _list(F.when(hidden["override"] > 0, "bidi-override"), F.when(hidden["zero_width"] >= 3, "invisible-chars"), F.when(css > 0, "hidden-css-text"))
@@ -122,3 +120,12 @@ def origin_class(messages: DataFrame, internal: list[str]) -> DataFrame:
     own = C.any_of([C.is_under(F.col("from_domain"), d) for d in internal])
     seen = F.exists("by_hosts", lambda h: C.any_of([C.is_under(F.lower(h), d) for d in internal]))
     return messages.select("path", F.when(~own, "external").when(F.col("internal_only") & seen, "internal").when(seen, "claims-internal").otherwise("unverified").alias("origin"))
+
+
+def metrics(messages: DataFrame) -> DataFrame:
+    """A row of numbers for each message: hidden characters, mixed-script fields, attachments and risky ones."""
+    hidden = C.hidden_chars(F.coalesce("body", F.lit("")))
+    mixed = sum((F.when(C.mixed_script_words(F.coalesce(F.col(c), F.lit(""))) > 0, 1).otherwise(0) for c in ("subject", "from_name", "body")), F.lit(0))
+    names = F.coalesce("att_names", F.array().cast("array<string>"))
+    risky = F.filter(names, lambda n: F.size(attachment_flags(F.array(n))) > 0)
+    return messages.select("path", (hidden["zero_width"] + hidden["bidi"]).alias("hidden"), mixed.alias("mixed_fields"), F.size(names).alias("attachments"), F.size(risky).alias("risky"))

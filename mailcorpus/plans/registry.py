@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mailcorpus.functions import columns as C
 from mailcorpus.functions import fixed as X
+from mailcorpus.functions import hosts
 from mailcorpus.operators import checks, domains, headers, rules, search, summaries, tags
 from mailcorpus.sources import mail
 
@@ -514,6 +515,63 @@ def flag_overview(spark, d):
     return summaries.flag_overview(checks.flags(_check_rows(spark, d)))
 
 
+_BODIES = "CASE CAST(replace(path, 'p', '') AS INTEGER) % 4 WHEN 0 THEN NULL WHEN 1 THEN 'zaone zatwo zathree zafour zafive zasix zaseven zaeight' WHEN 2 THEN 'a b' ELSE '' END"
+_BODY_CHECKS = f"""SELECT path, 'body-parts' AS "check", CASE WHEN trim(coalesce(t, '')) = '' THEN 'note' ELSE 'ok' END AS status, CASE WHEN trim(coalesce(t, '')) = '' THEN 'no-text-part' ELSE '' END AS flags FROM b
+UNION ALL SELECT path, 'image-only', 'ok', '' FROM b
+UNION ALL SELECT path, 'text-html', CASE WHEN t LIKE 'za%' THEN 'flag' ELSE 'na' END, CASE WHEN t LIKE 'za%' THEN 'text-html-mismatch' ELSE '' END FROM b
+UNION ALL SELECT path, 'hidden-content', CASE WHEN h THEN 'note' ELSE 'ok' END, CASE WHEN h THEN 'hidden-css-text' ELSE '' END FROM b"""
+
+
+@query(f"SELECT * FROM (WITH b AS (SELECT path, {_BODIES} AS t, regexp_matches(html, 'style=\"(display:none|color:#fff;background:#fff)\"') AS h FROM html) {_BODY_CHECKS})", "html")
+def body_checks(spark, d):
+    n = F.regexp_extract("path", "[0-9]+", 0).cast("int") % 4
+    text = F.when(n == 1, "zaone zatwo zathree zafour zafive zasix zaseven zaeight").when(n == 2, "a b").when(n == 3, "")
+    p = V.pages(spark, d).select("path", F.lit("x.example").alias("from_domain"), text.alias("text_body"), F.col("html").alias("html_body"))
+    return checks.check_rows(p).where("check <> 'sender-domain'").select("path", "check", "status", F.array_join("flags", ";").alias("flags"))
+
+
+@query("""SELECT path, 'message-id' AS "check", CASE WHEN doc_id % 3 = 0 THEN 'flag' WHEN doc_id % 3 = 1 AND NOT from_domain LIKE '%firm.example' THEN 'note' ELSE 'ok' END AS status FROM m
+UNION ALL SELECT path, 'dkim-alignment', CASE WHEN doc_id % 2 = 0 THEN 'na' WHEN from_domain LIKE '%shop.co.uk' THEN 'ok' ELSE 'note' END FROM m""", "m")
+def identity_checks(spark, d):
+    m = V.messages(spark, d)
+    own = F.concat(F.lit("<y@"), "from_domain", F.lit(">"))
+    m = m.select("path", "from_domain", F.when(m.doc_id % 3 == 1, "<x@firm.example>").when(m.doc_id % 3 == 2, own).alias("message_id"), F.when(m.doc_id % 2 == 1, F.array(F.lit("mx.shop.co.uk"))).alias("dkim_domains"))
+    return checks.check_rows(m).where("check <> 'sender-domain'").select("path", "check", "status")
+
+
+@query("SELECT path, CASE WHEN path LIKE '%0' THEN 'external' WHEN bool_and(from_ip LIKE '10.%' OR from_ip LIKE '192.168.%') THEN 'internal' ELSE 'claims-internal' END AS origin FROM hops GROUP BY path HAVING bool_or(by_host LIKE '%net.example')", "hops")
+def origin_classes(spark, d):
+    h = V.hops(spark, d)
+    near = h.groupBy("path").agg(F.collect_set("by_host").alias("by_hosts")).where(F.exists("by_hosts", lambda x: x.endswith("net.example")))
+    m = headers.sender_ips(h).join(near, "path").withColumn("from_domain", F.when(F.col("path").endswith("0"), "x.example").otherwise("mail.net.example"))
+    return checks.origin_class(m, ["net.example"])
+
+
+@query("SELECT path, CAST(0 AS INTEGER) AS hidden, CAST(doc_id % 6 = 4 AS INTEGER) AS mixed_fields, CAST(CASE doc_id % 8 WHEN 1 THEN 1 ELSE CASE WHEN doc_id % 8 < 4 THEN 2 ELSE 0 END END AS INTEGER) AS attachments, CAST(CASE WHEN doc_id % 8 < 3 THEN 1 ELSE 0 END AS INTEGER) AS risky FROM m", "m")
+def check_metrics(spark, d):
+    return checks.metrics(V.messages(spark, d))
+
+
+@query("SELECT DISTINCT from_domain AS host, CASE WHEN from_domain LIKE 'xn--%' THEN '\u043f\u0440\u0438\u043c\u0435\u0440.example' ELSE from_domain END AS readable, CASE WHEN from_domain LIKE 'xn--%' THEN '\u043fp\u0438mep.example' ELSE from_domain END AS skeleton FROM m", "m")
+def readable_hosts(spark, d):
+    return hosts.host_table(V.messages(spark, d), "from_domain")
+
+
+@query("SELECT path, CASE WHEN doc_id % 3 = 0 THEN true ELSE email_id = 'mid:<' || doc_id || '>' END AS fits FROM (SELECT path, doc_id, 'mid:<' || doc_id || '>' AS email_id FROM m)", "m")
+def email_ids(spark, d):
+    m = V.messages(spark, d)
+    given = F.concat(F.lit("<"), "doc_id", F.lit(">"))
+    id_ = mail.email_id(F.when(m.doc_id % 3 != 0, given), F.substring("body", 1, 20000), F.col("size"))
+    return m.select("path", F.when(m.doc_id % 3 == 0, id_.rlike("^hash:[0-9a-f]+:[0-9]+$")).otherwise(id_ == F.concat(F.lit("mid:"), given)).alias("fits"))
+
+
+@query("SELECT coalesce(a.email_id, b.email_id) AS email_id, coalesce(b.note, a.note) AS note FROM (SELECT DISTINCT email_id, 'old' AS note FROM tagged WHERE tag = 'toxic') a FULL JOIN (SELECT DISTINCT email_id, 'new' AS note FROM tagged WHERE tag = 'good') b ON a.email_id = b.email_id", "tagged")
+def upsert_notes(spark, d):
+    t = V.tags(spark, d)
+    of = lambda tag, note: t.where(F.col("tag") == tag).select("email_id").distinct().withColumn("note", F.lit(note))
+    return tags.upsert_notes(of("toxic", "old"), of("good", "new"))
+
+
 # Rules and tags -----------------------------------------------------------------------------------
 _RULE_SQL = {
     "sender-anomaly": "reply_domain IS NOT NULL AND from_domain <> reply_domain", "return-path-anomaly": "return_domain IS NOT NULL AND from_domain <> return_domain",

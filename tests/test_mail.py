@@ -96,3 +96,9 @@ def test_confusable_domains(spark):
     m = spark.createDataFrame([("a", "paypal.com"), ("b", "pаypal.com"), ("c", "other.example")], "path string, from_domain string")
     skeletons = spark.createDataFrame([("pаypal.com", "paypal.com"), ("paypal.com", "paypal.com")], "host string, skeleton string")
     assert [r.path for r in domains.confusables(m, ["paypal.com"], skeletons).collect()] == ["b"]
+
+
+def test_pick_image(spark):
+    a = [("image/png", 100), ("text/plain", 9000), ("image/gif", 9000), ("image/png", 9001)]
+    df = spark.createDataFrame([("p", [x for x in a]), ("q", [])], "path string, attachments array<struct<mime_type:string,size:long>>")
+    assert {r.path: r.x and r.x.size for r in df.select("path", C.pick_image(F.col("attachments")).alias("x")).collect()} == {"p": 9000, "q": None}
