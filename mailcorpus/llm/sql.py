@@ -39,3 +39,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(role) + length(x) + 13) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLE_SQL["op6_decontaminate"] = f"""
+WITH b AS (SELECT item_id, {_WORDS.format(_ASCII_LOWER.format("coalesce(text, '')"))} AS ws FROM benchmark),
+d AS (SELECT doc_id, {_WORDS.format(_ASCII_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+bp AS (SELECT item_id, len(ws) AS size, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM b)),
+bg AS (SELECT item_id, size, g, count(*) AS c FROM bp GROUP BY ALL),
+dg AS MATERIALIZED (SELECT doc_id, len(ws) AS n, i AS pos, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+p AS (SELECT doc_id, item_id, size, n, min(pos) AS lo, max(pos) AS hi FROM dg JOIN bg USING (g) GROUP BY ALL HAVING 9 * count(*) >= 8 * (size - 4)),
+s AS (SELECT doc_id, item_id, size, unnest(range(greatest(1, lo - size + 5), least(n - size + 1, hi) + 1)) AS s FROM p),
+w AS (SELECT s.doc_id, item_id, size, s, g, count(*) AS c FROM s JOIN dg ON dg.doc_id = s.doc_id AND pos BETWEEN s AND s + size - 5 GROUP BY ALL),
+m AS (SELECT doc_id, item_id, w.size, s, sum(least(w.c, bg.c)) AS i FROM w JOIN bg USING (item_id, g) GROUP BY ALL),
+x AS (SELECT doc_id, item_id, s - 1 AS start, i / (2 * (size - 4) - i) AS similarity FROM m)
+SELECT doc_id, item_id, CAST(min(start) AS BIGINT) AS start, round(min(similarity), 9) AS similarity
+FROM (SELECT * FROM x WHERE similarity >= 0.8 QUALIFY similarity = max(similarity) OVER (PARTITION BY doc_id, item_id)) GROUP BY ALL
+"""
