@@ -9,7 +9,8 @@ No list is expanded into all its pairs unless it is short. Members of long lists
 anew by larger sketches; those still crowded are compared with a few pivots of their list;
 whoever links joins the pivot's component; who does not link after a few rounds is compared
 with all members of other components that could reach the threshold by their counts of common
-values. So components are those of all links.
+values and by the parity bits of their sets, neither of which ever rules out a link. So components
+are those of all links.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ SKETCH = 64
 SURE = SKETCH // 2
 #: The same for members of long lists, with sketches of WIDE values.
 WIDE, SURE_WIDE = 512, 353
+PARITY = 512
 SHORT_LIST = 12
 #: Members that each of the first rounds compares the others of a long list with.
-ROUNDS = (1, 4, 8)
+ROUNDS = (4,)
 
 
 def _sets(words: Words, rows: int, size: int):
@@ -64,12 +66,19 @@ def _sketches(size: int):
     return run
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of the values fall on each of PARITY places."""
+    odd = np.bincount((values.view(U) & U(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _full(size: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("id")
             for lo, hi, data, offsets in chunks(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], long_lists(list(_sets(Words(data, offsets, lower=True), hi - lo, size)))], ["id", "full"])
+                sets = list(_sets(Words(data, offsets, lower=True), hi - lo, size))
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], long_lists(sets), long_lists([_parity(s) for s in sets])], ["id", "full", "parity"])
 
     return run
 
@@ -112,14 +121,15 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     crowd = stage(lists.where(F.col("m") > SHORT_LIST).select("id").distinct(), "crowd")
     ids = tried.select(F.explode(F.array("a", "b")).alias("id")).union(crowd).distinct()
     texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    full = stage(texts.mapInArrow(_full(size), "id long, full array<long>").join(nodes, "id").where(F.size("full") == F.col("n")), "full")
+    full = stage(texts.mapInArrow(_full(size), "id long, full array<long>, parity array<long>").join(nodes, "id").where(F.size("full") == F.col("n")), "full")
     links = _verified(tried, full, percent)
 
     # Members of long lists again, by the whole set or a much larger sketch: what remains listed
     # then shares nearly everything, not just a passage.
     wide = full.join(crowd, "id", "left_semi").select("id", "n", F.explode(F.slice("full", 1, WIDE)).alias("v"))
     whole = F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int")
-    lists = stage(_prefixes(wide, F.when(F.col("n") <= WIDE, whole).otherwise(SURE_WIDE), WIDE), "wide")
+    lists = _prefixes(wide, F.when(F.col("n") <= WIDE, whole).otherwise(SURE_WIDE), WIDE)
+    lists = stage(lists.join(full.select("id", "parity"), "id"), "wide")
     short = lists.where(F.col("m") <= SHORT_LIST)
     pairs = stage(_pairs_of(_joined(short, short, percent, WIDE, F.col("l.id") < F.col("r.id"))).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = stage(links.union(_verified(pairs, full, percent)), "links")
@@ -145,6 +155,9 @@ def _joined(left: DataFrame, right: DataFrame, percent: int, sketch: int, also)
     n, most = F.col("l.n") + F.col("r.n"), F.least("l.common", "r.common")
     fits = (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
     fits &= (F.greatest("l.n", "r.n") > sketch) | (most * 100 >= (n - most) * percent)
+    if "parity" in left.columns:  # sets differ in at least as many values as their parities in bits
+        apart = sum(F.bit_count(F.col("l.parity")[k].bitwiseXOR(F.col("r.parity")[k])) for k in range(PARITY // 64))
+        fits &= (n - apart) * (100 + percent) >= n * 2 * percent
     return left.alias("l").join(right.alias("r"), (F.col("l.v") == F.col("r.v")) & fits & also).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
 
 
@@ -167,7 +180,7 @@ def _crowded(long: DataFrame, full: DataFrame, links: DataFrame, percent: int) -
             break
         if lanes:
             lane = F.pmod(F.xxhash64("id"), F.lit(lanes))
-            chosen = members.groupBy("v", lane.alias("lane")).agg(F.min(F.struct("rare", "id", "n", "common", "component")).alias("p")).select("v", "p.*")
+            chosen = members.groupBy("v", lane.alias("lane")).agg(F.min(F.struct("rare", "id", "n", "common", "component", "parity")).alias("p")).select("v", "p.*")
         else:
             chosen = members
         outside = members.where(F.col("component") != F.col("top"))
