@@ -134,17 +134,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     sizes = sorted(r.size_ for r in items.select(F.col("size").alias("size_")).distinct().collect())  # a number for each length of item
     shared = docs.sparkSession.sparkContext.broadcast((bitmap, sizes))
     windows = stage(docs.mapInArrow(_windows(shared, percent), "doc_id long, size int, start long, shingles array<long>, print binary"), "windows")
-    keyed = windows.select("doc_id", "size", "start", "print").mapInArrow(_filed(False), "doc_id long, size int, start long, print binary, block int")
-    filed = items.select(F.col("item_id"), "size", F.col("print").alias("item_print")).withColumnRenamed("item_print", "print").mapInArrow(_filed(True), "item_id long, size int, print binary, block int").withColumnRenamed("print", "item_print")
+    # Equal windows of many documents are compared once.
+    windows = windows.withColumn("sig", F.xxhash64("shingles"))
+    kinds = stage(windows.groupBy("size", "sig").agg(F.first("print").alias("print"), F.first("shingles").alias("shingles")), "kinds")
+    keyed = kinds.select("size", "sig", "print").mapInArrow(_filed(False), "size int, sig long, print binary, block int")
+    filed = items.select("item_id", "size", "print").mapInArrow(_filed(True), "item_id long, size int, print binary, block int").withColumnRenamed("print", "item_print")
     as_long = lambda c: F.conv(F.hex(c), 16, -10).cast("long")
     met = keyed.join(filed, ["size", "block"]).where(F.bit_count(as_long("print").bitwiseXOR(as_long("item_print"))) <= RADIUS)
-    met = met.select("doc_id", "size", "start", "item_id").distinct()
+    met = met.select("size", "sig", "item_id").distinct()
     whole = items.mapInArrow(_numbered, "item_id long, size int, item_shingles array<long>").distinct()
-    both = met.join(windows.drop("print"), (met.doc_id.eqNullSafe(windows.doc_id)) & (met.start == windows.start) & (met["size"] == windows["size"])).select(met.doc_id, met["size"], met.start, "item_id", "shingles")
+    both = met.join(kinds.drop("print"), ["size", "sig"])
     both = both.join(whole.withColumnRenamed("item_id", "item").withColumnRenamed("size", "item_size"), F.col("item_id").eqNullSafe(F.col("item")) & (F.col("size") == F.col("item_size")))
     inter = F.size(F.array_intersect("shingles", "item_shingles"))
-    scored = both.select("doc_id", "item_id", "start", (inter / (F.size("shingles") + F.size("item_shingles") - inter)).alias("similarity")).where(F.col("similarity") * 100 >= percent - 1e-9)
-    return scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")).select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.round("best.similarity", 9).alias("similarity"))
+    scored = both.select("size", "sig", "item_id", (inter / (F.size("shingles") + F.size("item_shingles") - inter)).alias("similarity")).where(F.col("similarity") * 100 >= percent - 1e-9)
+    found = windows.select("doc_id", "size", "sig", "start").join(stage(scored, "scored"), ["size", "sig"])
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")).select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.round("best.similarity", 9).alias("similarity"))
 
 
 def _numbered(batches):
