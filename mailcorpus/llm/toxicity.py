@@ -30,6 +30,7 @@ COMMON = 3
 #: Averages are multiplied by this before the softmax: one word in a passage must be able to decide.
 SCALE = 50.0
 RATE = 0.1
+CALIBRATE = 20
 _MARKS = np.frombuffer(b"<>", np.uint8)
 
 
@@ -164,8 +165,9 @@ def _round(model, sample: _Sample, use: np.ndarray, y: np.ndarray, rng) -> None:
     """One pass over some passages, both classes with the same weight."""
     share = np.where(y == 1, 0.5 / max(1, y[use].sum()), 0.5 / max(1, (1 - y[use]).sum()))
     use = rng.permutation(use)
-    for lo in range(0, len(use), 256):
-        _step(model, sample.batch(use[lo : lo + 256]), y[use[lo : lo + 256]], share[use[lo : lo + 256]], RATE)
+    size = min(256, max(16, len(use) // 80))  # small samples need steps, too
+    for lo in range(0, len(use), size):
+        _step(model, sample.batch(use[lo : lo + size]), y[use[lo : lo + size]], share[use[lo : lo + size]], RATE)
 
 
 def fit(texts: list[str], toxic: list[int], steps: int = 600, prior: float = 0.1, seed: int = 1) -> tuple[np.ndarray, float, float, float]:
@@ -176,8 +178,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = 600, prior: float = 0.1
     sample, rng = _Sample(texts, y_doc), np.random.default_rng(seed)
     y, every = y_doc[sample.doc], np.arange(len(sample.doc))
     aside = rng.permutation(sample.docs) % 5 == 0
-    if len(set(y_doc[aside])) < 2 or len(set(y_doc[~aside])) < 2:
-        aside[:] = False
+    if min(np.bincount(y_doc[aside], minlength=2)) < CALIBRATE:
+        aside[:] = False  # too few to fit scores on: all documents serve for both
     teach = every[~aside[sample.doc]]
     use = teach[(y[teach] == 1) | (rng.random(len(teach)) < 0.5)]
     model, rounds = _new_model(rng), _rounds(len(use), steps)
