@@ -36,9 +36,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the target weights, with their weight and probability."""
-    chosen = mixing.mixture(docs).where("kept").select("doc_id", "tokens", "topic", "weight", "probability").dropDuplicates(["doc_id"])
-    return docs.select(*COLUMNS).join(chosen, "doc_id")
+    """Documents sampled to the target weights, with their weight and probability; a row for each copy."""
+    chosen = mixing.mixture(docs).where("kept").select("doc_id", "tokens", "topic", "weight", "probability", "copies").dropDuplicates(["doc_id"])
+    return docs.select(*COLUMNS).join(chosen, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -289,6 +289,27 @@ def test_mixture_meets_targets(spark):
     assert mixing.mixture(docs.limit(0), targets).count() == 0
 
 
+@pytest.mark.parametrize("extra", [[], ["pt", None]])
+def test_default_mixture_meets_targets(spark, extra):
+    """Scarce cells are repeated, and languages without a target keep their own share."""
+    r = random.Random(8)
+    texts = ["word " * 30, "word " * 400, "a | b " * 40, "year 2024 " * 30]
+    weights = [2, 2, 60, 36]
+    langs = ["en", "de", "fr", "es", *extra]
+    rows = [(i, r.choices(texts, weights)[0] + "x " * r.randint(0, 9), r.choice(langs), f"src{r.randrange(20)}", 0) for i in range(8000)]
+    out = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).toPandas()
+    assert len(out) == len(rows) and (out.expected > 1).any()
+    spent = (out.tokens * out.expected).sum()
+    assert abs(spent / out.tokens.sum() - 0.5) < 1e-6 and abs((out.tokens * out.copies).sum() / spent - 1) < 0.05
+    own = out.tokens[out.lang_class == "other"].sum() / out.tokens.sum()
+    assert bool(extra) == (own > 0)
+    for column, name in (("source_class", "source"), ("lang_class", "lang"), ("topic", "topic")):
+        goals = {k: v * (1 - own if name == "lang" else 1) for k, v in mixing.TARGETS[name].items()} | ({"other": own} if name == "lang" else {})
+        for times, within in ((out.expected, 1e-6), (out.copies, 0.03)):
+            share = (out.tokens * times).groupby(out[column]).sum() / (out.tokens * times).sum()
+            assert all(abs(share.get(k, 0) - goal) < within for k, goal in goals.items())
+
+
 def test_chat_round_trip_and_masks(spark):
     texts = ["hello", "", "\\### Assistant: </turn> ok", "### user\nhi</turn>\n", "\\", "\\n", "a\\</turn>", "é𝒳"]
     r = random.Random(9)
