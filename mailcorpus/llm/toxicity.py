@@ -10,7 +10,8 @@ logit is that of its worst passage, so one insult in a long text still counts; a
 logistic fit on a fifth of the sample, kept aside, turns logits into scores.
 
 The classifier is fitted on the driver on at most ``sample`` labelled documents of each class,
-taken in the order of a hash of their ids, at most ``sample_bytes`` of each.
+taken whole in the order of a hash of their ids while they fit into ``sample * sample_bytes`` bytes
+of a class. So long texts lower the number of documents, and no text is cut.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import stage
 from ._text import U, Words, _powers, chunks, mix
 
 BUCKETS = 1 << 18
@@ -241,6 +243,17 @@ def _score(shared):
     return run
 
 
+def _fitting(sizes: list[tuple[int, int, int]], most: int) -> list[int]:
+    """Ids of ``(id, class, bytes)`` in order, as long as those of a class have ``most`` bytes together; a text beyond that alone is passed over."""
+    held, out = {0: 0, 1: 0}, []
+    for i, k, size in sizes:
+        if size <= most:
+            held[k] += size
+            if held[k] <= most:
+                out.append(i)
+    return out
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, sample: int = 1200, sample_bytes: int = 8_000) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, held_out, score, predicted)``, a row for each row.
 
@@ -254,8 +267,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     known = known.withColumn("held_out", F.coalesce(held_out, F.lit(False))).where(~F.col("held_out"))
     picked = [known.where(F.col("toxic") == k).groupBy("doc_id", "toxic").agg(F.xxhash64("doc_id").alias("at")).orderBy("at", "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]).select("doc_id", "toxic"))  # 2 * sample rows
-    # Long texts give their first part to the sample; scoring always reads all.
-    rows = docs.where(~F.col("held_out")).select("doc_id", F.substring("text", 1, sample_bytes).alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).toArrow()
+    rows = stage(docs.where(~F.col("held_out")).select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "sample")
+    sizes = rows.select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    whole = _fitting(sizes, sample * sample_bytes)
+    if len(whole) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in whole], "doc_id long")), "doc_id", "left_semi")
+    rows = rows.toArrow()
     ids = np.argsort(rows.column("doc_id").to_numpy())
     rows = rows.take(pa.array(ids))
     model = fit([t or "" for t in rows.column("text").to_pylist()], rows.column("toxic").to_pylist())

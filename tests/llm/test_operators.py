@@ -164,6 +164,26 @@ def test_toxicity_learns_and_meets_misspellings(spark):
     assert toxicity.toxicity(docs_of(spark, []), table, held).count() == 0
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    """All labelled texts have more than 8000 characters, and the insults come after those."""
+    r = random.Random(4)
+    plain = ["".join(r.choice(["ther", "on", "ing", "ed", "an", "wh", "er"]) for _ in range(r.randint(1, 3))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(360):
+        t = [r.choice(plain) for _ in range(1500)]
+        if i % 3 == 0:
+            t += [r.choice(["worthless", "pathetic", "disgusting"]) for _ in range(4)]
+        t = " ".join(t + [r.choice(plain) for _ in range(20)])
+        assert len(t) > 8_100
+        rows.append((i, t))
+        labels.append((i, int(i % 3 == 0)))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    got = {r.doc_id: r for r in toxicity.toxicity(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), held).collect()}
+    out = [i for i in dict(labels) if got[i].held_out]
+    assert np.mean([got[i].predicted == dict(labels)[i] for i in out]) > 0.9
+    assert toxicity._fitting([(1, 0, 6), (2, 1, 11), (3, 0, 4), (4, 1, 9), (5, 0, 1)], 10) == [1, 3, 4]
+
+
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
