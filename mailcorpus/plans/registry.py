@@ -191,6 +191,11 @@ def domain_tokens(spark, d):
     return V.messages(spark, d).select("path", F.when(F.col("body").contains(" see http"), F.size(C.domain_tokens(tail))).otherwise(0).alias("n"))
 
 
+@query(r"SELECT path, CAST(least(200, len(list_distinct(regexp_extract_all(lower(body), '\b[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,}\b')))) AS INTEGER) AS n FROM m", "m")
+def body_domain_tokens(spark, d):
+    return V.messages(spark, d).select("path", F.size(C.domain_tokens(F.col("body"))).alias("n"))
+
+
 # Search -------------------------------------------------------------------------------------------
 def _search(name: str, build: Callable, condition: str) -> None:
     """Paths that a predicate finds, and the same in SQL."""

@@ -31,3 +31,11 @@ def test_query(spark, duck, name):
     want = duck.execute(registry.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
+
+
+def test_domain_tokens_of_whole_bodies(spark, duck):
+    """Bodies without a planted link hold hosts, too."""
+    got = {r.path: r.n for r in registry.QUERIES["body_domain_tokens"](spark, SF).collect()}
+    planted = dict(duck.execute(registry.ORACLE_SQL["domain_tokens"]).fetchall())
+    assert set(got) == set(planted) and any(got[p] > n for p, n in planted.items())
+    assert all(got[p] >= n for p, n in planted.items())
