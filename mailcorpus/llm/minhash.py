@@ -128,7 +128,8 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     # then shares nearly everything, not just a passage.
     wide = full.join(crowd, "id", "left_semi").select("id", "n", F.explode(F.slice("full", 1, WIDE)).alias("v"))
     whole = F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int")
-    lists = _prefixes(wide, F.when(F.col("n") <= WIDE, whole).otherwise(SURE_WIDE), WIDE)
+    # A partner of a set just within WIDE may be beyond it and list only its WIDE smallest values.
+    lists = _prefixes(wide, F.least(whole, F.lit(SURE_WIDE)), WIDE)
     lists = stage(lists.join(full.select("id", "parity"), "id"), "wide")
     short = lists.where(F.col("m") <= SHORT_LIST)
     pairs = stage(_pairs_of(_joined(short, short, percent, WIDE, F.col("l.id") < F.col("r.id"))).join(tried, ["a", "b"], "left_anti"), "pairs")

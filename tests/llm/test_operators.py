@@ -70,6 +70,17 @@ def test_near_duplicates(spark, monkeypatch, size, limit):
     assert got == brute_components(rows, size, 80)
 
 
+def test_near_duplicates_on_both_sides_of_the_wide_sketch(spark):
+    """Crowds of copies of 512 shingles, each with a word of its own, and one of them with a quarter more text."""
+    rows = []
+    for g in range(10):
+        base = [f"g{g}w{k}" for k in range(514)]
+        rows += [(100 * g + c, " ".join([*base, f"own{g}x{c}"])) for c in range(14)]
+        rows.append((100 * g + 50, " ".join([*base, *(f"more{g}x{k}" for k in range(120 + g % 5))])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs_of(spark, rows), size=4).collect()}
+    assert got == brute_components(rows, 4, 80) and len({c for _, c in got.values()}) == 10
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = minhash.near_duplicates(docs_of(spark, ODD), size=4).collect()
     assert len(rows) == len(ODD)
