@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailcorpus.llm import decontaminate, minhash, mixing, pii, toxicity
@@ -12,22 +12,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go. A null doc_id is judged with its repeats."""
+    """Documents that the toxicity classifier rejects go."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    rejected = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out).where("predicted = 1").select("doc_id").distinct()
+    rejected = toxicity.toxicity(_named(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out).where("predicted = 1").select("doc_id").distinct()
     return _without(docs, rejected)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, and one row of each repeated document."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = minhash.near_duplicates(_named(docs)).where("NOT kept").select("doc_id").distinct()
     return _without(docs, gone).dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contaminated(docs, benchmark).select("doc_id").distinct())
+    return _without(docs, decontaminate.contaminated(_named(docs), benchmark).select("doc_id").distinct())
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +37,23 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the target weights, with their weight and probability; a row for each copy."""
-    chosen = mixing.mixture(docs).where("kept").select("doc_id", "tokens", "topic", "weight", "probability", "copies").dropDuplicates(["doc_id"])
-    return docs.select(*COLUMNS).join(chosen, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    keyed = docs.select(*COLUMNS).withColumn("key", F.xxhash64("doc_id", "text"))
+    chosen = mixing.mixture(keyed.withColumn("doc_id", F.col("key"))).where("kept").select(F.col("doc_id").alias("key"), "tokens", "topic", "weight", "probability", "copies").dropDuplicates(["key"])
+    return keyed.join(chosen, "key").drop("key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+
+
+def _name() -> Column:
+    """doc_id, or where it is null a hash of the text, larger than any id in use."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", _name())
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    gone = gone.withColumnRenamed("doc_id", "name")
+    return docs.select(*COLUMNS).withColumn("name", _name()).join(gone, "name", "left_anti").drop("name")
 
 
 STAGES = [

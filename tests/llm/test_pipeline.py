@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from mailcorpus.llm import decontaminate, queries
 
@@ -28,6 +30,22 @@ def test_stages(spark):
     assert 0 < mixed.count() < docs.count() and {"weight", "probability"} <= set(mixed.columns)
 
 
+def test_rows_without_id(spark):
+    """They go and stay by their own text; of a repeated id only the chosen text is mixed in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    leaks = decontaminate.contaminated(docs, benchmark).select("doc_id").distinct()
+    assert P.decontamination(spark, nameless, SF).count() == docs.join(leaks, "doc_id", "left_anti").count() < docs.count()
+    single = P.near_dedup(spark, docs.union(nameless), SF)
+    assert single.where("doc_id IS NULL").count() == 0 and P.near_dedup(spark, nameless, SF).count() == single.count()
+    clean = {r.text for r in P.toxic(spark, docs, SF).collect()}
+    assert {r.text for r in P.toxic(spark, docs.union(nameless), SF).where("doc_id IS NULL").collect()} == clean
+    assert P.target_mix(spark, nameless, SF).count() > 0
+    texts = spark.createDataFrame([(7, f"{'word ' * 200}{k}", "en", f"src{k % 2}", 1) for k in range(200)], docs.schema)
+    assert 0 < P.target_mix(spark, texts, SF).select("text").distinct().count() < 200
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, step in P.STAGES:
