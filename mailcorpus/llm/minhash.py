@@ -1,16 +1,17 @@
 """Near-duplicate documents by bottom-k sketches.
 
-One hash function ranks the word shingles of a document; the k smallest values are
-its sketch. Documents with the same shingle set form a class that one document
-stands for. Inverted lists of the retained values give candidate pairs, the sketch of
-the union estimates their resemblance, and the full sets decide.
-
-No list is expanded into all its pairs unless it is short. Members of long lists are listed
-anew by larger sketches; those still crowded are compared with a few pivots of their list;
-whoever links joins the pivot's component; who does not link after a few rounds is compared
-with all members of other components that could reach the threshold by their counts of common
-values and by the parity bits of their sets, neither of which ever rules out a link. So components
-are those of all links.
+One hash function ranks the word shingles of a document; its sketch is the smallest values, as
+many as the threshold lets a partner lack and a tenth of the set beyond. So two documents at the
+threshold have a known number of retained values in common, whatever their sizes. Documents with
+the same shingle set form a class that one document stands for. Inverted lists of the retained
+values, rarest first and as short as that number allows, give candidate pairs; the union sketch
+bounds how much they differ, and the full sets decide. No bound ever rules out a link.
+
+No list is expanded into all its pairs unless it is short. Members of long lists are listed anew
+by their full sets; those still crowded share nearly everything. They are compared with a few
+pivots of their list; whoever links joins the pivot's component, and who does not is compared with
+those members of other components that the sizes, the counts of common values and the parity bits
+of the sets leave possible. So components are those of all links.
 """
 
 from __future__ import annotations
@@ -24,17 +25,29 @@ from ._stage import stage
 from ._text import U, Words, chunks, long_lists, mix
 from .components import components
 
+#: Values that the union sketch of a pair is made of.
 SKETCH = 64
-#: Overlap that a pair at the threshold has in its sketches but for one pair in about 1e8 (binomial, 64 draws at 0.8).
-SURE = SKETCH // 2
-#: The same for members of long lists, with sketches of WIDE values.
-WIDE, SURE_WIDE = 512, 353
-PARITY = 512
+PARITY = 1024
 SHORT_LIST = 12
 #: Members that each of the first rounds compares the others of a long list with.
 ROUNDS = (4,)
 
 
+def _least(n: int, percent: int) -> int:
+    """Common values that a set of n values has with any partner at the threshold."""
+    return -(-n * percent // 100)
+
+
+def _sure(n: int, percent: int) -> int:
+    """Retained values of a set that are in the retained or later values of any partner; never falls as n grows."""
+    return min(_least(n, percent), max(4, n // 10))
+
+
+def _kept(n: int, percent: int) -> int:
+    """Size of the sketch: what a partner may lack, and ``_sure`` values beyond."""
+    return n - _least(n, percent) + _sure(n, percent)
+
+
 def _sets(words: Words, rows: int, size: int):
     """The sorted distinct shingle hashes of each row; a shorter row is one shingle, an empty row none."""
     grams, inside = words.grams(size)
@@ -49,19 +62,21 @@ def _sets(words: Words, rows: int, size: int):
             yield np.zeros(0, np.int64)
 
 
-def _sketches(size: int):
+def _sketches(size: int, percent: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, data, offsets in chunks(batch.column("text")):
-                n, s1, s2, sketch = [], [], [], []
+                n, need, s1, s2, sketch = [], [], [], [], []
                 for s in _sets(Words(data, offsets, lower=True), hi - lo, size):
                     h = s.view(U)
                     n.append(len(s))
+                    # The partner may be the smaller set, which is sure of less.
+                    need.append(_sure(_least(len(s), percent), percent))
                     s1.append(mix(h ^ U(0x5851F42D4C957F2D)).sum())
                     s2.append(mix(h ^ U(0x14057B7EF767814F)).sum())
-                    sketch.append(s[:SKETCH])
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n, pa.int64()), pa.array(np.array(s1, U).view(np.int64)), pa.array(np.array(s2, U).view(np.int64)), long_lists(sketch)], ["doc_id", "n_shingles", "s1", "s2", "sketch"])
+                    sketch.append(s[: _kept(len(s), percent)])
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n, pa.int64()), pa.array(need, pa.int32()), pa.array(np.array(s1, U).view(np.int64)), pa.array(np.array(s2, U).view(np.int64)), long_lists(sketch)], ["doc_id", "n_shingles", "need", "s1", "s2", "sketch"])
 
     return run
 
@@ -96,9 +111,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component is that of its copies, or null and kept without any. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stage(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>"), "sets")
+    sets = stage(docs.mapInArrow(_sketches(size, percent), "doc_id long, n_shingles long, need int, s1 long, s2 long, sketch array<long>"), "sets")
     classes = stage(sets.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = stage(sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", "sketch").join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "n", "sketch").dropDuplicates(["id", "n"]), "nodes")
+    nodes = stage(sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "need", "s1", "s2", "sketch").join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "n", "need", "sketch").dropDuplicates(["id", "n"]), "nodes")
 
     reached = components(_links(docs, nodes, size, percent)).withColumnRenamed("id", "rep")
     named = classes.join(reached, "rep", "left")
@@ -110,58 +125,63 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links that join every component."""
-    share = percent / 100
-    # The overlap that a link needs at least, from the side of one node.
-    need = F.least(F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)), F.lit(SURE)).cast("int")
-    postings = nodes.select("id", "n", F.explode("sketch").alias("v"))
-    lists = stage(_prefixes(postings, need, SKETCH), "narrow")
-
+    lists = stage(_prefixes(nodes.withColumnRenamed("sketch", "values")), "narrow")
     short = lists.where(F.col("m") <= SHORT_LIST)
-    tried = stage(_pairs_of(_joined(short, short, percent, SKETCH, F.col("l.id") < F.col("r.id"))), "pairs")
+    tried = stage(_pairs_of(_joined(short, short, percent, F.col("l.id") < F.col("r.id"))), "pairs")
     crowd = stage(lists.where(F.col("m") > SHORT_LIST).select("id").distinct(), "crowd")
     ids = tried.select(F.explode(F.array("a", "b")).alias("id")).union(crowd).distinct()
     texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    full = stage(texts.mapInArrow(_full(size), "id long, full array<long>, parity array<long>").join(nodes, "id").where(F.size("full") == F.col("n")), "full")
+    own = nodes.select("id", "n", F.slice("sketch", 1, SKETCH).alias("sketch"))
+    full = stage(texts.mapInArrow(_full(size), "id long, full array<long>, parity array<long>").join(own, "id").where(F.size("full") == F.col("n")), "full")
     links = _verified(tried, full, percent)
 
-    # Members of long lists again, by the whole set or a much larger sketch: what remains listed
-    # then shares nearly everything, not just a passage.
-    wide = full.join(crowd, "id", "left_semi").select("id", "n", F.explode(F.slice("full", 1, WIDE)).alias("v"))
-    whole = F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int")
-    # A partner of a set just within WIDE may be beyond it and list only its WIDE smallest values.
-    lists = _prefixes(wide, F.least(whole, F.lit(SURE_WIDE)), WIDE)
+    # Members of long lists again, by the whole set: what remains listed then shares nearly
+    # everything, not just a passage.
+    whole = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
+    lists = _prefixes(full.join(crowd, "id", "left_semi").select("id", "n", whole.alias("need"), F.col("full").alias("values")))
     lists = stage(lists.join(full.select("id", "parity"), "id"), "wide")
     short = lists.where(F.col("m") <= SHORT_LIST)
-    pairs = stage(_pairs_of(_joined(short, short, percent, WIDE, F.col("l.id") < F.col("r.id"))).join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = stage(_pairs_of(_joined(short, short, percent, F.col("l.id") < F.col("r.id"))).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = stage(links.union(_verified(pairs, full, percent)), "links")
     return _crowded(stage(lists.where(F.col("m") > SHORT_LIST).drop("m"), "long"), full, links, percent)
 
 
-def _prefixes(postings: DataFrame, need, sketch: int) -> DataFrame:
-    """``(v, id, n, common, rare, m)``: the lists of values, as short as they can be.
+def _prefixes(nodes: DataFrame) -> DataFrame:
+    """``(id, n, need, values)`` -> ``(v, id, n, common, rare, m)``: the lists of values, as short as they can be.
 
     Of each node its rarest values, as many as any partner with ``need`` common values must meet.
     ``common`` of the node's values occur elsewhere, ``rare`` do not; m nodes list v.
     """
+    postings = nodes.select("id", F.explode("values").alias("v"))
     frequency = stage(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
-    ranked = postings.join(frequency, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
-    room = F.greatest(F.lit(0), F.size("values") - need + 1)
-    common = F.size("values").alias("common")
-    lists = stage(ranked.select("id", "n", common, (F.least("n", F.lit(sketch)) - F.size("values")).cast("int").alias("rare"), F.explode(F.slice("values", F.lit(1), room)).alias("x")).select("id", "n", "common", "rare", "x.v"), "lists")
+    ranked = postings.join(frequency, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("ranked"))
+    ranked = ranked.join(nodes.select("id", "n", "need", F.size("values").alias("all")), "id")
+    common = F.size("ranked")
+    rarest = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), common - F.col("need") + 1))
+    lists = stage(ranked.select("id", "n", common.alias("common"), (F.col("all") - common).alias("rare"), F.explode(rarest).alias("x")).select("id", "n", "common", "rare", "x.v"), "lists")
     return lists.join(stage(lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "listed"), "v")
 
 
-def _joined(left: DataFrame, right: DataFrame, percent: int, sketch: int, also) -> DataFrame:
-    """Pairs of ids in one list that can reach the threshold by their sizes and common values."""
-    n, most = F.col("l.n") + F.col("r.n"), F.least("l.common", "r.common")
+def _joined(left: DataFrame, right: DataFrame, percent: int, also) -> DataFrame:
+    """Pairs of ids in one list that can reach the threshold by their sizes and, of full sets, by what they have in common."""
+    n = F.col("l.n") + F.col("r.n")
     fits = (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
-    fits &= (F.greatest("l.n", "r.n") > sketch) | (most * 100 >= (n - most) * percent)
-    if "parity" in left.columns:  # sets differ in at least as many values as their parities in bits
-        apart = sum(F.bit_count(F.col("l.parity")[k].bitwiseXOR(F.col("r.parity")[k])) for k in range(PARITY // 64))
-        fits &= (n - apart) * (100 + percent) >= n * 2 * percent
+    if "parity" in left.columns:
+        most = F.least("l.common", "r.common")
+        fits &= (most * 100 >= (n - most) * percent) & _near(n, _apart("l.parity", "r.parity"), percent)
     return left.alias("l").join(right.alias("r"), (F.col("l.v") == F.col("r.v")) & fits & also).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
 
 
+def _apart(left: str, right: str):
+    """Bits in which two parities differ: at most as many as values that only one of the sets has."""
+    return sum(F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(PARITY // 64))
+
+
+def _near(n, apart, percent: int):
+    """Whether sets of n values together that differ in ``apart`` values or more can reach the threshold."""
+    return (n - apart) * (100 + percent) >= n * 2 * percent
+
+
 def _crowded(long: DataFrame, full: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links until each long list is one component or all its pairs across components are compared.
 
@@ -185,7 +205,7 @@ def _crowded(long: DataFrame, full: DataFrame, links: DataFrame, percent: int) -
         else:
             chosen = members
         outside = members.where(F.col("component") != F.col("top"))
-        pairs = _pairs_of(_joined(outside, chosen, percent, WIDE, F.col("l.component") != F.col("r.component")))
+        pairs = _pairs_of(_joined(outside, chosen, percent, F.col("l.component") != F.col("r.component")))
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = _verified(pairs, full, percent)
@@ -206,12 +226,14 @@ def _relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose union sketch admits the threshold and whose full sets reach it."""
-    side = lambda at: full.select(F.col("id").alias(at), F.col("n").alias(f"n_{at}"), F.col("sketch").alias(f"s_{at}"), F.col("full").alias(f"f_{at}"))
-    both = pairs.join(side("b").drop("f_b"), "b").join(side("a").drop("f_a"), "a")
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), union))
-    likely = stage(both.where(shared * 2 >= F.size(union)).select("a", "b"), "likely")
-    exact = likely.join(side("b").drop("s_b"), "b").join(side("a").drop("s_a"), "a")
-    inter = F.size(F.array_intersect("f_a", "f_b")).cast("long")
-    return stage(exact.where(inter * 100 >= (F.col("n_a") + F.col("n_b") - inter) * percent).select("a", "b"), "links")
+    """Pairs whose union sketch and parities admit the threshold and whose full sets reach it."""
+    side = lambda at, *more: full.select(F.col("id").alias(at), F.col("n").alias(f"n_{at}"), *(F.col(c).alias(f"{c}_{at}") for c in more))
+    both = pairs.join(side("b", "sketch", "parity"), "b").join(side("a", "sketch", "parity"), "a")
+    # Of the union's smallest values, those that only one set has.
+    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
+    single = F.size(union) - F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
+    n = F.col("n_a") + F.col("n_b")
+    likely = stage(both.where(_near(n, _apart("parity_a", "parity_b"), percent) & _near(n, single, percent)).select("a", "b"), "likely")
+    exact = likely.join(side("b", "full"), "b").join(side("a", "full"), "a")
+    inter = F.size(F.array_intersect("full_a", "full_b")).cast("long")
+    return stage(exact.where(inter * 100 >= (n - inter) * percent).select("a", "b"), "links")
