@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bitmap import bitmap, marked, place
 from ._stage import stage
 from ._text import U, Words, chunks, long_lists, mix
 from .components import components
@@ -87,9 +88,12 @@ def _parity(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
-def _full(size: int):
+def _full(size: int, shared):
+    """Full sets and parities of the rows that the bitmap has."""
+
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(marked(shared.value, batch.column("place").to_numpy())))
             ids = batch.column("id")
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 sets = list(_sets(Words(data, offsets, lower=True), hi - lo, size))
@@ -113,7 +117,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stage(docs.mapInArrow(_sketches(size, percent), "doc_id long, n_shingles long, need int, s1 long, s2 long, sketch array<long>"), "sets")
     classes = stage(sets.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = stage(sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "need", "s1", "s2", "sketch").join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "n", "need", "sketch").dropDuplicates(["id", "n"]), "nodes")
+    nodes = stage(sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "need", "s1", "s2", "sketch").join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"]).select("id", "n", "need", "sketch"), "nodes")
 
     reached = components(_links(docs, nodes, size, percent)).withColumnRenamed("id", "rep")
     named = classes.join(reached, "rep", "left")
@@ -129,21 +133,23 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     short = lists.where(F.col("m") <= SHORT_LIST)
     tried = stage(_pairs_of(_joined(short, short, percent, F.col("l.id") < F.col("r.id"))), "pairs")
     crowd = stage(lists.where(F.col("m") > SHORT_LIST).select("id").distinct(), "crowd")
-    ids = tried.select(F.explode(F.array("a", "b")).alias("id")).union(crowd).distinct()
-    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    own = nodes.select("id", "n", F.slice("sketch", 1, SKETCH).alias("sketch"))
-    full = stage(texts.mapInArrow(_full(size), "id long, full array<long>, parity array<long>").join(own, "id").where(F.size("full") == F.col("n")), "full")
-    links = _verified(tried, full, percent)
+    ids = stage(tried.select(F.explode(F.array("a", "b")).alias("id")).union(crowd).distinct(), "ids")
+    # Texts stay where they are: a bitmap of the ids tells which sets to make.
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(place(F.col("id")))))
+    texts = docs.withColumnRenamed("doc_id", "id").withColumn("place", place(F.col("id")))
+    own = nodes.select("id", "n", F.slice("sketch", 1, SKETCH).alias("sketch")).join(ids, "id", "left_semi")
+    full = stage(texts.mapInArrow(_full(size, shared), "id long, full array<long>, parity array<long>").join(own, "id").where(F.size("full") == F.col("n")), "full")
 
     # Members of long lists again, by the whole set: what remains listed then shares nearly
     # everything, not just a passage.
     whole = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
-    lists = _prefixes(full.join(crowd, "id", "left_semi").select("id", "n", whole.alias("need"), F.col("full").alias("values")))
-    lists = stage(lists.join(full.select("id", "parity"), "id"), "wide")
+    lists = stage(_prefixes(full.join(crowd, "id", "left_semi").select("id", "n", whole.alias("need"), F.col("full").alias("values"))), "wide")
     short = lists.where(F.col("m") <= SHORT_LIST)
-    pairs = stage(_pairs_of(_joined(short, short, percent, F.col("l.id") < F.col("r.id"))).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = stage(links.union(_verified(pairs, full, percent)), "links")
-    return _crowded(stage(lists.where(F.col("m") > SHORT_LIST).drop("m"), "long"), full, links, percent)
+    pairs = stage(_pairs_of(_joined(short, short, percent, F.col("l.id") < F.col("r.id"))).union(tried).distinct(), "pairs")
+    links = _verified(pairs, full, percent)
+    long = lists.where(F.col("m") > SHORT_LIST).drop("m")
+    full = stage(full.join(long.select("id").distinct(), "id", "left_semi"), "crowded")
+    return _crowded(stage(long.join(full.select("id", "parity"), "id"), "long"), full, links, percent)
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
