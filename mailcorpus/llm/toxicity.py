@@ -3,13 +3,13 @@
 A word is the bag of its character 3- to 5-grams, with word ends marked, and of itself; each has
 an embedding, so an unseen misspelling shares most of its vectors with the word it hides. A
 passage of PASSAGE words is the average of its words' averages; a softmax over it gives
-P(toxic). Embeddings and softmax are trained jointly, with Adagrad, in numpy. Labels belong to
-documents, so later rounds use only the passages of toxic documents that look toxic by then,
-and of clean documents the most suspicious ones. A document's
+P(toxic). Embeddings and softmax are trained jointly, with Adagrad, in numpy, in as many steps for any
+sample. Labels belong to documents, so later steps use only the passages of toxic documents that
+look toxic by then, and of clean documents mostly the suspicious ones. A document's
 logit is that of its worst passage, so one insult in a long text still counts; a
 logistic fit on a fifth of the sample, kept aside, turns logits into scores.
 
-The classifier is fitted on the driver on at most ``sample`` labelled documents of each class,
+The classifier is fitted by one task on at most ``sample`` labelled documents of each class,
 taken whole in the order of a hash of their ids while they fit into ``sample * sample_bytes`` bytes
 of a class. So long texts lower the number of documents, and no text is cut.
 """
@@ -32,7 +32,10 @@ COMMON = 3
 #: Averages are multiplied by this before the softmax: one word in a passage must be able to decide.
 SCALE = 50.0
 RATE = 0.1
-CALIBRATE = 20
+#: Training steps, whatever the sample; each takes BATCH passages, half of them of toxic documents.
+STEPS, BATCH = 1200, 64
+#: The pools are chosen anew so often in the second half.
+RENEWALS = 4
 _MARKS = np.frombuffer(b"<>", np.uint8)
 
 
@@ -76,26 +79,35 @@ def _passages(first: int, last: int) -> list[tuple[int, int]]:
 class _Sample:
     """Labelled documents as passages of distinct words."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray):
-        raw = [t.encode() for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
-        words = Words(np.frombuffer(b"".join(raw), np.uint8), offsets, lower=True)
-        _, one, self.word = np.unique(words.hash, return_index=True, return_inverse=True)
-        bucket, owner = _subwords(words.data, words.start[one], words.end[one])
-        order = np.argsort(owner, kind="stable")
-        self.bucket = bucket[order]
-        self.first = np.searchsorted(owner[order], np.arange(len(one) + 1))
-        spans = [(d, *p) for d in range(len(texts)) for p in _passages(words.first[d], words.first[d + 1])]
+    def __init__(self, texts: pa.Array):
+        seen: dict[int, int] = {}
+        places, buckets, counts, spans, docs, first = [], [], [], [], [], 0
+        for lo, hi, data, offsets in chunks(texts):
+            words = Words(data, offsets, lower=True)
+            every, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
+            names = np.array([seen.setdefault(h, len(seen)) for h in every.tolist()], np.int32)
+            fresh = np.flatnonzero(names >= sum(map(len, counts)))
+            bucket, owner = _subwords(words.data, words.start[one[fresh]], words.end[one[fresh]])
+            buckets.append(bucket[np.argsort(owner, kind="stable")])
+            # Names follow the order of the hashes, as do the fresh words here.
+            counts.append(np.bincount(owner, minlength=len(fresh)))
+            places.append(names[back])
+            spans += [(lo + d, first + p, first + q) for d in range(hi - lo) for p, q in _passages(words.first[d], words.first[d + 1])]
+            docs += [(first + words.first[d], first + words.first[d + 1]) for d in range(hi - lo)]
+            first += len(words)
+        whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.word, self.bucket = whole(places, np.int32), whole(buckets, np.int32)
+        self.first = np.concatenate([[0], np.cumsum(whole(counts, np.int64))])
         self.doc, self.lo, self.hi = np.array(spans, np.int64).reshape(-1, 3).T
-        self.docs = len(texts)
+        self.docs = len(docs)
         # Subwords of fewer than COMMON documents are left out.
-        seen = np.zeros(BUCKETS, np.int64)
-        for d in range(self.docs):
-            word = np.unique(self.word[words.first[d] : words.first[d + 1]])
+        seen_in = np.zeros(BUCKETS, np.int64)
+        for a, b in docs:
+            word = np.unique(self.word[a:b])
             n = self.first[word + 1] - self.first[word]
             sub = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[word], n)
-            seen[np.unique(self.bucket[sub])] += 1
-        self.common = seen >= COMMON
+            seen_in[np.unique(self.bucket[sub])] += 1
+        self.common = seen_in >= COMMON
 
     def batch(self, passages: np.ndarray):
         """Distinct words of some passages: their subwords, and passage/word/weight triples."""
@@ -148,12 +160,7 @@ def _step(model, x, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
 
 
 def _new_model(rng):
-    return [rng.normal(0, 0.05, (BUCKETS, WIDTH)), rng.normal(0, 0.5, (WIDTH, 2)), np.zeros(2), np.zeros((BUCKETS, 1)), np.zeros((WIDTH, 2)), np.zeros(2)]
-
-
-def _rounds(passages: int, steps: int) -> int:
-    """Passes over the passages: enough for ``steps`` steps, at least 4, at most 12."""
-    return int(min(12, max(4, steps * 256 // max(1, passages))))
+    return [rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 0.5, (WIDTH, 2)), np.zeros(2), np.zeros((BUCKETS, 1), np.float32), np.zeros((WIDTH, 2)), np.zeros(2)]
 
 
 def _margins(model, sample: _Sample, at: np.ndarray) -> np.ndarray:
@@ -163,45 +170,56 @@ def _margins(model, sample: _Sample, at: np.ndarray) -> np.ndarray:
     return logits[:, 1] - logits[:, 0]
 
 
-def _round(model, sample: _Sample, use: np.ndarray, y: np.ndarray, rng) -> None:
-    """One pass over some passages, both classes with the same weight."""
-    share = np.where(y == 1, 0.5 / max(1, y[use].sum()), 0.5 / max(1, (1 - y[use]).sum()))
-    use = rng.permutation(use)
-    size = min(256, max(16, len(use) // 80))  # small samples need steps, too
-    for lo in range(0, len(use), size):
-        _step(model, sample.batch(use[lo : lo + size]), y[use[lo : lo + size]], share[use[lo : lo + size]], RATE)
+def _aside(y: np.ndarray, rng) -> np.ndarray:
+    """A fifth of each class, one document at least, where a class has two or more."""
+    out = np.zeros(len(y), bool)
+    for k in (0, 1):
+        at = rng.permutation(np.flatnonzero(y == k))
+        out[at[: max(1, len(at) // 5)]] = len(at) > 1
+    return out
+
 
+def _pools(margin: np.ndarray, passages: np.ndarray, doc: np.ndarray, y: np.ndarray, rng) -> list[np.ndarray]:
+    """Passages of clean documents, the most suspicious of each and some others, and those of toxic documents that look toxic, the worst of each at least."""
+    worst = np.full(doc.max() + 1, -np.inf)
+    np.maximum.at(worst, doc, margin)
+    worst = margin >= worst[doc]
+    return [passages[(y == 0) & (worst | (rng.random(len(y)) < 0.3))], passages[(y == 1) & (worst | (margin > 0))]]
 
-def fit(texts: list[str], toxic: list[int], steps: int = 600, prior: float = 0.1, seed: int = 1) -> tuple[np.ndarray, float, float, float]:
-    """The logit of each bucket, the bias, and slope and shift of the score; flat scores without both classes."""
+
+def fit(texts: pa.Array, toxic: np.ndarray, prior: float = 0.1, seed: int = 1) -> tuple[np.ndarray, float, float, float]:
+    """The logit of each bucket, the bias, and slope and shift of the score; flat scores without two documents of both classes."""
     y_doc = np.asarray(toxic, np.int64)
-    if not len(y_doc) or y_doc.min() == y_doc.max():
-        return np.zeros(BUCKETS), 0.0, 0.0, -4.0
-    sample, rng = _Sample(texts, y_doc), np.random.default_rng(seed)
+    if min(np.bincount(y_doc, minlength=2)) < 2:
+        return np.zeros(BUCKETS, np.float32), 0.0, 0.0, -4.0
+    sample, rng = _Sample(texts), np.random.default_rng(seed)
     y, every = y_doc[sample.doc], np.arange(len(sample.doc))
-    aside = rng.permutation(sample.docs) % 5 == 0
-    if min(np.bincount(y_doc[aside], minlength=2)) < CALIBRATE:
-        aside[:] = False  # too few to fit scores on: all documents serve for both
+    aside = _aside(y_doc, rng)
     teach = every[~aside[sample.doc]]
-    use = teach[(y[teach] == 1) | (rng.random(len(teach)) < 0.5)]
-    model, rounds = _new_model(rng), _rounds(len(use), steps)
-    for k in range(rounds):
-        _round(model, sample, use, y, rng)
-        if k >= rounds // 2:
-            margin = _margins(model, sample, teach)
-            worst = np.full(sample.docs, -np.inf)
-            np.maximum.at(worst, sample.doc[teach], margin)
-            clean = (margin >= worst[sample.doc[teach]]) | (rng.random(len(teach)) < 0.3)
-            use = teach[np.where(y[teach] == 1, margin > 0, clean)]
-            if not y[use].any():
-                break
-    judge = aside if aside.any() else np.ones(sample.docs, bool)
-    at = every[judge[sample.doc]]
+    model, pools = _new_model(rng), [teach[y[teach] == k] for k in (0, 1)]
+    for k in range(STEPS):
+        left = STEPS - k
+        if left * 2 <= STEPS and left % (STEPS // 2 // RENEWALS) == 0:
+            pools = _pools(_margins(model, sample, teach), teach, sample.doc[teach], y[teach], rng)
+        at = np.concatenate([rng.choice(pool, BATCH // 2) for pool in pools])
+        _step(model, sample.batch(at), y[at], np.ones(BATCH), RATE)
+    at = every[aside[sample.doc]]
     worst = np.full(sample.docs, -np.inf)
     np.maximum.at(worst, sample.doc[at], _margins(model, sample, at))
-    slope, shift = _logistic(worst[judge], y_doc[judge], prior)
+    slope, shift = _logistic(worst[aside], y_doc[aside], prior)
     e, w, b = model[:3]
-    return np.where(sample.common, e @ (w[:, 1] - w[:, 0]), 0.0), float(b[1] - b[0]), slope, shift
+    return np.where(sample.common, e @ (w[:, 1] - w[:, 0]), 0.0).astype(np.float32), float(b[1] - b[0]), slope, shift
+
+
+def _fitted(batches):
+    """The whole sample, in the order of its ids -> one row, the model."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    rows = rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable")))
+    logit, *rest = fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array([logit.tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in rest)], ["logit", "bias", "slope", "shift"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
@@ -258,24 +276,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     """``docs(doc_id, text)`` -> ``(doc_id, held_out, score, predicted)``, a row for each row.
 
     ``labels(doc_id, toxic)`` teach where ``held_out`` is false; null labels, ids without a
-    document and texts of repeated ids beyond the first teach nothing. Null and empty texts are
+    document and ids labelled both ways teach nothing; of a repeated id the least text teaches. Null and empty texts are
     scored as no words. A null doc_id is not held out. Without labels of both classes every
     score is the same, below the threshold. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     known = known.withColumn("held_out", F.coalesce(held_out, F.lit(False))).where(~F.col("held_out"))
     picked = [known.where(F.col("toxic") == k).groupBy("doc_id", "toxic").agg(F.xxhash64("doc_id").alias("at")).orderBy("at", "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]).select("doc_id", "toxic"))  # 2 * sample rows
-    rows = stage(docs.where(~F.col("held_out")).select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "sample")
+    rows = stage(docs.where(~F.col("held_out")).select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
     sizes = rows.select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    whole = _fitting(sizes, sample * sample_bytes)
-    if len(whole) < len(sizes):
-        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in whole], "doc_id long")), "doc_id", "left_semi")
-    rows = rows.toArrow()
-    ids = np.argsort(rows.column("doc_id").to_numpy())
-    rows = rows.take(pa.array(ids))
-    model = fit([t or "" for t in rows.column("text").to_pylist()], rows.column("toxic").to_pylist())
-    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), *model[1:]))
+    whole = docs.sparkSession.createDataFrame([(i,) for i in _fitting(sizes, sample * sample_bytes)], "doc_id long")
+    # One task fits the model; should its executor be lost, another one does.
+    model = rows.join(F.broadcast(whole), "doc_id", "left_semi").repartition(1).mapInArrow(_fitted, "logit binary, bias double, slope double, shift double").first()
+    logit = np.frombuffer(model.logit, np.float32) if model else np.zeros(BUCKETS, np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((logit, *(model[1:] if model else (0.0, 0.0, -4.0))))
     out = docs.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,30 @@ def test_toxicity_learns_and_meets_misspellings(spark):
     assert toxicity.toxicity(docs_of(spark, []), table, held).count() == 0
 
 
+def test_toxicity_scores_by_hand(spark):
+    """The scores of passages, added up word by word; labels that contradict each other and repeated ids with other texts do not make runs differ."""
+    r = random.Random(5)
+    plain = ["".join(r.choice(["ther", "on", "ing", "ed"]) for _ in range(2)) for _ in range(60)]
+    rows = [(i, " ".join([r.choice(plain) for _ in range(r.randint(0, 200))] + ["worthless"] * (i % 3 == 0))) for i in range(90)] + [(3, "another text"), (4, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(7, 1), (9, 0)], "doc_id long, toxic int")
+    none = F.lit(False)
+    got = [sorted((r.doc_id, r.score) for r in toxicity.toxicity(docs_of(spark, x), labels, none).collect()) for x in (rows, rows[::-1])]
+    assert got[0] == got[1]
+    taught = sorted((i, min(t for j, t in rows if j == i and t is not None), int(i % 3 == 0)) for i in range(90) if i not in (7, 9))
+    logit, bias, slope, shift = toxicity.fit(pa.array([t for _, t, _ in taught], pa.string()), np.array([k for *_, k in taught]))
+    for (i, score), (_, text) in zip(got[0], sorted(rows, key=lambda x: (x[0], 0)), strict=True):
+        if i in (3, 4):
+            continue  # two texts
+        w, logits = words(text, True), []
+        for at in [0] if len(w) <= toxicity.PASSAGE else [*range(0, len(w) - toxicity.PASSAGE, toxicity.STRIDE), len(w) - toxicity.PASSAGE]:
+            kinds, total = sorted(set(w[at : at + toxicity.PASSAGE])), 0.0
+            for x in kinds:
+                data = np.frombuffer(x.encode(), np.uint8)
+                total += float(np.mean(logit[toxicity._subwords(data, np.array([0]), np.array([len(data)]))[0]]))
+            logits.append(total * toxicity.SCALE / max(toxicity.LEAST, len(kinds)) + bias)
+        assert abs(score - 1 / (1 + math.exp(-max(-60, min(60, slope * max(logits) + shift))))) < 1e-6
+
+
 def test_toxicity_learns_from_the_end_of_long_texts(spark):
     """All labelled texts have more than 8000 characters, and the insults come after those."""
     r = random.Random(4)
