@@ -5,176 +5,214 @@ matter, and those are found without moving every suffix: each window is filed un
 smallest-hashed ``prefix``-word run inside it (equal windows choose the same run at the same
 place), so a window whose run occurs once in the corpus has no equal.
 
-Suffixes filed under one run form a group that fits in memory; its tree is grown from the
-root, a few words a level, dropping branches with one leaf; nodes at depth ``window`` that
-keep two leaves are the deep internal nodes. A run with more than ``group_limit`` occurrences
-is dealt into parts with a tree each; suffixes that have no equal in their part go on under a
-longer prefix, the whole window, where a count over all parts tells how many leaves a node
-has. So no group outgrows memory and none is cut short. Neighbouring repeated windows merge
+Prefixes have two lengths. Suffixes filed under one run form a group that fits in memory; its
+tree is grown from the root: edges are labelled with LEVEL words, compared as words, branches
+with one leaf are dropped, and nodes at depth ``window`` that keep two leaves are the deep
+internal nodes. A run with more than ``group_limit`` occurrences would not fit: its suffixes are
+filed under the longest prefix, the whole window, where a node is one key and Spark counts its
+leaves, so no group outgrows memory and none is cut short. Neighbouring repeated windows merge
 into maximal repeats.
+
+Texts are not moved to find repeats: bitmaps of the runs that recur, and of overfull ones, go to
+the tasks that read them. What a bitmap marks in error makes a group without repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bitmap import BITS, bitmap, marked, place
 from ._stage import stage
 from ._text import U, Words, as_bytes, chunks, gram_hashes, mix
 
 LEVEL = 7
-TREE_BYTES = 4_000_000
+ROW = ("d", "text_id")
 
 
-def _anchors(window: int, prefix: int):
-    """Of each row: the runs that windows are filed under, and which windows those are."""
+def _runs(words: Words, window: int, prefix: int) -> tuple[np.ndarray, ...]:
+    """The runs that windows are filed under: key, row, and the first and last of those windows."""
     span = window - prefix + 1
+    runs, _ = words.grams(prefix)
+    n = max(0, len(words) - window + 1)
+    starts = np.flatnonzero(words.row[:n] == words.row[window - 1 :])
+    if not len(starts):
+        return np.zeros(0, U), *(np.zeros(0, np.int64),) * 3
+    at = (np.arange(n) + np.lib.stride_tricks.sliding_window_view(runs[: n + span - 1], span).argmin(axis=1))[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (at[1:] != at[:-1]) | (words.row[starts[1:]] != words.row[starts[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(starts)) - 1
+    return runs[at[first]], words.row[starts[first]], starts[first], starts[last]
+
+
+def _counted(window: int, prefix: int):
+    """How often each run is a place for windows, added up over a chunk."""
 
     def run(batches):
         for batch in batches:
-            ids, text_ids = batch.column("doc_id"), batch.column("text_id")
-            for lo, hi, data, offsets in chunks(batch.column("text")):
-                words = Words(data, offsets)
-                runs, _ = words.grams(prefix)
-                n = len(words) - window + 1
-                if n <= 0:
-                    continue
-                inside = words.row[:n] == words.row[window - 1 :]
-                at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(runs[: n + span - 1], span).argmin(axis=1)
-                at, starts = at[inside], np.flatnonzero(inside)
-                if not len(starts):
-                    continue
-                new = np.ones(len(starts), bool)
-                new[1:] = (at[1:] != at[:-1]) | (words.row[starts[1:]] != words.row[starts[:-1]])
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(starts)) - 1
-                row = words.row[starts[first]]
-                base = words.first[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs[at[first]].view(np.int64)), ids.take(pa.array(row + lo)), text_ids.take(pa.array(row + lo)), pa.array((starts[first] - base).astype(np.int32)), pa.array((starts[last] - base).astype(np.int32))],
-                    ["key", "doc_id", "text_id", "lo", "hi"],
-                )
+            for _, _, data, offsets in chunks(batch.column("text")):
+                key, n = np.unique(_runs(Words(data, offsets), window, prefix)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     return run
 
 
-def _slices(window: int):
-    """The words under each anchor."""
+def _chosen(batch, shared, window: int, prefix: int, overfull: bool):
+    """Of each chunk: its words, bytes, first row, and the recurring runs that are or are not overfull."""
+    recurs, full = shared.value
+    for lo, _, data, offsets in chunks(batch.column("text")):
+        words = Words(data, offsets)
+        key, row, first, last = _runs(words, window, prefix)
+        at = (key & U(BITS - 1)).astype(np.int64)
+        use = marked(recurs, at) & (marked(full, at) == overfull)
+        yield words, data, lo, key[use], row[use], first[use], last[use]
+
+
+def _slices(shared, window: int, prefix: int):
+    """The words under each run that fits in memory."""
 
     def run(batches):
         for batch in batches:
-            ids, text_ids, anchors = batch.column("doc_id"), batch.column("text_id"), batch.column("anchors")
-            for lo, hi, data, offsets in chunks(batch.column("text")):
-                words = Words(data, offsets)
-                out = []
+            for words, data, top, key, row, first, last in _chosen(batch, shared, window, prefix, False):
                 raw = data.tobytes()
-                for r in range(lo, hi):
-                    base = words.first[r - lo]
-                    for key, first, last, part in sorted({(x["key"], x["lo"], x["hi"], x["part"]) for x in anchors[r].as_py()}):
-                        out.append((key, part, raw[words.start[base + first] : words.end[base + last + window - 1]], r, first))
-                if out:
-                    c = list(zip(*out))
-                    rows = pa.array(c[3])
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), ids.take(rows), text_ids.take(rows), pa.array(c[4], pa.int32())], ["key", "part", "words", "doc_id", "text_id", "lo"])
+                text = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[last + window - 1].tolist())]
+                of = pa.array(row + top)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(text, pa.binary()), *(batch.column(c).take(of) for c in ROW), pa.array((first - words.first[row]).astype(np.int32))], ["key", "words", *ROW, "lo"])
 
     return run
 
 
-def _deep(group: np.ndarray, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of ``window`` words or more; those that share as many with another of their group, and their nodes."""
+def _windows(shared, window: int, prefix: int):
+    """The windows under each overfull run, by 128 bits of hash."""
+
+    def run(batches):
+        for batch in batches:
+            for words, _, top, _, row, first, last in _chosen(batch, shared, window, prefix, True):
+                size = last - first + 1
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+                of = pa.array(np.repeat(row, size) + top)
+                keys = [gram_hashes(h, window)[at].view(np.int64) if len(at) else np.zeros(0, np.int64) for h in (words.hash, mix(words.hash ^ U(LEVEL)))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), *(batch.column(c).take(of) for c in ROW), pa.array((at - words.first[np.repeat(row, size)]).astype(np.int32))], ["key", "key2", *ROW, "lo"])
+
+    return run
+
+
+def _names(words: Words) -> np.ndarray:
+    """A number for each distinct word; equal hashes of different words are told apart."""
+    _, one, name = np.unique(words.hash, return_index=True, return_inverse=True)
+    raw = words.data.tobytes()
+    text = [raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist())]
+    known = [text[k] for k in one.tolist()]
+    if all(map(bytes.__eq__, text, map(known.__getitem__, name.tolist()))):
+        return name
+    numbers: dict[bytes, int] = {}
+    return np.array([numbers.setdefault(t, len(numbers)) for t in text])
+
+
+def _labels(names: np.ndarray, size: int) -> np.ndarray:
+    """A number for each distinct run of ``size`` names, by doubling; the last size - 1 places have none."""
+    have, label = 1, names
+    while have < size:
+        step = min(have, size - have)
+        n = len(label) - step
+        _, label = np.unique(label[:n] * (int(label.max()) + 1) + label[step:], return_inverse=True) if n > 0 else (None, label[:0])
+        have += step
+    return label
+
+
+def _deep(group: np.ndarray, words: Words, window: int) -> np.ndarray:
+    """The suffixes that are leaves of a node at depth ``window`` with two leaves or more, in order."""
     n = max(0, len(words) - window + 1)
-    every = np.flatnonzero(words.row[:n] == words.row[window - 1 :])
-    at, node, depth = every, group[words.row[every]], 0
+    at = np.flatnonzero(words.row[:n] == words.row[window - 1 :])
+    node, depth = group[words.row[at]].astype(np.int64), 0
+    names, edges = _names(words), {}
     while depth < window and len(at):
         step = min(LEVEL, window - depth)
-        _, edge = np.unique(gram_hashes(words.hash, step)[at + depth], return_inverse=True)
-        _, node, leaves = np.unique(node.astype(np.int64) * (len(at) + 1) + edge, return_inverse=True, return_counts=True)
+        if step not in edges:
+            edges[step] = _labels(names, step)
+        edge = edges[step][at + depth]
+        _, node, leaves = np.unique(node * (int(edge.max()) + 1) + edge, return_inverse=True, return_counts=True)
         keep = leaves[node] > 1
         at, node = at[keep], node[keep]
         depth += step
-    return every, at, node
-
-
-FOUND = "doc_id long, text_id long, lo int, hi int, key long, key2 long, leaves int"
+    return at
 
 
 def _trees(window: int):
-    """Rows sorted by group -> the repeated stretches (first and last start) of each row.
-
-    Parts of an overfull group also give, by its hash, each window seen once and each node's
-    leaves (2 stands for more): what is left to compare between parts.
-    """
-
-    def grow(rows: list[tuple]):
-        key, part, text, doc, text_id, lo = zip(*rows)
-        _, group = np.unique(np.array([key, part], np.int64), axis=1, return_inverse=True)
-        words = Words(*as_bytes(pa.array(text, pa.binary()).cast(pa.string())))
-        every, at, node = _deep(group.reshape(-1), words, window)
+    """Rows sorted by key -> the repeated stretches (first and last start) of each row."""
+
+    def grow(rows: pa.Table):
+        _, group = np.unique(rows.column("key").to_numpy(), return_inverse=True)
+        words = Words(*as_bytes(rows.column("words").combine_chunks().cast(pa.large_binary()).cast(pa.large_string())))
+        at = _deep(group, words, window)
+        if not len(at):
+            return
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (words.row[at[1:]] != words.row[at[:-1]])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
-        over = np.array(part, np.int64) >= 0
-        single = np.setdiff1d(every, at, assume_unique=True)
-        single = single[over[words.row[single]]]
-        _, one = np.unique(node, return_index=True)
-        one = at[one][over[words.row[at[one]]]] if len(at) else at
-        loose = np.concatenate([single, one])
-        begin = np.concatenate([at[first], loose]) if len(at) else loose
-        if not len(begin):
-            return None
-        end = np.concatenate([at[last], loose]) if len(at) else loose
-        row = words.row[begin]
-        shift = np.array(lo, np.int64)[row] - words.first[row]
-        bare = np.arange(len(begin)) < len(begin) - len(loose)
-        h1, h2 = (gram_hashes(h, window)[begin].view(np.int64) for h in (words.hash, mix(words.hash)))
-        leaves = np.where(np.arange(len(begin)) < len(begin) - len(one), 1, 2)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([doc[r] for r in row], pa.int64()), pa.array([text_id[r] for r in row], pa.int64()), pa.array((begin + shift).astype(np.int32)), pa.array((end + shift).astype(np.int32)), pa.array(h1, mask=bare), pa.array(h2, mask=bare), pa.array(leaves.astype(np.int32), mask=bare)],
-            ["doc_id", "text_id", "lo", "hi", "key", "key2", "leaves"],
-        )
+        row = words.row[at[first]]
+        shift = rows.column("lo").to_numpy()[row] - words.first[row]
+        of = rows.select(ROW).take(pa.array(row)).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*(of.column(c).combine_chunks() for c in ROW), pa.array((at[first] + shift).astype(np.int32)), pa.array((at[last] + shift).astype(np.int32))], [*ROW, "lo", "hi"])
 
     def run(batches):
-        held: list[tuple] = []
-        size = 0
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "words", "doc_id", "text_id", "lo"))):
-                if held and size > TREE_BYTES and row[:2] != held[-1][:2]:
-                    if (out := grow(held)) is not None:
-                        yield out
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
-        if held and (out := grow(held)) is not None:
-            yield out
+            if not batch.num_rows:
+                continue
+            # Whole groups only: the last key of a batch may go on.
+            key = batch.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if held and (cut or held[-1].column("key")[-1].as_py() != key[0]):
+                yield from grow(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from grow(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from grow(pa.Table.from_batches(held))
 
     return run
 
 
+def _digest(text: bytes, found) -> tuple[int, int, str]:
+    """Words, words within a repeat, and the digest of the others."""
+    words = text.split()
+    if not found:
+        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
+    keep = np.ones(len(words), bool)
+    for lo, end in found:
+        keep[lo:end] = False
+    return len(words), int((~keep).sum()), hashlib.sha256(b" ".join(compress(words, keep.tolist()))).hexdigest()
+
+
+def _digests(batch, window: int):
+    texts = batch.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+    found = batch.column("found").to_pylist() if "found" in batch.schema.names else [None] * len(texts)
+    out = [_digest(t, [(x["lo"], x["hi"] + window) for x in f or ()]) for t, f in zip(texts, found)]
+    kept = list(zip(*out)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.int64()), pa.array(kept[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
 def _finish(window: int):
-    """Rows with their repeats -> counts and the digest of the kept words."""
+    """Rows, with their repeats or none -> counts and the digest of the kept words."""
+    return lambda batches: (_digests(b, window) for b in batches)
+
+
+def _marked_rows(shared, want: bool):
+    """The rows whose bit is set, or not set, without their places."""
 
     def run(batches):
         for batch in batches:
-            ids, found = batch.column("doc_id"), batch.column("found")
-            for lo, hi, data, offsets in chunks(batch.column("text")):
-                words = Words(data, offsets)
-                raw = data.tobytes()
-                total, gone, digest = [], [], []
-                for r in range(lo, hi):
-                    a, b = words.first[r - lo], words.first[r - lo + 1]
-                    keep = np.ones(b - a, bool)
-                    for x in found[r].as_py() or []:
-                        keep[x["lo"] : x["hi"] + window] = False
-                    total.append(b - a)
-                    gone.append(int((~keep).sum()))
-                    at = a + np.flatnonzero(keep)
-                    digest.append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist())])).hexdigest())
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            use = marked(shared.value, batch.column("place").to_numpy()) == want
+            yield batch.filter(pa.array(use)).select([c for c in batch.schema.names if c != "place"])
 
     return run
 
@@ -188,26 +226,28 @@ def repeated_passages(docs: DataFrame, window: int = 35, prefix: int = 12, group
     repeats of each other. Other columns are ignored.
     """
     ids = F.col("doc_id").cast("long")
-    docs = docs.select(ids.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("doc_id", "text"))
-    anchors = stage(docs.mapInArrow(_anchors(window, prefix), "key long, doc_id long, text_id long, lo int, hi int"), "anchors")
-    counts = stage(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    # A row of each document that may repeat something: where its runs lie, dealt into parts where a run is overfull.
-    parts = F.ceil(F.col("n") / group_limit)
-    part = F.when(parts > 1, F.pmod(F.col("text_id"), parts)).otherwise(-1).cast("int")
-    mine = anchors.join(counts, "key").select("text_id", F.struct("key", "lo", "hi", part.alias("part")).alias("a"))
-    mine = mine.groupBy("text_id").agg(F.collect_list("a").alias("anchors"))
-    joined = stage(docs.join(mine, "text_id", "left"), "joined")
-    plain, some = joined.where("anchors IS NULL"), joined.where("anchors IS NOT NULL")
-
-    slices = some.mapInArrow(_slices(window), "key long, part int, words binary, doc_id long, text_id long, lo int")
-    trees = stage(slices.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_trees(window), FOUND), "trees")
-    loose = trees.where("key IS NOT NULL")
-    # Windows that parts have once each: repeats only between parts.
-    nodes = stage(loose.groupBy("key", "key2").agg(F.sum("leaves").alias("all"), F.min("leaves").alias("least")).where("all > 1 AND least = 1").select("key", "key2"), "nodes")
-    across = loose.where("leaves = 1").join(nodes, ["key", "key2"])
-    found = trees.where("key IS NULL").select("text_id", "lo", "hi").union(across.select("text_id", "lo", "hi"))
-    found = found.groupBy("text_id").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    docs = docs.select(ids.alias("doc_id"), F.coalesce(ids, F.lit(0)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("doc_id", "text"))
+    runs = docs.select("text").mapInArrow(_counted(window, prefix), "key long, n long")
+    runs = stage(runs.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "runs")
+    at = F.col("key").bitwiseAND(F.lit(BITS - 1))
+    over = bitmap(runs.where(F.col("n") > group_limit).select(at))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((bitmap(runs.select(at)), over))  # 8 MB each
+
+    slices = docs.select("text", *ROW).mapInArrow(_slices(shared, window, prefix), "key long, words binary, d long, text_id long, lo int")
+    found = slices.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), "d long, text_id long, lo int, hi int")
+    if over.any():
+        windows = docs.select("text", *ROW).mapInArrow(_windows(shared, window, prefix), "key long, key2 long, d long, text_id long, lo int")
+        windows = stage(windows, "windows")
+        nodes = stage(windows.groupBy("key", "key2").agg(F.count("*").alias("leaves")).where("leaves > 1").select("key", "key2"), "nodes")
+        found = found.union(windows.join(nodes, ["key", "key2"]).select(*ROW, "lo", F.col("lo").alias("hi")))
+    found = stage(found.groupBy(*ROW).agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "found")
+
+    # Only texts with repeats move, to meet them.
+    hit = context.broadcast(bitmap(found.select(place(F.col("text_id")))))
+    rows = docs.withColumn("place", place(F.col("text_id")))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    cut = some.select("doc_id", "text_id", "text").join(found, "text_id", "left").select("doc_id", "text", "found")
-    none = plain.select("doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
-    return none.mapInArrow(_finish(window), out).union(cut.mapInArrow(_finish(window), out))
+    none = rows.select("doc_id", "text", "place").mapInArrow(_marked_rows(hit, False), "doc_id long, text string").mapInArrow(_finish(window), out)
+    some = rows.mapInArrow(_marked_rows(hit, True), "doc_id long, d long, text string, text_id long")
+    some = some.join(found, list(ROW), "left").select("doc_id", "text", "found")
+    return none.union(some.mapInArrow(_finish(window), out))
