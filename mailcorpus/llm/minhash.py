@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bitmap import bitmap, marked, place
+from ._bitmap import BITS, bitmap, marked, place
 from ._stage import stage
 from ._text import U, Words, chunks, long_lists, mix
 from .components import components
@@ -152,14 +152,30 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     return _crowded(stage(long.join(full.select("id", "parity"), "id"), "long"), full, links, percent)
 
 
+def _frequent(shared):
+    """The values that the bitmap has, most of those that occur once left out."""
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column("values")
+            flat = values.flatten().to_numpy(zero_copy_only=False)
+            use = marked(shared.value, flat & (BITS - 1))
+            owner = np.repeat(np.arange(len(values)), values.value_lengths().to_numpy(zero_copy_only=False))[use]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(flat[use])], ["id", "v"])
+
+    return run
+
+
 def _prefixes(nodes: DataFrame) -> DataFrame:
     """``(id, n, need, values)`` -> ``(v, id, n, common, rare, m)``: the lists of values, as short as they can be.
 
     Of each node its rarest values, as many as any partner with ``need`` common values must meet.
     ``common`` of the node's values occur elsewhere, ``rare`` do not; m nodes list v.
     """
-    postings = nodes.select("id", F.explode("values").alias("v"))
-    frequency = stage(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
+    frequency = nodes.select(F.explode("values").alias("v")).groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    frequency = stage(frequency, "frequency")
+    shared = nodes.sparkSession.sparkContext.broadcast(bitmap(frequency.select(F.col("v").bitwiseAND(F.lit(BITS - 1)))))
+    postings = nodes.select("id", "values").mapInArrow(_frequent(shared), "id long, v long")
     ranked = postings.join(frequency, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("ranked"))
     ranked = ranked.join(nodes.select("id", "n", "need", F.size("values").alias("all")), "id")
     common = F.size("ranked")
