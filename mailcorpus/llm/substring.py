@@ -88,17 +88,41 @@ def _slices(shared, window: int, prefix: int):
     return run
 
 
+LOOSE = "key long, key2 long, d long, text_id long, lo int, hi int, leaves int"
+
+
 def _windows(shared, window: int, prefix: int):
-    """The windows under each overfull run, by 128 bits of hash."""
+    """The windows under each overfull run, by 128 bits of hash.
+
+    Windows that recur within a chunk are repeats: their stretches come without key, and one row
+    without document, of two leaves, stands for each node. The others come with their key.
+    """
 
     def run(batches):
         for batch in batches:
             for words, _, top, _, row, first, last in _chosen(batch, shared, window, prefix, True):
                 size = last - first + 1
+                if not len(size):
+                    continue
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
-                of = pa.array(np.repeat(row, size) + top)
-                keys = [gram_hashes(h, window)[at].view(np.int64) if len(at) else np.zeros(0, np.int64) for h in (words.hash, mix(words.hash ^ U(LEVEL)))]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), *(batch.column(c).take(of) for c in ROW), pa.array((at - words.first[np.repeat(row, size)]).astype(np.int32))], ["key", "key2", *ROW, "lo"])
+                row = np.repeat(row, size)
+                a, b = (gram_hashes(h, window)[at].view(np.int64) for h in (words.hash, mix(words.hash ^ U(LEVEL))))
+                order = np.lexsort((b, a))
+                new = np.ones(len(at), bool)
+                new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+                leaves = np.diff(np.append(np.flatnonzero(new), len(at)))
+                many = np.zeros(len(at), bool)
+                many[order] = np.repeat(leaves > 1, leaves)
+                node, single, among = order[new][leaves > 1], np.flatnonzero(~many), np.flatnonzero(many)
+                begins = np.ones(len(among), bool)
+                begins[1:] = (at[among][1:] != at[among][:-1] + 1) | (row[among][1:] != row[among][:-1])
+                begin = among[begins]
+                end = among[np.append(np.flatnonzero(begins)[1:], len(among)) - 1] if len(among) else among
+                rows = np.concatenate([begin, node, single])
+                kind = np.repeat([0, 2, 1], [len(begin), len(node), len(single)])
+                of, base = pa.array(row[rows] + top, mask=kind == 2), words.first[row[rows]]
+                hi = np.concatenate([at[end], at[node], at[single]]) - base
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[rows], mask=kind == 0) for x in (a, b)), *(batch.column(c).take(of) for c in ROW), pa.array((at[rows] - base).astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(kind.astype(np.int32))], ["key", "key2", *ROW, "lo", "hi", "leaves"])
 
     return run
 
@@ -237,10 +261,11 @@ def repeated_passages(docs: DataFrame, window: int = 35, prefix: int = 12, group
     slices = docs.select("text", *ROW).mapInArrow(_slices(shared, window, prefix), "key long, words binary, d long, text_id long, lo int")
     found = slices.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), "d long, text_id long, lo int, hi int")
     if over.any():
-        windows = docs.select("text", *ROW).mapInArrow(_windows(shared, window, prefix), "key long, key2 long, d long, text_id long, lo int")
-        windows = stage(windows, "windows")
-        nodes = stage(windows.groupBy("key", "key2").agg(F.count("*").alias("leaves")).where("leaves > 1").select("key", "key2"), "nodes")
-        found = found.union(windows.join(nodes, ["key", "key2"]).select(*ROW, "lo", F.col("lo").alias("hi")))
+        windows = stage(docs.select("text", *ROW).mapInArrow(_windows(shared, window, prefix), LOOSE), "windows")
+        loose = windows.where("key IS NOT NULL")
+        nodes = stage(loose.groupBy("key", "key2").agg(F.sum("leaves").alias("all"), F.min("leaves").alias("least")).where("all > 1 AND least = 1").select("key", "key2"), "nodes")
+        apart = loose.where("leaves = 1").join(nodes, ["key", "key2"])  # alone in their chunk, not in all
+        found = found.union(windows.where("key IS NULL").select(*ROW, "lo", "hi")).union(apart.select(*ROW, "lo", "hi"))
     found = stage(found.groupBy(*ROW).agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "found")
 
     # Only texts with repeats move, to meet them.
