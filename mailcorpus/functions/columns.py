@@ -142,11 +142,17 @@ def script_profile(text: Column) -> Column:
     """Scripts with three letters and 5 % of the letters, most used first; else the most used one."""
     count = lambda s: F.regexp_count(text, F.lit(f"[{X.SCRIPTS[s]}]")).cast("int")
     counts = F.array(*(F.struct((-count(s)).alias("n"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(X.SCRIPTS)))
-    total = F.aggregate(counts, F.lit(0), lambda a, c: a - c["n"])
-    present = F.array_sort(F.filter(counts, lambda c: c["n"] < 0))
-    large = F.filter(present, lambda c: (c["n"] <= -3) & (-c["n"] >= total * 0.05))
+
+    def of(present: Column, total: Column) -> Column:
+        large = F.filter(present, lambda c: (c["n"] <= -3) & (-c["n"] >= total * 0.05))
+        return F.transform(F.when(F.size(large) > 0, large).otherwise(F.slice(present, 1, 1)), lambda c: c["s"])
+
+    # One-element arrays bind the counts, and then their sum, to a variable: each is evaluated once.
+    present = F.transform(F.array(counts), lambda c: F.array_sort(F.filter(c, lambda x: x["n"] < 0)))
+    summed = F.transform(present, lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0), lambda a, c: a - c["n"]).alias("total")))
+    used = F.transform(summed, lambda x: of(x["p"], x["total"]))[0]
     ascii_ = F.when(text.rlike("[A-Za-z]"), F.array(F.lit("latin"))).otherwise(F.array().cast("array<string>"))
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), ascii_).otherwise(F.transform(F.when(F.size(large) > 0, large).otherwise(F.slice(present, 1, 1)), lambda c: c["s"]))
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), ascii_).otherwise(used)
 
 
 def mixed_script_words(text: Column) -> Column:
@@ -154,7 +160,9 @@ def mixed_script_words(text: Column) -> Column:
     letters = "".join(X.SCRIPTS.values())
     words = F.regexp_extract_all(text, F.lit(rf"[{letters}][{letters}\u0300-\u036f\u200c\u200d\ufe00-\ufe0f]*"), F.lit(0))
     mixed = F.filter(words, lambda w: reduce(lambda a, b: a + b, [F.when(w.rlike(f"[{X.SCRIPTS[s]}]"), 1).otherwise(0) for s in X.CONFUSABLE_SCRIPTS]) >= 2)
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), 0).otherwise(F.size(mixed))
+    # Two of them are at least one that is not Latin.
+    other = "".join(X.SCRIPTS[s] for s in X.CONFUSABLE_SCRIPTS if s != "latin")
+    return F.when(~text.rlike(f"[{other}]"), 0).otherwise(F.size(mixed))
 
 
 def html_to_text(page: Column) -> Column:

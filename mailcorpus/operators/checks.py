@@ -16,89 +16,167 @@ def _list(*flags: Column) -> Column:
     return F.array_compact(F.array(*flags))
 
 
-def attachment_flags(names: Column) -> Column:
-    """Flags of at most 50 attachments by their names."""
+#: First bytes, in hex, of programs, shortcuts and scripts.
+PROGRAM = "^(?:4D5A|7F454C46|FEEDFAC[EF]|C[EF]FAEDFE|4C000000011402)"
+SCRIPT = "^2321"
+SCRIPT_NAMES = "sh|bash|command|py|pl|rb|txt|log|conf|cfg"
+REPLY = r"(?i)^\s*(?:(?:re|fw|fwd|aw|wg|sv|vs|vb|antw|tr|rv|enc|res)\s*(?:\[\d+\])?\s*:\s*)+"
+IP_LITERAL = r"(?i)^\[?(?:ipv6:)?(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9a-f:]+)\]?$"
+ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+INVISIBLE_LEAST = 3
 
-    def of(name: Column) -> Column:
+
+def attachment_flags(names: Column, heads: Column | None = None) -> Column:
+    """Flags of at most 50 attachments by their names and, where given, their first bytes (an array of binary as long)."""
+
+    def of(name: Column, head: Column) -> Column:
         clean = F.regexp_replace(F.lower(name), r"[\s.]+$", "")
         parts = F.split(clean, r"\.")
         ext = F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise("")
         before = F.when(F.size(parts) > 2, F.try_element_at(parts, F.lit(-2))).otherwise("")
         hidden = C.hidden_chars(name)
         run = ext.rlike(f"^(?:{X.EXECUTABLE})$")
+        other = (F.length(head) >= 8) & ~run & (head.rlike(PROGRAM) | head.rlike(SCRIPT) & ~ext.rlike(f"^(?:{SCRIPT_NAMES})$"))
         return _list(
-            F.when(run, "attachment-executable"), F.when(run & before.rlike(f"^(?:{X.DOCUMENT})$"), "attachment-double-ext"), F.when(ext.rlike(f"^(?:{X.MACRO})$"), "attachment-macro"),
+            F.when(run, "attachment-executable"), F.when(run & before.rlike(f"^(?:{X.DOCUMENT})$"), "attachment-double-ext"), F.when(other, "attachment-disguised"), F.when(ext.rlike(f"^(?:{X.MACRO})$"), "attachment-macro"),
             F.when(ext.rlike(f"^(?:{X.CONTAINER})$"), "attachment-container"), F.when((hidden["zero_width"] + hidden["bidi"] > 0) | name.rlike(r"\s{10,}"), "attachment-filename-spoof"),
         )
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.slice(F.coalesce(names, F.array().cast("array<string>")), 1, 50), of))))
+    names = F.slice(F.coalesce(names, F.array().cast("array<string>")), 1, 50)
+    each = F.transform(names, lambda n: of(n, F.lit(None).cast("string"))) if heads is None else F.zip_with(names, F.transform(F.slice(F.coalesce(heads, F.array().cast("array<binary>")), 1, 50), F.hex), of)
+    return F.array_sort(F.array_distinct(F.flatten(each)))
+
 
+def check_rows(facts: DataFrame, only: set[str] | None = None, trusted: list[str] | None = None) -> DataFrame:
+    """``(path, check, status, flags)``: status ok, note, flag or na.
 
-def check_rows(facts: DataFrame) -> DataFrame:
-    """``(path, check, status, flags)``: status ok, note, flag or na."""
+    ``only`` names the checks that are wanted; others cost nothing. Each measure is a column that
+    is evaluated once a message. ``trusted`` domains (against ``from_readable`` and
+    ``from_skeleton``, where the table has them) are those that a sender can imitate.
+    """
     have = set(facts.columns)
-    sender = F.coalesce(F.col("from_domain"), F.lit(""))
     rows: list[Column] = []
-
-    def add(name: str, needs: list[str], status: Column, flags: Column) -> None:
-        if set(needs) <= have:
-            rows.append(F.struct(F.lit(name).alias("check"), status.alias("status"), flags.alias("flags")))
-
-    def simple(name: str, needs: list[str], missing: Column, bad: Column, flag: str, status: str = "flag") -> None:
-        add(name, needs, F.when(missing, "na").when(bad, status).otherwise("ok"), _list(F.when(~missing & bad, flag)))
-
-    if "reply_domain" in have:
-        simple("reply-to", ["reply_domain"], F.col("reply_domain").isNull() | (sender == ""), ~C.aligned(sender, F.col("reply_domain")), "replyto-mismatch")
-    if "return_domain" in have:
-        ret = F.col("return_domain")
-        service = C.any_of([C.is_under(ret, d) for d in X.CATEGORIES["Email Service Provider"]])
-        bad = ~C.aligned(sender, ret)
-        none = ret.isNull() | (sender == "")
-        add("return-path", [], F.when(none, "na").when(bad & service, "note").when(bad, "flag").otherwise("ok"), _list(F.when(~none & bad, "returnpath-mismatch")))
-    if {"hop_count", "broken", "backwards"} <= have:
-        flags = _list(F.when(F.col("hop_count") == 0, "no-received"), F.when(F.col("broken") > 0, "received-broken"), F.when(F.col("backwards") > 0, "received-time-travel"), F.when(F.col("hop_count") >= X.LONG_CHAIN, "received-long-chain"))
-        add("received-chain", [], F.when(F.size(flags) > 0, "flag").otherwise("ok"), flags)
-    if "message_id" in have:
-        host = F.regexp_extract(F.lower("message_id"), r"@([^>\s]+)", 1)
-        missing = F.coalesce(F.col("message_id"), F.lit("")) == ""
-        other = ~missing & (host != "") & (sender != "") & ~C.aligned(sender, host)
-        add("message-id", [], F.when(missing, "flag").when(other, "note").otherwise("ok"), _list(F.when(missing, "messageid-missing"), F.when(other, "messageid-domain")))
-    if "from_name" in have:
-        shown = F.regexp_extract(F.lower("from_name"), r"[a-z0-9._%+-]+@([a-z0-9-]+(?:\.[a-z0-9-]+)+)", 1)
-        simple("display-name", [], F.col("from_name").isNull() | (F.col("from_name") == ""), (shown != "") & (shown != sender), "forged-display-name")
-    simple("sender-domain", ["from_domain"], sender == "", sender.rlike(r"^\[?[0-9]{1,3}(?:\.[0-9]{1,3}){3}\]?$"), "sender-ip-literal")
-    if "dkim_domains" in have:
-        none = F.coalesce(F.size("dkim_domains"), F.lit(0)) <= 0
-        simple("dkim-alignment", [], none, ~F.exists("dkim_domains", lambda d: C.aligned(sender, d)), "dkim-misaligned", "note")
-    if {"text_body", "html_body"} <= have:
-        text, page = F.trim(F.coalesce("text_body", F.lit(""))) != "", F.trim(F.coalesce("html_body", F.lit(""))) != ""
-        add("body-parts", [], F.when(text & page, "ok").when(text | page, "note").otherwise("flag"), _list(F.when(page & ~text, "no-text-part"), F.when(text & ~page, "no-html-part"), F.when(~text & ~page, "empty-body")))
-        shown = F.length(F.regexp_replace(C.html_to_text(F.coalesce("html_body", F.lit(""))), r"\s", ""))
-        simple("image-only", [], ~page, (shown < 15) & F.col("html_body").rlike("(?i)<img\\b"), "image-only")
-        share = C.text_overlap(F.coalesce("text_body", F.lit("")), C.html_to_text(F.coalesce("html_body", F.lit(""))))
-        add("text-html", [], F.when(share.isNull(), "na").when(share < 0.25, "flag").when(share < 0.5, "note").otherwise("ok"), _list(F.when(share < 0.5, "text-html-mismatch")))
-        hidden = C.hidden_chars(F.coalesce("text_body", F.lit("")))
-        css = C.hidden_css_blocks(F.coalesce("html_body", F.lit("")))
-        flags = _list(F.when(hidden["override"] > 0, "bidi-override"), F.when(hidden["zero_width"] >= 3, "invisible-chars"), F.when(css > 0, "hidden-css-text"))
-        add("hidden-content", [], F.when((hidden["override"] > 0) | (hidden["zero_width"] >= 3), "flag").when(css > 0, "note").otherwise("ok"), flags)
-    if "subject" in have:
-        reply = F.col("subject").rlike(r"(?i)^\s*(?:re|aw|sv|antw)\s*:")
-        threaded = F.coalesce("in_reply_to", F.lit("")) != "" if "in_reply_to" in have else F.lit(False)
-        add("threading", [], F.when(threaded, "ok").when(reply, "flag").otherwise("na"), _list(F.when(reply & ~threaded, "fake-reply"), F.when(threaded, "threaded")))
-        flags = _list(*(F.when(C.mixed_script_words(F.coalesce(F.col(c), F.lit(""))) > 0, f) for c, f in (("subject", "homoglyph-subject"), ("from_name", "homoglyph-name"), ("body", "homoglyph-body")) if c in have))
-        add("homoglyphs", [], F.when(F.size(flags) > 0, "flag").otherwise("ok"), flags)
-    if "att_names" in have:
-        flags = attachment_flags(F.col("att_names"))
+    bound: dict[str, Column] = {}
+
+    def once(name: str, value: Column) -> Column:
+        bound[f"m_{name}"] = value
+        return F.col(f"m_{name}")
+
+    def wanted(name: str, *needs: str) -> bool:
+        return (only is None or name in only) and set(needs) <= have
+
+    def add(name: str, status: Column, flags: Column) -> None:
+        rows.append(F.struct(F.lit(name).alias("check"), status.alias("status"), flags.alias("flags")))
+
+    def simple(name: str, bad: Column, flag: str, status: str | Column = "flag") -> None:
+        bad = once(name.replace("-", "_"), F.coalesce(bad, F.lit(False)))
+        add(name, F.when(bad, status).otherwise("ok"), _list(F.when(bad, flag)))
+
+    def text(name: str, most: int | None = None) -> Column:
+        value = F.coalesce(F.col(name), F.lit("")) if name in have else F.lit("")
+        return F.substring(value, 1, most) if most else value
+
+    sender = once("sender", F.lower(text("from_domain")))
+    named = once("name", text("from_name"))
+    # Compared by organisation; without a sender or the other domain there is nothing to compare.
+    if wanted("reply-to", "reply_domain"):
+        simple("reply-to", (F.lower(text("from_domain")) != "") & (text("reply_domain") != "") & ~C.aligned(text("from_domain"), text("reply_domain")), "replyto-mismatch")
+    if wanted("return-path", "return_domain"):
+        service = once("service", F.coalesce(C.any_of([C.is_under(F.col("return_domain"), d) for d in X.CATEGORIES["Email Service Provider"]]), F.lit(False)))
+        simple("return-path", (F.lower(text("from_domain")) != "") & (text("return_domain") != "") & ~C.aligned(text("from_domain"), text("return_domain")), "returnpath-mismatch", F.when(service, "note").otherwise("flag"))
+    if wanted("received-chain", "hop_count", "broken", "backwards"):
+        hops, broken, back = (once(c, F.coalesce(F.col(c), F.lit(0))) for c in ("hop_count", "broken", "backwards"))
+        strong = (hops == 0) | (broken > 0) | (back > 0)
+        long = ~strong & (hops >= X.LONG_CHAIN)
+        flags = _list(F.when(hops == 0, "no-received"), F.when((hops > 0) & (broken > 0), "received-broken"), F.when((hops > 0) & (back > 0), "received-time-travel"), F.when(long, "received-long-chain"))
+        add("received-chain", F.when(strong, "flag").when(long, "note").otherwise("ok"), flags)
+    if wanted("message-id", "message_id"):
+        host = once("id_host", F.regexp_extract(F.lower(text("message_id")), r"@([^>\s]+)", 1))
+        missing = once("no_id", text("message_id") == "")
+        other = once("id_other", (F.regexp_extract(F.lower(text("message_id")), r"@([^>\s]+)", 1) != "") & (text("from_domain") != "") & ~C.aligned(text("from_domain"), F.regexp_extract(F.lower(text("message_id")), r"@([^>\s]+)", 1)))
+        add("message-id", F.when(missing | other & (host != ""), "note").otherwise("ok"), _list(F.when(missing, "messageid-missing"), F.when(~missing & other, "messageid-domain")))
+    if wanted("display-name", "from_name", "from_address"):
+        shown = F.lower(F.regexp_extract(text("from_name"), ADDRESS, 0))
+        simple("display-name", (shown != "") & (shown != F.lower(text("from_address"))), "forged-display-name")
+    if wanted("sender-domain", "from_domain"):
+        literal = once("literal", text("from_domain").rlike(IP_LITERAL) & text("from_domain").rlike("[.:]"))
+        imitates = F.lit(False)
+        if trusted and {"from_readable", "from_skeleton"} <= have:
+            readable, skeleton = F.lower(text("from_readable")), text("from_skeleton")
+            known = C.any_of([C.is_under(readable, d) for d in trusted])
+            imitates = once("imitates", ~readable.rlike(r"^[\x00-\x7F]*$") & ~known & C.any_of([C.is_under(skeleton, d) for d in trusted]))
+        add("sender-domain", F.when(literal | imitates, "flag").otherwise("ok"), _list(F.when(literal, "sender-ip-literal"), F.when(imitates, "confusable-domain")))
+    if wanted("dkim-alignment", "dkim_domains"):
+        none = once("unsigned", F.coalesce(F.size("dkim_domains"), F.lit(0)) <= 0)
+        other = once("signer", F.coalesce((text("from_domain") != "") & (F.size("dkim_domains") > 0) & ~F.exists("dkim_domains", lambda d: C.aligned(text("from_domain"), d)), F.lit(False)))
+        add("dkim-alignment", F.when(none, "na").when(other, "note").otherwise("ok"), _list(F.when(other, "dkim-misaligned")))
+
+    parts = {"text_body", "html_body"} <= have
+    if parts:
+        page = once("page", C.html_to_text(text("html_body", X.HTML_SCAN_CHARS)))
+        plain, marked = once("has_text", text("text_body").rlike(r"\S")), once("has_html", text("html_body").rlike(r"\S"))
+    attached = once("attached", F.coalesce(F.size("att_names"), F.lit(0)) > 0) if "att_names" in have else F.lit(False)
+    if parts and wanted("body-parts"):
+        add("body-parts", F.when(plain & marked, "ok").when(plain | marked | attached, "note").otherwise("flag"), _list(F.when(marked & ~plain, "no-text-part"), F.when(plain & ~marked, "no-html-part"), F.when(~plain & ~marked, "empty-body")))
+    if parts and wanted("image-only"):
+        picture = once("picture", text("html_body", X.HTML_SCAN_CHARS).rlike("(?i)<img\\b"))
+        image = once("image", F.exists(F.coalesce(F.col("att_types"), F.array().cast("array<string>")), lambda t: t.rlike("(?i)^image/"))) if "att_types" in have else F.lit(False)
+        size = F.length(F.regexp_replace(text("text_body"), r"\s", ""))
+        seen = once("text_size", size) + F.length(F.regexp_replace(page, r"\s", ""))
+        only_image = (seen < 15) & (picture | image)
+        add("image-only", F.when(only_image, "flag").otherwise("ok"), _list(F.when(only_image, "image-only")))
+    if parts and wanted("text-html"):
+        share = C.text_overlap(F.when(plain, F.col("m_text")), F.when(marked, page))
+        once("text", text("text_body"))
+        add("text-html", F.when(share.isNull(), "na").when(share < 0.25, "flag").when(share < 0.5, "note").otherwise("ok"), _list(F.when(share < 0.5, "text-html-mismatch")))
+
+    whole = text("body", X.SCAN_CHARS) if "body" in have else F.substring(F.concat(text("text_body"), F.lit("\n"), C.html_to_text(text("html_body", X.HTML_SCAN_CHARS))), 1, X.SCAN_CHARS) if parts else None
+    body = once("body", whole) if whole is not None else F.lit("")
+    subject = once("subject", text("subject"))
+    hosts = once("hosts", F.array_join(F.coalesce("link_hosts", F.array().cast("array<string>")), " ")) if "link_hosts" in have else F.lit("")
+    if whole is not None and wanted("hidden-content"):
+        # Running text holds strays; a name or host with any hidden character is no accident.
+        in_body, in_subject, in_name, in_hosts = (C.hidden_chars(x) for x in (body, subject, named, hosts))
+        css = C.hidden_css_blocks(F.col("m_html")) if parts else F.lit(0)
+        if parts:
+            once("html", text("html_body", X.HTML_SCAN_CHARS))
+        count = lambda h: h["zero_width"] + h["bidi"]
+        over = in_body["override"] + in_subject["override"] + in_name["override"] + in_hosts["override"] > 0
+        unseen = (count(in_name) + count(in_hosts) > 0) | (count(in_body) + count(in_subject) >= INVISIBLE_LEAST)
+        measured = F.struct(over.alias("over"), unseen.alias("unseen"), (css > 0).alias("css"))
+        add("hidden-content", *_bound(measured, lambda m: (F.when(m["over"] | m["unseen"], "flag").when(m["css"], "note").otherwise("ok"), _list(F.when(m["over"], "bidi-override"), F.when(m["unseen"], "invisible-chars"), F.when(m["css"], "hidden-css-text")))))
+    if wanted("threading", "subject"):
+        threaded = once("threaded", (text("in_reply_to") != "") | (text("references") != ""))
+        reply = once("reply", text("subject").rlike(REPLY))
+        add("threading", F.when(threaded, "note").when(reply, "flag").otherwise("ok"), _list(F.when(reply & ~threaded, "fake-reply"), F.when(threaded, "threaded")))
+    if wanted("homoglyphs", "subject"):
+        flags = _list(*(F.when(C.mixed_script_words(x) > 0, f"homoglyph-{n}") for n, x in (("subject", subject), ("name", named), ("body", body), ("links", hosts))))
+        add("homoglyphs", *_bound(flags, lambda f: (F.when(F.size(f) > 0, "flag").otherwise("ok"), f)))
+    if wanted("attachment-risk", "att_names"):
+        flags = once("att_flags", attachment_flags(F.col("att_names"), F.col("att_heads") if "att_heads" in have else None))
         weak = F.size(F.array_except(flags, F.array(F.lit("attachment-macro"), F.lit("attachment-container")))) == 0
-        add("attachment-risk", [], F.when(F.coalesce(F.size("att_names"), F.lit(0)) <= 0, "na").when(F.size(flags) == 0, "ok").when(weak, "note").otherwise("flag"), flags)
-    if {"subject", "body"} <= have:
-        a, b = C.script_profile(F.coalesce("subject", F.lit(""))), C.script_profile(F.substring(F.coalesce("body", F.lit("")), 1, X.SCAN_CHARS))
-        none = _list(F.lit(None).cast("string"))
-        for name, s in (("subject-script", a), ("body-script", b)):
-            add(name, [], F.when(F.size(s) == 0, "na").otherwise("ok"), none)
-        apart = (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
-        add("script-mismatch", [], F.when((F.size(a) == 0) | (F.size(b) == 0), "na").when(apart, "note").otherwise("ok"), _list(F.when(apart, "script-mismatch")))
-    return facts.select("path", F.explode(F.array(*rows)).alias("r")).select("path", "r.*")
+        add("attachment-risk", F.when(~attached, "na").when(F.size(flags) == 0, "ok").when(weak, "note").otherwise("flag"), flags)
+    if whole is not None and "subject" in have and any(map(wanted, ("subject-script", "body-script", "script-mismatch"))):
+        # Bound a second time: profiles read the bound texts.
+        nothing = F.array().cast("array<string>")
+        two = {"subject-script": F.col("s_subject"), "body-script": F.col("s_body")}
+        for name in filter(wanted, two):
+            s = two[name]
+            add(name, F.when(F.size(s) == 0, "na").when((F.size(s) == 1) & (s[0] == "latin"), "ok").otherwise("note"), nothing)
+        if wanted("script-mismatch"):
+            a, b = two.values()
+            both = (F.size(a) > 0) & (F.size(b) > 0)
+            apart = F.coalesce(both & (F.get(a, F.lit(0)) != F.get(b, F.lit(0))), F.lit(False))
+            add("script-mismatch", F.when(~both, "na").when(apart, "note").otherwise("ok"), _list(F.when(apart, "script-mismatch")))
+        bound |= {"s_subject": C.script_profile(text("subject")), "s_body": C.script_profile(whole)}
+    once_ = facts.select("path", *(v.alias(n) for n, v in bound.items()))
+    return once_.select("path", F.explode(F.array(*rows)).alias("r")).select("path", "r.*")
+
+
+def _bound(value: Column, use) -> tuple[Column, Column]:
+    """Status and flags of a value that is evaluated once for each."""
+    pick = lambda k: F.transform(F.array(value), lambda v: use(v)[k])[0]
+    return pick(0), pick(1)
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ FLAG_GROUPS = {
     "attachments": ["attachment-executable", "attachment-double-ext", "attachment-disguised", "attachment-macro", "attachment-container", "attachment-filename-spoof"],
     "language": ["script-mismatch"],
 }
-NOTES = ["threaded", "no-text-part", "no-html-part", "attachment-macro", "attachment-container", "returnpath-mismatch"]
+#: Flags that many legitimate messages raise.
+NOTES = ["no-html-part", "no-text-part", "threaded", "messageid-missing", "messageid-domain", "dkim-misaligned", "received-long-chain", "script-mismatch", "hidden-css-text", "attachment-macro", "attachment-container", "empty-body"]
 
 
 def count_by(messages: DataFrame, column: str, listed: bool = False) -> DataFrame:

@@ -474,10 +474,10 @@ def duplicate_counts(spark, d):
 _ALIGN = "(from_domain = {0} OR ends_with(from_domain, '.' || {0}) OR ends_with({0}, '.' || from_domain) OR " + _ORG.format("from_domain") + " = ({1}))"
 _R, _T = (_ALIGN.format(c, _ORG.format(c)) for c in ("reply_domain", "return_domain"))
 _CHECKS = f"""
-SELECT path, 'reply-to' AS "check", CASE WHEN reply_domain IS NULL THEN 'na' WHEN {_R} THEN 'ok' ELSE 'flag' END AS status, CASE WHEN reply_domain IS NULL OR {_R} THEN '' ELSE 'replyto-mismatch' END AS flags FROM m
-UNION ALL SELECT path, 'return-path', CASE WHEN return_domain IS NULL THEN 'na' WHEN {_T} THEN 'ok' WHEN return_domain = 'sendgrid.net' THEN 'note' ELSE 'flag' END, CASE WHEN return_domain IS NULL OR {_T} THEN '' ELSE 'returnpath-mismatch' END FROM m
-UNION ALL SELECT path, 'display-name', CASE WHEN from_name = '' THEN 'na' WHEN from_name = 'ceo@firm.example' AND from_domain <> 'firm.example' THEN 'flag' ELSE 'ok' END, CASE WHEN from_name = 'ceo@firm.example' AND from_domain <> 'firm.example' THEN 'forged-display-name' ELSE '' END FROM m
-UNION ALL SELECT path, 'threading', CASE WHEN subject LIKE 'Re:%' THEN 'flag' ELSE 'na' END, CASE WHEN subject LIKE 'Re:%' THEN 'fake-reply' ELSE '' END FROM m
+SELECT path, 'reply-to' AS "check", CASE WHEN reply_domain IS NULL OR {_R} THEN 'ok' ELSE 'flag' END AS status, CASE WHEN reply_domain IS NULL OR {_R} THEN '' ELSE 'replyto-mismatch' END AS flags FROM m
+UNION ALL SELECT path, 'return-path', CASE WHEN return_domain IS NULL OR {_T} THEN 'ok' WHEN return_domain = 'sendgrid.net' THEN 'note' ELSE 'flag' END, CASE WHEN return_domain IS NULL OR {_T} THEN '' ELSE 'returnpath-mismatch' END FROM m
+UNION ALL SELECT path, 'display-name', CASE WHEN from_name LIKE '%@%' AND from_name <> 'u@' || from_domain THEN 'flag' ELSE 'ok' END, CASE WHEN from_name LIKE '%@%' AND from_name <> 'u@' || from_domain THEN 'forged-display-name' ELSE '' END FROM m
+UNION ALL SELECT path, 'threading', CASE WHEN subject LIKE 'Re:%' THEN 'flag' ELSE 'ok' END, CASE WHEN subject LIKE 'Re:%' THEN 'fake-reply' ELSE '' END FROM m
 UNION ALL SELECT path, 'sender-domain', 'ok', '' FROM m
 UNION ALL SELECT path, 'attachment-risk', CASE doc_id % 8 WHEN 0 THEN 'flag' WHEN 1 THEN 'note' WHEN 2 THEN 'note' WHEN 3 THEN 'ok' ELSE 'na' END,
   CASE doc_id % 8 WHEN 0 THEN 'attachment-double-ext;attachment-executable' WHEN 1 THEN 'attachment-macro' WHEN 2 THEN 'attachment-container' ELSE '' END FROM m
@@ -486,7 +486,7 @@ UNION ALL SELECT path, 'homoglyphs', CASE WHEN doc_id % 6 = 4 THEN 'flag' ELSE '
 
 
 def _check_rows(spark, d):
-    return checks.check_rows(V.messages(spark, d)).where("check NOT IN ('subject-script', 'body-script', 'script-mismatch')")
+    return checks.check_rows(V.messages(spark, d), {"reply-to", "return-path", "display-name", "threading", "sender-domain", "attachment-risk", "homoglyphs"})
 
 
 @query(_CHECKS, "m")
@@ -507,7 +507,8 @@ def flag_counts(spark, d):
     return summaries.flag_counts(checks.flags(_check_rows(spark, d)))
 
 
-_GROUPS = ", ".join(f"('{f}', '{g}', '{'note' if f in summaries.NOTES else 'flag'}')" for g, fs in summaries.FLAG_GROUPS.items() for f in fs)
+_WEAK = "no-html-part no-text-part threaded messageid-missing messageid-domain dkim-misaligned received-long-chain script-mismatch hidden-css-text attachment-macro attachment-container empty-body".split()
+_GROUPS = ", ".join(f"('{f}', '{g}', '{'note' if f in _WEAK else 'flag'}')" for g, fs in summaries.FLAG_GROUPS.items() for f in fs)
 
 
 @query(f"SELECT g AS flag_group, count(DISTINCT path) AS email_count FROM ({_FLAGS}) JOIN (VALUES {_GROUPS}) v(f, g, s) ON flag = f GROUP BY g", "m")
@@ -535,7 +536,7 @@ def body_checks(spark, d):
     return checks.check_rows(p).where("check <> 'sender-domain'").select("path", "check", "status", F.array_join("flags", ";").alias("flags"))
 
 
-@query("""SELECT path, 'message-id' AS "check", CASE WHEN doc_id % 3 = 0 THEN 'flag' WHEN doc_id % 3 = 1 AND NOT from_domain LIKE '%firm.example' THEN 'note' ELSE 'ok' END AS status FROM m
+@query("""SELECT path, 'message-id' AS "check", CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND NOT from_domain LIKE '%firm.example') THEN 'note' ELSE 'ok' END AS status FROM m
 UNION ALL SELECT path, 'dkim-alignment', CASE WHEN doc_id % 2 = 0 THEN 'na' WHEN from_domain LIKE '%shop.co.uk' THEN 'ok' ELSE 'note' END FROM m""", "m")
 def identity_checks(spark, d):
     m = V.messages(spark, d)
@@ -544,6 +545,44 @@ def identity_checks(spark, d):
     return checks.check_rows(m).where("check <> 'sender-domain'").select("path", "check", "status")
 
 
+_SUBJECTS = "CASE doc_id % 4 WHEN 0 THEN 'Hello there' WHEN 1 THEN '\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440' WHEN 2 THEN '12 34' ELSE 'caf\u00e9 \u0393\u03b5\u03b9\u03ac \u03c3\u03bf\u03c5' END"
+_TEXTS = "CASE doc_id % 3 WHEN 0 THEN 'plain words' WHEN 1 THEN '\u043f\u0440\u043e\u0441\u0442\u043e \u0442\u0435\u043a\u0441\u0442' ELSE '' END"
+
+
+@query(f"""SELECT * FROM (WITH s AS (SELECT path, doc_id % 4 AS a, doc_id % 3 AS b FROM m)
+SELECT path, 'subject-script' AS "check", CASE a WHEN 0 THEN 'ok' WHEN 2 THEN 'na' ELSE 'note' END AS status, '' AS flags FROM s
+UNION ALL SELECT path, 'body-script', CASE b WHEN 0 THEN 'ok' WHEN 1 THEN 'note' ELSE 'na' END, '' FROM s
+UNION ALL SELECT path, 'script-mismatch', CASE WHEN a = 2 OR b = 2 THEN 'na' WHEN (a = 0 AND b = 0) OR (a = 1 AND b = 1) THEN 'ok' ELSE 'note' END, CASE WHEN a = 2 OR b = 2 OR (a = 0 AND b = 0) OR (a = 1 AND b = 1) THEN '' ELSE 'script-mismatch' END FROM s)""", "m")
+def script_checks(spark, d):
+    m = V.messages(spark, d).select("path", F.expr(_SUBJECTS).alias("subject"), F.expr(_TEXTS).alias("body"))
+    return checks.check_rows(m, {"subject-script", "body-script", "script-mismatch"}).select("path", "check", "status", F.array_join("flags", ";").alias("flags"))
+
+
+_CHAIN = """SELECT path, 'received-chain' AS "check", CASE WHEN h = 0 OR b > 0 OR t > 0 THEN 'flag' WHEN h >= 15 THEN 'note' ELSE 'ok' END AS status,
+CASE WHEN h = 0 THEN 'no-received' WHEN b > 0 AND t > 0 THEN 'received-broken;received-time-travel' WHEN b > 0 THEN 'received-broken' WHEN t > 0 THEN 'received-time-travel' WHEN h >= 15 THEN 'received-long-chain' ELSE '' END AS flags
+FROM (SELECT path, doc_id % 18 AS h, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS b, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END AS t FROM m)"""
+
+
+@query(_CHAIN, "m")
+def chain_checks(spark, d):
+    m = V.messages(spark, d).select("path", (F.col("doc_id") % 18).alias("hop_count"), F.expr("CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END").alias("broken"), F.expr("CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END").alias("backwards"))
+    return checks.check_rows(m).select("path", "check", "status", F.array_join("flags", ";").alias("flags"))
+
+
+_ODD = "CASE doc_id % 5 WHEN 0 THEN 'a\u200bb' WHEN 1 THEN 'x\u202ey' WHEN 2 THEN 'a\u200bb\u200bc\u200bd' ELSE 'plain' END"
+
+
+@query(f"""SELECT * FROM (WITH s AS (SELECT path, doc_id % 5 AS k, doc_id % 7 = 0 AS named, doc_id % 4 AS a FROM m)
+SELECT path, 'hidden-content' AS "check", CASE WHEN k IN (1, 2) OR named THEN 'flag' ELSE 'ok' END AS status, CASE WHEN k = 1 AND named THEN 'bidi-override;invisible-chars' WHEN k = 1 THEN 'bidi-override' WHEN k = 2 OR named THEN 'invisible-chars' ELSE '' END AS flags FROM s
+UNION ALL SELECT path, 'attachment-risk', CASE a WHEN 0 THEN 'na' WHEN 1 THEN 'flag' WHEN 2 THEN 'ok' ELSE 'flag' END, CASE a WHEN 1 THEN 'attachment-disguised' WHEN 3 THEN 'attachment-double-ext;attachment-executable' ELSE '' END FROM s)""", "m")
+def hidden_checks(spark, d):
+    """Hidden characters in any field, and attachments whose first bytes are those of a program or script."""
+    names = "CASE doc_id % 4 WHEN 1 THEN array('photo.png', 'run.txt') WHEN 2 THEN array('notes.sh', 'a.txt') WHEN 3 THEN array('bill.pdf.exe') END"
+    heads = "CASE doc_id % 4 WHEN 1 THEN array(unhex('4D5A900003'), unhex('61626364')) WHEN 2 THEN array(unhex('23212F62'), unhex('4D5A')) WHEN 3 THEN array(unhex('4D5A9000')) END"
+    m = V.messages(spark, d).select("path", F.expr(_ODD).alias("body"), F.expr("CASE WHEN doc_id % 7 = 0 THEN 'An\u200bn' ELSE 'Ann' END").alias("from_name"), F.expr(names).alias("att_names"), F.expr(heads).alias("att_heads"))
+    return checks.check_rows(m, {"hidden-content", "attachment-risk"}).select("path", "check", "status", F.array_join("flags", ";").alias("flags"))
+
+
 @query("SELECT path, CASE WHEN path LIKE '%0' THEN 'external' WHEN bool_and(from_ip LIKE '10.%' OR from_ip LIKE '192.168.%') THEN 'internal' ELSE 'claims-internal' END AS origin FROM hops GROUP BY path HAVING bool_or(by_host LIKE '%net.example')", "hops")
 def origin_classes(spark, d):
     h = V.hops(spark, d)

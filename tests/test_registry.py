@@ -1,5 +1,7 @@
 """Every query of the mail engine against its SQL in DuckDB, at the smallest scale."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -21,7 +23,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    show = lambda v: "NULL" if v is None or pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    show = lambda v: "NULL" if v is None or pd.isna(v) else f"{float(v):.6f}" if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
     return sorted(tuple(show(v) for v in row) for row in df.itertuples(index=False))
 
 
