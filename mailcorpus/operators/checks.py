@@ -76,8 +76,6 @@ def check_rows(facts: DataFrame, only: set[str] | None = None, trusted: list[str
         value = F.coalesce(F.col(name), F.lit("")) if name in have else F.lit("")
         return F.substring(value, 1, most) if most else value
 
-    sender = once("sender", F.lower(text("from_domain")))
-    named = once("name", text("from_name"))
     # Compared by organisation; without a sender or the other domain there is nothing to compare.
     if wanted("reply-to", "reply_domain"):
         simple("reply-to", (F.lower(text("from_domain")) != "") & (text("reply_domain") != "") & ~C.aligned(text("from_domain"), text("reply_domain")), "replyto-mismatch")
@@ -91,10 +89,10 @@ def check_rows(facts: DataFrame, only: set[str] | None = None, trusted: list[str
         flags = _list(F.when(hops == 0, "no-received"), F.when((hops > 0) & (broken > 0), "received-broken"), F.when((hops > 0) & (back > 0), "received-time-travel"), F.when(long, "received-long-chain"))
         add("received-chain", F.when(strong, "flag").when(long, "note").otherwise("ok"), flags)
     if wanted("message-id", "message_id"):
-        host = once("id_host", F.regexp_extract(F.lower(text("message_id")), r"@([^>\s]+)", 1))
+        host = F.regexp_extract(F.lower(text("message_id")), r"@([^>\s]+)", 1)
         missing = once("no_id", text("message_id") == "")
-        other = once("id_other", (F.regexp_extract(F.lower(text("message_id")), r"@([^>\s]+)", 1) != "") & (text("from_domain") != "") & ~C.aligned(text("from_domain"), F.regexp_extract(F.lower(text("message_id")), r"@([^>\s]+)", 1)))
-        add("message-id", F.when(missing | other & (host != ""), "note").otherwise("ok"), _list(F.when(missing, "messageid-missing"), F.when(~missing & other, "messageid-domain")))
+        other = once("id_other", (host != "") & (text("from_domain") != "") & ~C.aligned(text("from_domain"), host))
+        add("message-id", F.when(missing | other, "note").otherwise("ok"), _list(F.when(missing, "messageid-missing"), F.when(~missing & other, "messageid-domain")))
     if wanted("display-name", "from_name", "from_address"):
         shown = F.lower(F.regexp_extract(text("from_name"), ADDRESS, 0))
         simple("display-name", (shown != "") & (shown != F.lower(text("from_address"))), "forged-display-name")
@@ -126,38 +124,33 @@ def check_rows(facts: DataFrame, only: set[str] | None = None, trusted: list[str
         only_image = (seen < 15) & (picture | image)
         add("image-only", F.when(only_image, "flag").otherwise("ok"), _list(F.when(only_image, "image-only")))
     if parts and wanted("text-html"):
-        share = C.text_overlap(F.when(plain, F.col("m_text")), F.when(marked, page))
-        once("text", text("text_body"))
+        share = once("share", C.text_overlap(text("text_body"), C.html_to_text(text("html_body", X.HTML_SCAN_CHARS))))
         add("text-html", F.when(share.isNull(), "na").when(share < 0.25, "flag").when(share < 0.5, "note").otherwise("ok"), _list(F.when(share < 0.5, "text-html-mismatch")))
 
     whole = text("body", X.SCAN_CHARS) if "body" in have else F.substring(F.concat(text("text_body"), F.lit("\n"), C.html_to_text(text("html_body", X.HTML_SCAN_CHARS))), 1, X.SCAN_CHARS) if parts else None
-    body = once("body", whole) if whole is not None else F.lit("")
-    subject = once("subject", text("subject"))
-    hosts = once("hosts", F.array_join(F.coalesce("link_hosts", F.array().cast("array<string>")), " ")) if "link_hosts" in have else F.lit("")
+    # Texts in which characters are looked for: body, subject, sender's name and link hosts.
+    hosts = F.array_join(F.coalesce("link_hosts", F.array().cast("array<string>")), " ") if "link_hosts" in have else F.lit("")
+    fields = {"subject": text("subject"), "name": text("from_name"), "body": whole if whole is not None else F.lit(""), "links": hosts}
     if whole is not None and wanted("hidden-content"):
         # Running text holds strays; a name or host with any hidden character is no accident.
-        in_body, in_subject, in_name, in_hosts = (C.hidden_chars(x) for x in (body, subject, named, hosts))
-        css = C.hidden_css_blocks(F.col("m_html")) if parts else F.lit(0)
-        if parts:
-            once("html", text("html_body", X.HTML_SCAN_CHARS))
-        count = lambda h: h["zero_width"] + h["bidi"]
-        over = in_body["override"] + in_subject["override"] + in_name["override"] + in_hosts["override"] > 0
-        unseen = (count(in_name) + count(in_hosts) > 0) | (count(in_body) + count(in_subject) >= INVISIBLE_LEAST)
-        measured = F.struct(over.alias("over"), unseen.alias("unseen"), (css > 0).alias("css"))
-        add("hidden-content", *_bound(measured, lambda m: (F.when(m["over"] | m["unseen"], "flag").when(m["css"], "note").otherwise("ok"), _list(F.when(m["over"], "bidi-override"), F.when(m["unseen"], "invisible-chars"), F.when(m["css"], "hidden-css-text")))))
+        found = once("hidden", F.struct(*(C.hidden_chars(x).alias(n) for n, x in fields.items())))
+        css = once("css", C.hidden_css_blocks(text("html_body", X.HTML_SCAN_CHARS)) > 0) if parts else F.lit(False)
+        count = lambda n: found[n]["zero_width"] + found[n]["bidi"]
+        over = sum(found[n]["override"] for n in fields) > 0
+        unseen = (count("name") + count("links") > 0) | (count("body") + count("subject") >= INVISIBLE_LEAST)
+        add("hidden-content", F.when(over | unseen, "flag").when(css, "note").otherwise("ok"), _list(F.when(over, "bidi-override"), F.when(unseen, "invisible-chars"), F.when(css, "hidden-css-text")))
     if wanted("threading", "subject"):
         threaded = once("threaded", (text("in_reply_to") != "") | (text("references") != ""))
         reply = once("reply", text("subject").rlike(REPLY))
         add("threading", F.when(threaded, "note").when(reply, "flag").otherwise("ok"), _list(F.when(reply & ~threaded, "fake-reply"), F.when(threaded, "threaded")))
     if wanted("homoglyphs", "subject"):
-        flags = _list(*(F.when(C.mixed_script_words(x) > 0, f"homoglyph-{n}") for n, x in (("subject", subject), ("name", named), ("body", body), ("links", hosts))))
-        add("homoglyphs", *_bound(flags, lambda f: (F.when(F.size(f) > 0, "flag").otherwise("ok"), f)))
+        flags = once("homoglyphs", _list(*(F.when(C.mixed_script_words(x) > 0, f"homoglyph-{n}") for n, x in fields.items())))
+        add("homoglyphs", F.when(F.size(flags) > 0, "flag").otherwise("ok"), flags)
     if wanted("attachment-risk", "att_names"):
         flags = once("att_flags", attachment_flags(F.col("att_names"), F.col("att_heads") if "att_heads" in have else None))
         weak = F.size(F.array_except(flags, F.array(F.lit("attachment-macro"), F.lit("attachment-container")))) == 0
         add("attachment-risk", F.when(~attached, "na").when(F.size(flags) == 0, "ok").when(weak, "note").otherwise("flag"), flags)
     if whole is not None and "subject" in have and any(map(wanted, ("subject-script", "body-script", "script-mismatch"))):
-        # Bound a second time: profiles read the bound texts.
         nothing = F.array().cast("array<string>")
         two = {"subject-script": F.col("s_subject"), "body-script": F.col("s_body")}
         for name in filter(wanted, two):
@@ -173,12 +166,6 @@ def check_rows(facts: DataFrame, only: set[str] | None = None, trusted: list[str
     return once_.select("path", F.explode(F.array(*rows)).alias("r")).select("path", "r.*")
 
 
-def _bound(value: Column, use) -> tuple[Column, Column]:
-    """Status and flags of a value that is evaluated once for each."""
-    pick = lambda k: F.transform(F.array(value), lambda v: use(v)[k])[0]
-    return pick(0), pick(1)
-
-
 def status_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.count_if(F.col("status") == "flag").alias("n_flag"), F.count_if(F.col("status") == "note").alias("n_note"))
 
