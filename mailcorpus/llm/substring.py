@@ -130,13 +130,13 @@ def _windows(shared, window: int, prefix: int):
 def _names(words: Words) -> np.ndarray:
     """A number for each distinct word; equal hashes of different words are told apart."""
     _, one, name = np.unique(words.hash, return_index=True, return_inverse=True)
-    raw = words.data.tobytes()
-    text = [raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist())]
-    known = [text[k] for k in one.tolist()]
-    if all(map(bytes.__eq__, text, map(known.__getitem__, name.tolist()))):
-        return name
-    numbers: dict[bytes, int] = {}
-    return np.array([numbers.setdefault(t, len(numbers)) for t in text])
+    size, like = words.end - words.start, one[name]
+    if (size == size[like]).all():
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        if (words.data[np.repeat(words.start, size) + within] == words.data[np.repeat(words.start[like], size) + within]).all():
+            return name
+    raw, numbers = words.data.tobytes(), {}
+    return np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(words.start.tolist(), words.end.tolist())])
 
 
 def _labels(names: np.ndarray, size: int) -> np.ndarray:
