@@ -181,7 +181,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, rerank: int = 100, probed
     at = _bounds(x.shape[1])
     centres = [_kmeans(rest[:, a:b], CENTRES, rng) if len(x) else np.zeros((1, 1), np.float32) for a, b in zip(at, at[1:])]
     shared = v.sparkSession.sparkContext.broadcast((coarse, centres))  # at most MOST_LISTS and CENTRES vectors
-    probes = min(len(coarse), max(32, round(len(coarse) * probed)))
+    probes = max(1, round(len(coarse) * probed))
 
     def blocks(df: DataFrame, size: int, id_: str, fields: list[str], name: str) -> DataFrame:
         """Rows of a list dealt into blocks of about ``size``."""
