@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bitmap import BITS, bitmap, marked
 from ._stage import stage
 from ._text import U, Words, chunks, long_lists, mix
 
 SHINGLE = 5
 BLOCKS, RADIUS = 8, 23
-BITMAP = 1 << 26
 _VARIANTS = [0, *(1 << a for a in range(8)), *((1 << a) | (1 << b) for a, b in combinations(range(8), 2))]
 
 
@@ -67,14 +67,13 @@ def least_shared(shingles: int, percent: int) -> int:
 
 def _windows(shared, percent: int):
     def run(batches):
-        bitmap, sizes = shared.value
+        bits, sizes = shared.value
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 words = Words(data, offsets, lower=True)
                 grams, inside = words.grams(SHINGLE)
-                place = (grams & U(BITMAP - 1)).astype(np.int64)
-                known = inside & ((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0)
+                known = inside & marked(bits, (grams & U(BITS - 1)).astype(np.int64))
                 total = np.concatenate([[0], np.cumsum(known)])
                 found = []
                 rows = np.unique(words.row[np.flatnonzero(known)]) if known.any() else []
@@ -92,8 +91,7 @@ def _windows(shared, percent: int):
                     for r in np.flatnonzero(np.diff(words.first) >= size):
                         for s in range(words.first[r], words.first[r + 1] - size + 1):
                             h = mix(np.array([words.hash[s : s + size].sum() + U(size)], U))
-                            p = int(h[0] & U(BITMAP - 1))
-                            if bitmap[p >> 3] >> (p & 7) & 1:
+                            if marked(bits, (h & U(BITS - 1)).astype(np.int64))[0]:
                                 found.append((r + lo, size, s - words.first[r], h))
                 if found:
                     c = list(zip(*found))
@@ -127,12 +125,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = stage(items.distinct().mapInArrow(_items, "item_id long, size int, grams array<long>, print binary"), "items")
-    bitmap = np.zeros(BITMAP // 8, np.uint8)  # 8 MB whatever the benchmark
-    places = items.select(F.explode("grams").alias("g")).select(F.col("g").bitwiseAND(BITMAP - 1).alias("p")).distinct()
-    for row in places.toLocalIterator():
-        bitmap[row.p >> 3] |= 1 << (row.p & 7)
+    known = bitmap(items.select(F.explode("grams").alias("g")).select(F.col("g").bitwiseAND(F.lit(BITS - 1))))  # 8 MB whatever the benchmark
     sizes = sorted(r.size_ for r in items.select(F.col("size").alias("size_")).distinct().collect())  # a number for each length of item
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap, sizes))
+    shared = docs.sparkSession.sparkContext.broadcast((known, sizes))
     windows = stage(docs.mapInArrow(_windows(shared, percent), "doc_id long, size int, start long, shingles array<long>, print binary"), "windows")
     # Equal windows of many documents are compared once.
     windows = windows.withColumn("sig", F.xxhash64("shingles"))
