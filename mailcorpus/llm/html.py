@@ -32,6 +32,8 @@ STOP_WORDS = frozenset(
     """.split()
 )
 RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|button|title|canvas|audio|video|applet|datalist"
+#: Of these, a page without an end tag has nothing but their content to its end; of others only the tag goes.
+ENDLESS = "script|style|textarea|title|iframe"
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 HOLDERS = BLOCK - frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6 hr body html head tbody thead tfoot caption pre legend".split())
 BAD_TAGS = frozenset("nav footer aside form dialog menu search head".split())
@@ -43,7 +45,7 @@ _BAD_NAME = re.compile(
     re.I,
 )
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|main|story|body|text)(?=$|[\s_-])", re.I)
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>", re.S | re.I)
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?</\1\s*>|<(?:{ENDLESS})\b[^>]*>.*\Z|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 

@@ -292,6 +292,22 @@ def test_nearest_neighbours(spark):
     assert sorted(r.vec_id for r in few.collect()) == [1, 2, 3] and ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_neighbours_with_fewer_than_all_lists(spark):
+    """Vectors almost without clusters; extra columns have the names of results."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0.5) for i, v in enumerate(x)], "vec_id long, embedding array<float>, rank int, score double")
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 3000, 20):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / (150 * 20) > 0.9
+
+
 def test_contamination(spark):
     r = random.Random(6)
     v = [f"w{k}" for k in range(300)]
@@ -407,6 +423,13 @@ def test_main_text():
     assert html.extract("<p " + "<p " * 2000) is not None and html.extract("<a href='" * 3000) is not None
 
 
+@pytest.mark.parametrize("tag", ["noscript", "select", "button", "object", "svg", "math"])
+def test_text_after_an_element_without_end(tag):
+    one = " ".join(LONG.split())
+    assert html.extract(f"<article><p>{LONG}</p><{tag}><p>{LONG}</p></article>") == f"{one}\n{one}"
+    assert html.extract(f"<article><p>{LONG}</p><{tag}>gone</{tag}><p>{LONG}</p></article>") == f"{one}\n{one}"
+
+
 def test_pages_with_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x</p>"), (3, "u", f"<p>{LONG}</p>"), (3, "u", f"<p>{LONG}</p>")], "page_id long, url string, html string")
     rows = html.main_text(df).collect()
