@@ -32,6 +32,8 @@ from ._stage import stage
 from ._text import U, Words, as_bytes, chunks, gram_hashes, mix
 
 LEVEL = 7
+#: Words that are compared at once.
+NAMED = 1 << 15
 ROW = ("d", "text_id")
 
 
@@ -43,7 +45,7 @@ def _runs(words: Words, window: int, prefix: int) -> tuple[np.ndarray, ...]:
     starts = np.flatnonzero(words.row[:n] == words.row[window - 1 :])
     if not len(starts):
         return np.zeros(0, U), *(np.zeros(0, np.int64),) * 3
-    at = (np.arange(n) + np.lib.stride_tricks.sliding_window_view(runs[: n + span - 1], span).argmin(axis=1))[starts]
+    at = _leftmost_least(runs[: n + span - 1], span)[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (words.row[starts[1:]] != words.row[starts[:-1]])
     first = np.flatnonzero(new)
@@ -51,6 +53,18 @@ def _runs(words: Words, window: int, prefix: int) -> tuple[np.ndarray, ...]:
     return runs[at[first]], words.row[starts[first]], starts[first], starts[last]
 
 
+def _leftmost_least(x: np.ndarray, span: int) -> np.ndarray:
+    """Where the least of each ``span`` neighbours is, the first of equals, by doubling."""
+    at, least, have = np.arange(len(x)), x, 1
+    while have < span:
+        step = min(have, span - have)
+        n = len(least) - step
+        left = least[:n] <= least[step:]
+        at, least = np.where(left, at[:n], at[step:]), np.where(left, least[:n], least[step:])
+        have += step
+    return at
+
+
 def _counted(window: int, prefix: int):
     """How often each run is a place for windows, added up over a chunk."""
 
@@ -127,14 +141,19 @@ def _windows(shared, window: int, prefix: int):
     return run
 
 
+def _same(words: Words, like: np.ndarray, lo: int, hi: int) -> bool:
+    """Whether words lo..hi have the bytes of those they are like, which are as long."""
+    start, other, size = words.start[lo:hi], words.start[like[lo:hi]], (words.end - words.start)[lo:hi]
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return bool((words.data[np.repeat(start, size) + within] == words.data[np.repeat(other, size) + within]).all())
+
+
 def _names(words: Words) -> np.ndarray:
     """A number for each distinct word; equal hashes of different words are told apart."""
     _, one, name = np.unique(words.hash, return_index=True, return_inverse=True)
     size, like = words.end - words.start, one[name]
-    if (size == size[like]).all():
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        if (words.data[np.repeat(words.start, size) + within] == words.data[np.repeat(words.start[like], size) + within]).all():
-            return name
+    if (size == size[like]).all() and all(_same(words, like, lo, lo + NAMED) for lo in range(0, len(name), NAMED)):
+        return name
     raw, numbers = words.data.tobytes(), {}
     return np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(words.start.tolist(), words.end.tolist())])
 
@@ -226,17 +245,26 @@ def _digests(batch, window: int):
 
 
 def _finish(window: int):
-    """Rows, with their repeats or none -> counts and the digest of the kept words."""
+    """Rows, with their repeats -> counts and the digest of the kept words."""
     return lambda batches: (_digests(b, window) for b in batches)
 
 
-def _marked_rows(shared, want: bool):
-    """The rows whose bit is set, or not set, without their places."""
+def _whole(shared, window: int):
+    """The same of the rows without repeats, which the bitmap has not."""
+
+    def run(batches):
+        for batch in batches:
+            yield _digests(batch.filter(pa.array(~marked(shared.value, batch.column("place").to_numpy()))), window)
+
+    return run
+
+
+def _touched(shared):
+    """The rows that the bitmap has."""
 
     def run(batches):
         for batch in batches:
-            use = marked(shared.value, batch.column("place").to_numpy()) == want
-            yield batch.filter(pa.array(use)).select([c for c in batch.schema.names if c != "place"])
+            yield batch.filter(pa.array(marked(shared.value, batch.column("place").to_numpy()))).drop_columns(["place"])
 
     return run
 
@@ -272,7 +300,7 @@ def repeated_passages(docs: DataFrame, window: int = 35, prefix: int = 12, group
     hit = context.broadcast(bitmap(found.select(place(F.col("text_id")))))
     rows = docs.withColumn("place", place(F.col("text_id")))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    none = rows.select("doc_id", "text", "place").mapInArrow(_marked_rows(hit, False), "doc_id long, text string").mapInArrow(_finish(window), out)
-    some = rows.mapInArrow(_marked_rows(hit, True), "doc_id long, d long, text string, text_id long")
+    none = rows.select("doc_id", "text", "place").mapInArrow(_whole(hit, window), out)
+    some = rows.mapInArrow(_touched(hit), "doc_id long, d long, text string, text_id long")
     some = some.join(found, list(ROW), "left").select("doc_id", "text", "found")
     return none.union(some.mapInArrow(_finish(window), out))
