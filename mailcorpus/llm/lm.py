@@ -1,21 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Unigram and bigram counts of the training rows are added up by Spark; a count c becomes
-the level 1 + floor(log2 c), and the n-gram is entered once for each level up to its own.
-Probing level 1, 2, ... until one is missing gives the count back, quantised. The filter is
-split into segments, each built by one task; its size is a power of two up to ``max_bits``, so
-what is broadcast is bounded. Bigrams seen once are not entered (a count cutoff, part of the
-model): they say little and are most of all bigrams. Where entries of BITS_PER_ENTRY bits would
-not fit, the cutoff rises by whole levels, of bigrams first; all counts are still gathered.
-
-The base score uses exact counts: frequent tokens from a table of at most HEAD entries that
-every task holds, all others by a join.
+Texts are cut into chunks of whole rows. Each chunk sends every n-gram it holds once, with its
+count in the chunk's training rows, to the segment of the filter that the n-gram's hash names.
+The task of a segment adds the counts up; a count c becomes the level that numbers the greatest
+step not above it (1, 2, 3, 4, 6, 8, 12, ...), and the n-gram is entered once for each level up
+to its own. Probing level 1, 2, ... until one is missing gives the count back, rounded down to a
+step. The levels go back to the chunks, one byte for each n-gram sent.
+
+All counted n-grams are entered, those seen once too, so the filter grows with the corpus. It is
+therefore not broadcast: a segment is as much as one task can hold, there are as many as the
+texts need, and n-grams travel to their segment. No n-gram is a hot key, as a chunk sends it once.
+
+The base score uses the exact counts of tokens, which come back beside the levels.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +28,11 @@ from ._text import U, Words, chunks, mix
 END = U(0xA5A5F00D12345677)
 BITS_PER_ENTRY = 12
 PROBES = 5
-SEGMENT = 1 << 16
-HEAD = 1 << 18
-HELD = 1_200_000
-KEYS = ("row_id", "doc_id", "held_out")
+SEGMENTS = 256
+SEGMENT_BYTES = 16_000_000
+STEPS = np.unique(np.ceil(2.0 ** (np.arange(124) / 2) - 1e-9).astype(np.int64))
+ROW_GROUPS = {"parquet.block.size": "8000000", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+_VALUES = np.concatenate([[0], STEPS])
 _GOLD, _ROSE = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
 
@@ -46,78 +50,44 @@ def _bigrams(tokens: np.ndarray) -> np.ndarray:
     return mix(before * _GOLD + mix(tokens ^ _ROSE))
 
 
-def _counted(batches):
-    """Counts of unigrams and bigrams, added up over runs of chunks before they leave the task."""
+def level_of(count: np.ndarray) -> np.ndarray:
+    """How many steps are at most each count."""
+    return np.searchsorted(STEPS, count, "right")
 
-    def table(held: list) -> pa.RecordBatch:
-        n, gram, c = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((gram, n))
-        n, gram, c = n[order], gram[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (n[1:] != n[:-1])]))
-        return pa.RecordBatch.from_arrays([pa.array(n[first]), pa.array(gram[first].view(np.int64)), pa.array(np.add.reduceat(c, first))], ["n", "gram", "c"])
-
-    held: list = []
-    size = 0
-    for batch in batches:
-        for _, _, data, offsets in chunks(batch.column("text")):
-            tokens, _ = _tokens(data, offsets)
-            for n, grams in ((1, tokens), (2, _bigrams(tokens))):
-                gram, c = np.unique(grams, return_counts=True)
-                held.append((np.full(len(gram), n, np.int8), gram, c.astype(np.int64)))
-                size += len(gram)
-            if size > HELD:
-                yield table(held)
-                held, size = [], 0
-    if held:
-        yield table(held)
-
-
-def _probe(gram: np.ndarray, level: int, i: int) -> np.ndarray:
-    """The i-th bit, within its segment, of each n-gram at a level."""
-    x = mix(gram + U(level * int(_GOLD) % (1 << 64)))
-    return ((x + U(i) * ((x >> U(16)) | U(1))) & U(SEGMENT - 1)).astype(np.int64)
 
+def count_of(level: np.ndarray) -> np.ndarray:
+    """The greatest count that every n-gram of a level has at least; 0 for level 0."""
+    return _VALUES[level]
 
-def _segment(gram: np.ndarray, segments: int) -> np.ndarray:
-    return (mix(gram ^ _ROSE) & U(segments - 1)).astype(np.int64)
 
+def _probe(gram: np.ndarray, level: int, i: int, bits: int) -> np.ndarray:
+    """The i-th bit of each n-gram at a level."""
+    x = mix(gram + U(level * int(_GOLD) % (1 << 64)))
+    return ((x + U(i) * ((x >> U(32)) | U(1))) % U(bits)).astype(np.int64)
 
-def _segment_column(segments: int):
-    def run(batches):
-        for batch in batches:
-            gram = batch.column("gram").to_numpy(zero_copy_only=False).view(U)
-            yield pa.RecordBatch.from_arrays([pa.array(_segment(gram, segments).astype(np.int32)), batch.column("gram"), batch.column("level")], ["segment", "gram", "level"])
 
-    return run
+def build_segment(gram: np.ndarray, count: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
+    """The packed bits of distinct n-grams with counts of 1 or more, ``bits_per_entry`` for each level entered."""
+    level = level_of(count)
+    bits = 8 * (int(level.sum()) * bits_per_entry // 8 + 8)
+    out = np.zeros(bits, bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        gram = gram[level >= j]
+        level = level[level >= j]
+        for i in range(PROBES):
+            out[_probe(gram, j, i, bits)] = True
+    return np.packbits(out, bitorder="little")
 
 
-def _build(batches):
-    """Rows near each other in segment order -> the bits of those segments."""
-    for batch in batches:
-        gram = batch.column("gram").to_numpy(zero_copy_only=False).view(U)
-        level = batch.column("level").to_numpy(zero_copy_only=False)
-        segment, local = np.unique(batch.column("segment").to_numpy(zero_copy_only=False), return_inverse=True)
-        for lo in range(0, len(segment), 256):
-            bits = np.zeros((min(256, len(segment) - lo), SEGMENT), bool)
-            mine = (local >= lo) & (local < lo + 256)
-            for j in range(1, int(level[mine].max()) + 1):
-                at = mine & (level >= j)
-                for i in range(PROBES):
-                    bits[local[at] - lo, _probe(gram[at], j, i)] = True
-            packed = np.packbits(bits, axis=1, bitorder="little")
-            yield pa.RecordBatch.from_arrays([pa.array(segment[lo : lo + 256].astype(np.int32)), pa.array([row.tobytes() for row in packed], pa.binary())], ["segment", "bits"])
-
-
-def levels(filter_: np.ndarray, gram: np.ndarray) -> np.ndarray:
+def levels(segment: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """The level of each n-gram: how many probes in a row are answered yes."""
-    base = _segment(gram, len(filter_) * 8 // SEGMENT) * (SEGMENT // 8)
-    out = np.zeros(len(gram), np.int64)
+    out = np.zeros(len(gram), np.uint8)
     alive = np.arange(len(gram))
-    for j in range(1, 64):
+    for j in range(1, len(STEPS) + 1):
         x = gram[alive]
         for i in range(PROBES):
-            p = _probe(x, j, i)
-            hit = (filter_[base[alive] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 != 0
+            p = _probe(x, j, i, len(segment) * 8)
+            hit = (segment[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0
             alive, x = alive[hit], x[hit]
         if not len(alive):
             break
@@ -125,118 +95,159 @@ def levels(filter_: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts; 0 for level 0."""
-    return np.where(level > 1, 1.5 * 2.0 ** (level - 1) - 0.5, level.astype(float))
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column that holds the values from each bound to the next."""
+    values = np.ascontiguousarray(values)
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
 
+def _unpacked(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column, and where each row's begin and end."""
+    parts = [column] if isinstance(column, pa.Array) else column.chunks
+    values, sizes = [np.zeros(0, dtype)], [np.zeros(1, np.int64)]
+    for part in parts:
+        part = part.cast(pa.large_binary())
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        if len(part) and offsets[-1] > offsets[0]:
+            values.append(np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(dtype))
+        sizes.append(np.diff(offsets) // np.dtype(dtype).itemsize)
+    return np.concatenate(values), np.cumsum(np.concatenate(sizes))
 
-def train(docs: DataFrame) -> DataFrame:
-    """``(n, gram, c)``: how often each unigram and bigram (by hash) occurs in ``docs.text``."""
-    grams = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "n byte, gram long, c long")
-    return grams.groupBy("n", "gram").agg(F.sum("c").alias("c")).where("n = 1 OR c > 1")
 
+def _chunk_rows(batches):
+    """Texts, and what is returned with them, as one row for each chunk."""
+    k = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for lo, hi, data, offsets in chunks(batch.column("text")):
+            whole = pa.array([0, hi - lo], pa.int32())
+            ids, held = (pa.ListArray.from_arrays(whole, pa.concat_arrays([batch.column(name)[lo:hi]])) for name in ("doc_id", "held_out"))
+            ends = pa.ListArray.from_arrays(pa.array([0, hi - lo + 1], pa.int32()), pa.array(offsets, pa.int64()))
+            text = _packed(data, np.array([0, len(data)]))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), ids, held, ends, text, pa.array([len(data)], pa.int64())], ["chunk", "ids", "held", "ends", "data", "size"])
+            k += 1
 
-def _level() -> Column:
-    return F.floor(F.log2("c") + F.lit(1e-9)).cast("int") + 1
 
+def _chunk(row) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts of a chunk."""
+    return np.frombuffer(row["data"].as_py(), np.uint8), row["ends"].values.to_numpy()
 
-def _cutoffs(sizes: dict[tuple[int, int], int], most: int) -> dict[int, int]:
-    """The least level of unigrams and of bigrams for which the entries are at most ``most``: rare bigrams go first."""
-    least = {1: 1, 2: 1}
-    for n in (2, 1):
-        while sum(k * count for (m, k), count in sizes.items() if k >= least[m]) > most and least[n] < 64:
-            least[n] += 1
-    return least
 
+def _dealt(gram: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by segment of distinct sorted n-grams, and the segments in that order."""
+    segment = (mix(gram ^ _ROSE) & U(segments - 1)).astype(np.int32)
+    order = np.argsort(segment, kind="stable")
+    return order, segment[order]
 
-def build_filter(counts: DataFrame, max_bits: int) -> np.ndarray:
-    """The filter's bytes; at most ``max_bits`` / 8 of them."""
-    sizes = {(r.n, r.level): r.size for r in counts.groupBy("n", _level().alias("level")).agg(F.count("*").alias("size")).collect()}
-    least = _cutoffs(sizes, max_bits // BITS_PER_ENTRY)
-    entries = sum(k * count for (n, k), count in sizes.items() if k >= least[n])
-    segments = 1
-    while segments * SEGMENT < entries * BITS_PER_ENTRY and segments * 2 * SEGMENT <= max_bits:
-        segments *= 2
-    rows = counts.select("n", "gram", _level().alias("level")).where((F.col("level") >= least[2]) | ((F.col("n") == 1) & (F.col("level") >= least[1]))).select("gram", "level")
-    rows = rows.mapInArrow(_segment_column(segments), "segment int, gram long, level int")
-    filter_ = np.zeros((segments, SEGMENT // 8), np.uint8)
-    for row in rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(_build, "segment int, bits binary").toLocalIterator():
-        filter_[row.segment] |= np.frombuffer(row.bits, np.uint8)
-    return filter_.reshape(-1)
-
-
-def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent tokens (at most HEAD, by whole powers of two) and the least count there."""
-    sizes = {r.k: r.n for r in counts.where("n = 1").groupBy(F.floor(F.log2("c") + F.lit(1e-9)).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}
-    total, least = 0, 64
-    for k in sorted(sizes, reverse=True):
-        if total + sizes[k] > HEAD:
-            break
-        total, least = total + sizes[k], k
-    least = 1 << least if sizes else 1
-    head = counts.where((F.col("n") == 1) & (F.col("c") >= least)).select("gram", "c").toArrow()
-    gram, c = head.column("gram").to_numpy().view(U), head.column("c").to_numpy()
-    order = np.argsort(gram)
-    return gram[order], c[order], least
 
+def _sent(segments: int):
+    """For each chunk and segment: its unigrams and bigrams there, and their counts in training rows."""
 
-def _score(shared, weight: float):
     def run(batches):
-        filter_, head, head_c, total, kinds = shared.value
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column("text")):
+            for k in range(batch.num_rows):
+                data, offsets = _chunk({name: batch.column(name)[k] for name in ("data", "ends")})
                 tokens, first = _tokens(data, offsets)
-                token, back, times = np.unique(tokens, return_inverse=True, return_counts=True)
-                at = np.minimum(np.searchsorted(head, token), max(0, len(head) - 1))
-                known = head[at] == token if len(head) else np.zeros(len(token), bool)
-                exact = np.where(known, head_c[at], 0) if len(head) else np.zeros(len(token))
-                single = count_of(levels(filter_, token))
-                pair, pair_back = np.unique(_bigrams(tokens), return_inverse=True)
-                double = count_of(levels(filter_, pair))[pair_back]
-                before = np.empty(len(tokens))
-                before[0] = single[back[first[1] - 1]]  # an end
-                before[1:] = single[back[:-1]]
-                alone = (single[back] + 1) / (total + kinds + 1)
-                p = np.where(before > 0, weight * np.minimum(1, double / np.maximum(before, 1)) + (1 - weight) * alone, alone)
-                starts = first[:-1]
-                logs = np.add.reduceat(np.log10(p), starts)
-                heads = np.add.reduceat(np.log10(exact + 1)[back], starts)
-                seen = np.add.reduceat(known[back].astype(np.int64), starts)
-                tails, counts = [], []
-                for r in range(hi - lo):
-                    rare = back[first[r] : first[r + 1]]
-                    rare, c = np.unique(rare[~known[rare]], return_counts=True)
-                    tails.append(token[rare])
-                    counts.append(c.astype(np.int64))
-                sizes = np.cumsum([0, *map(len, tails)]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(x).view(np.int64))) for x in (tails, counts)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in KEYS), pa.array(np.diff(first).astype(np.int64)), pa.array(seen), pa.array(heads), pa.array(logs), *lists], [*KEYS, "n_tokens", "seen", "heads", "score", "tail", "times"])
+                trains = np.repeat(~batch.column("held")[k].values.to_numpy(zero_copy_only=False), np.diff(first))
+                kinds = []
+                for grams in (tokens, _bigrams(tokens)):
+                    gram, back = np.unique(grams, return_inverse=True)
+                    count = np.bincount(back, trains, len(gram)).astype(np.int32)
+                    order, segment = _dealt(gram, segments)
+                    kinds.append((gram[order], count[order], segment))
+                used = np.union1d(kinds[0][2], kinds[1][2])
+                columns = []
+                for gram, count, segment in kinds:
+                    bounds = np.append(np.searchsorted(segment, used), len(segment))
+                    columns += [_packed(gram, bounds), _packed(count, bounds)]
+                chunk = np.full(len(used), batch.column("chunk")[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(chunk), *columns], ["segment", "chunk", "gram1", "c1", "gram2", "c2"])
+
+    return run
+
+
+def _answered(bits_per_entry: int):
+    """The rows sent to a segment -> the exact count and level of their unigrams, the level of their
+    bigrams; and a row with chunk -1: tokens, distinct tokens and rounded counts of the segment."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = []
+        for n in ("1", "2"):
+            sent, bounds = _unpacked(table.column(f"gram{n}"), U)
+            gram, back = np.unique(sent, return_inverse=True)
+            count = np.bincount(back, _unpacked(table.column(f"c{n}"), np.int32)[0], len(gram)).astype(np.int64)
+            kinds.append((gram, back, count, bounds))
+        gram, count = (np.concatenate([kinds[0][k], kinds[1][k]]) for k in (0, 2))
+        segment = build_segment(gram[count > 0], count[count > 0], bits_per_entry)
+        (one, back1, exact, bounds1), (two, back2, _, bounds2) = kinds
+        level = levels(segment, one)
+        n, none = table.num_rows, np.zeros(2, np.int64)
+        zeros = np.zeros(n, np.int64)
+        sums = [int(exact.sum()), int((exact > 0).sum()), int(count_of(level)[exact > 0].sum())]
+        names = ["segment", "chunk", "exact", "level1", "level2", "total", "kinds", "mass"]
+        rows = [table.column("segment").combine_chunks(), table.column("chunk").combine_chunks(), _packed(exact[back1], bounds1), _packed(level[back1], bounds1), _packed(levels(segment, two)[back2], bounds2), *(pa.array(zeros) for _ in sums)]
+        last = [table.column("segment").combine_chunks()[:1], pa.array([-1], pa.int64()), *(_packed(np.zeros(0, np.uint8), none) for _ in range(3)), *(pa.array([x], pa.int64()) for x in sums)]
+        return pa.concat_tables([pa.Table.from_arrays(x, names=names) for x in (rows, last)])
+
+    return run
+
+
+def _score(segments: int, total: int, kinds: int, mass: int, weight: float):
+    """A chunk and the answers to it -> a row for each of its texts."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        data, offsets = _chunk({name: texts.column(name)[0] for name in ("data", "ends")})
+        tokens, first = _tokens(data, offsets)
+        answers = answers.sort_by("segment")
+
+        def of(grams: np.ndarray, *columns) -> list[np.ndarray]:
+            gram, back = np.unique(grams, return_inverse=True)
+            order, _ = _dealt(gram, segments)
+            out = []
+            for name, dtype in columns:
+                values = np.empty(len(gram), dtype)
+                values[order] = _unpacked(answers.column(name), dtype)[0]
+                out.append(values[back])
+            return out
+
+        exact, level1 = of(tokens, ("exact", np.int64), ("level1", np.uint8))
+        (level2,) = of(_bigrams(tokens), ("level2", np.uint8))
+        before = np.empty(len(tokens), np.int64)
+        before[0] = exact[first[1] - 1]  # an end
+        before[1:] = exact[:-1]
+        alone = (count_of(level1) + 1) / (mass + kinds + 1)
+        follows = np.minimum(1, count_of(level2) / np.maximum(before, 1))
+        p = np.where(before > 0, weight * follows + (1 - weight) * alone, alone)
+        starts = first[:-1]
+        n = np.diff(first)
+        base = np.add.reduceat(np.log10(exact + 1), starts) - n * np.log10(total + kinds + 1)
+        known = np.add.reduceat((exact > 0).astype(np.int64), starts)
+        ids, held = (texts.column(name)[0].values for name in ("ids", "held"))
+        return pa.Table.from_arrays([ids, held, pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(np.add.reduceat(np.log10(p), starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, held_out: Column, max_bits: int = 1 << 29, weight: float = 0.2) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, weight: float = 0.2, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``.
 
     A row for each row. Counts come from the rows where ``held_out`` is false or null. Null and
     empty texts are one end token. ``base_score`` is the add-one unigram log10 probability with
-    exact counts; ``score`` interpolates bigrams (``weight``) and add-one unigrams from the
-    quantised counts. Repeated rows are scored and counted each; without training rows every
-    count is 0. Other columns are ignored.
+    exact counts. ``score`` is log10 of the product of ``weight`` x c'(v, w) / c(v) +
+    (1 - ``weight``) x (c'(w) + 1) / (sum of c' + V + 1), where c' is a count as the filter gives
+    it; tokens after an unseen one take the second part alone. As c' is rounded down, the
+    probabilities after v add up to at most 1, but for false yeses of the filter. Repeated rows
+    are scored and counted each; without training rows every count is 0. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    counts = stage(train(docs.where(~F.col("held_out"))), "counts")
-    total, kinds = counts.where("n = 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head, head_c, least = _head(counts)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((build_filter(counts, max_bits), head, head_c, total, kinds))
-    rows = docs.withColumn("row_id", F.monotonically_increasing_id())
-    scored = stage(rows.mapInArrow(_score(shared, weight), "row_id long, doc_id long, held_out boolean, n_tokens long, seen long, heads double, score double, tail array<long>, times array<long>"), "scored")
-    tail = scored.select("row_id", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row_id", F.col("t.tail").alias("gram"), F.col("t.times").alias("times"))
-    rare = counts.where((F.col("n") == 1) & (F.col("c") < least)).select("gram", "c")
-    tail = tail.join(rare, "gram").groupBy("row_id").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tails"), F.sum("times").alias("more"))
-    base = F.col("heads") + F.coalesce("tails", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
-    return (
-        scored.drop("tail", "times").join(tail, "row_id", "left")
-        .select("doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
-    )
+    texts = stage(docs.mapInArrow(_chunk_rows, "chunk long, ids array<long>, held array<boolean>, ends array<long>, data binary, size long"), "texts", **ROW_GROUPS)
+    size = texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    segments = SEGMENTS
+    while segments * SEGMENT_BYTES < size:
+        segments *= 2
+    sent = texts.mapInArrow(_sent(segments), "segment int, chunk long, gram1 binary, c1 binary, gram2 binary, c2 binary")
+    answers = stage(sent.groupBy("segment").applyInArrow(_answered(bits_per_entry), "segment int, chunk long, exact binary, level1 binary, level2 binary, total long, kinds long, mass long"), "answers")
+    total, kinds, mass = answers.where("chunk = -1").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "kinds", "mass"))).first()
+    back = answers.where("chunk >= 0").select("chunk", "segment", "exact", "level1", "level2").groupBy("chunk")
+    scores = texts.drop("size").groupBy("chunk").cogroup(back).applyInArrow(_score(segments, total, kinds, mass, weight), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

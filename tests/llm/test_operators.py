@@ -122,31 +122,47 @@ def test_repeated_passages(spark, limit):
 
 
 def test_language_model(spark):
-    rows = [(i, t) for i, t in copies(5, groups=6)] + [(1, None), (2, "")]
+    """Both scores by hand, with null ids, repeated rows and very long texts; with many bits for each entry no yes of the filter is false."""
+    rows = [(i, t) for i, t in copies(5, groups=6)] + ODD + [(None, "one two three"), (100, "again w1 w2 w2 w2 w2 w2 w2 w2")]
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    got = {r.doc_id: r for r in lm.lm_scores(docs_of(spark, rows), held).collect()}
-    tokens = {i: [*words(t, True), None] for i, t in rows}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(x for i in train for x in tokens[i])
+    tokens = [[*words(t, True), None] for _, t in rows]
+    out = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    c = Counter(x for t, o in zip(tokens, out) if not o for x in t)
+    pairs = Counter(x for t, o in zip(tokens, out) if not o for x in zip([None, *t], t))
     total, kinds = sum(c.values()), len(c)
-    for i, x in tokens.items():
-        base = sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in x)
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(x), sum(c[w] > 0 for w in x), total, i not in train)
-        assert abs(got[i].base_score - base) < 1e-9 and got[i].score < 0
-    assert sum(got[i].score for i in train) > sum(got[i].base_score for i in train)
+
+    def step(n):
+        return max([0, *(s for s in lm.STEPS.tolist() if s <= n)])
+
+    mass = sum(step(x) for x in c.values())
+    want = []
+    for (i, _), t, o in zip(rows, tokens, out):
+        base = sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in t)
+        score = 0.0
+        for v, w in zip([None, *t], t):
+            alone = (step(c[w]) + 1) / (mass + kinds + 1)
+            score += math.log10(0.2 * step(pairs[v, w]) / c[v] + 0.8 * alone if c[v] else alone)
+        want.append((-1 if i is None else i, o, len(t), sum(c[w] > 0 for w in t), total, base, score))
+    for bits, off in ((96, 1e-6), (lm.BITS_PER_ENTRY, 0.05)):
+        got = [(-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in lm.lm_scores(docs_of(spark, rows), held, bits_per_entry=bits).collect()]
+        for g, w in zip(sorted(got), sorted(want), strict=True):
+            assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and abs(g[6] - w[6]) < off * g[2]
     assert lm.lm_scores(docs_of(spark, []), held).count() == 0
-    assert lm._cutoffs({(1, 1): 10, (2, 1): 50, (2, 3): 5}, 30) == {1: 1, 2: 2} and lm._cutoffs({(1, 1): 10, (1, 4): 1}, 5) == {1: 2, 2: 64}
+    alone = lm.lm_scores(docs_of(spark, ODD), F.lit(True)).collect()
+    assert len(alone) == len(ODD) and all(r.n_known == r.train_tokens == 0 and abs(r.score - r.base_score) < 1e-9 for r in alone)
 
 
 def test_levels_give_counts_back():
-    gram = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = np.zeros(64 * lm.SEGMENT // 8, np.uint8)
-    for j in (1, 2, 3):
-        for i in range(lm.PROBES):
-            at = lm._segment(gram[:1000], 64) * (lm.SEGMENT // 8) * 8 + lm._probe(gram[:1000], j, i)
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    level = lm.levels(bits, gram)
-    assert (level[:1000] >= 3).all() and (level[1000:] == 0).mean() > 0.99
+    rng = np.random.default_rng(3)
+    gram = rng.integers(1, 2**63, 40_000, dtype=np.uint64)
+    count = (rng.pareto(0.8, 20_000) + 1).astype(np.int64)
+    segment = lm.build_segment(gram[:20_000], count)
+    level = lm.levels(segment, gram)
+    assert (lm.count_of(level[:20_000]) >= lm.count_of(lm.level_of(count))).all()
+    assert (level[:20_000] == lm.level_of(count)).mean() > 0.98 and (level[20_000:] == 0).mean() > 0.98
+    assert (lm.count_of(lm.level_of(np.arange(1, 5))) == np.arange(1, 5)).all() and lm.level_of(np.array([0]))[0] == 0
+    assert len(segment) <= lm.level_of(count).sum() * lm.BITS_PER_ENTRY / 8 + 8
+    assert (lm.levels(lm.build_segment(gram[:0], count[:0]), gram) == 0).all()
 
 
 def test_toxicity_learns_and_meets_misspellings(spark):
