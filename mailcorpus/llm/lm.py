@@ -30,6 +30,8 @@ BITS_PER_ENTRY = 12
 PROBES = 5
 SEGMENTS = 256
 SEGMENT_BYTES = 16_000_000
+SEGMENTS_PER_TASK = 4
+TEXT_BYTES = 6_000_000
 STEPS = np.unique(np.ceil(2.0 ** (np.arange(124) / 2) - 1e-9).astype(np.int64))
 ROW_GROUPS = {"parquet.block.size": "8000000", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 _VALUES = np.concatenate([[0], STEPS])
@@ -119,7 +121,7 @@ def _chunk_rows(batches):
     """Texts, and what is returned with them, as one row for each chunk."""
     k = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for lo, hi, data, offsets in chunks(batch.column("text")):
+        for lo, hi, data, offsets in chunks(batch.column("text"), TEXT_BYTES):
             whole = pa.array([0, hi - lo], pa.int32())
             ids, held = (pa.ListArray.from_arrays(whole, pa.concat_arrays([batch.column(name)[lo:hi]])) for name in ("doc_id", "held_out"))
             ends = pa.ListArray.from_arrays(pa.array([0, hi - lo + 1], pa.int32()), pa.array(offsets, pa.int64()))
@@ -245,9 +247,10 @@ def lm_scores(docs: DataFrame, held_out: Column, weight: float = 0.2, bits_per_e
     segments = SEGMENTS
     while segments * SEGMENT_BYTES < size:
         segments *= 2
+    tasks = segments // SEGMENTS_PER_TASK
     sent = texts.mapInArrow(_sent(segments), "segment int, chunk long, gram1 binary, c1 binary, gram2 binary, c2 binary")
-    answers = stage(sent.groupBy("segment").applyInArrow(_answered(bits_per_entry), "segment int, chunk long, exact binary, level1 binary, level2 binary, total long, kinds long, mass long"), "answers")
+    answers = stage(sent.repartition(tasks, "segment").groupBy("segment").applyInArrow(_answered(bits_per_entry), "segment int, chunk long, exact binary, level1 binary, level2 binary, total long, kinds long, mass long"), "answers")
     total, kinds, mass = answers.where("chunk = -1").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "kinds", "mass"))).first()
-    back = answers.where("chunk >= 0").select("chunk", "segment", "exact", "level1", "level2").groupBy("chunk")
-    scores = texts.drop("size").groupBy("chunk").cogroup(back).applyInArrow(_score(segments, total, kinds, mass, weight), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    back = answers.where("chunk >= 0").select("chunk", "segment", "exact", "level1", "level2").repartition(tasks, "chunk").groupBy("chunk")
+    scores = texts.drop("size").repartition(tasks, "chunk").groupBy("chunk").cogroup(back).applyInArrow(_score(segments, total, kinds, mass, weight), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
