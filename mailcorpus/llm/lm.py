@@ -52,6 +52,17 @@ def _bigrams(tokens: np.ndarray) -> np.ndarray:
     return mix(before * _GOLD + mix(tokens ^ _ROSE))
 
 
+def _short(gram: np.ndarray) -> np.ndarray:
+    """The five low bytes of each n-gram: two of a segment are alike far more rarely than the filter says a false yes."""
+    return np.ascontiguousarray(gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").reshape(-1)
+
+
+def _long(short: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :5] = short.view(np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1).astype(U)
+
+
 def level_of(count: np.ndarray) -> np.ndarray:
     """How many steps are at most each count."""
     return np.searchsorted(STEPS, count, "right")
@@ -118,21 +129,23 @@ def _unpacked(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunk_rows(batches):
-    """Texts, and what is returned with them, as one row for each chunk."""
+    """Texts, compressed, and what is returned with them, as one row for each chunk."""
     k = TaskContext.get().partitionId() << 32
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text"), TEXT_BYTES):
             whole = pa.array([0, hi - lo], pa.int32())
             ids, held = (pa.ListArray.from_arrays(whole, pa.concat_arrays([batch.column(name)[lo:hi]])) for name in ("doc_id", "held_out"))
             ends = pa.ListArray.from_arrays(pa.array([0, hi - lo + 1], pa.int32()), pa.array(offsets, pa.int64()))
-            text = _packed(data, np.array([0, len(data)]))
+            text = pa.array([pa.compress(np.ascontiguousarray(data), codec="zstd", asbytes=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), ids, held, ends, text, pa.array([len(data)], pa.int64())], ["chunk", "ids", "held", "ends", "data", "size"])
             k += 1
 
 
 def _chunk(row) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts of a chunk."""
-    return np.frombuffer(row["data"].as_py(), np.uint8), row["ends"].values.to_numpy()
+    offsets = row["ends"].values.to_numpy()
+    size = int(offsets[-1])
+    return np.frombuffer(pa.decompress(row["data"].as_py(), size, "zstd") if size else b"", np.uint8), offsets
 
 
 def _dealt(gram: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,11 +165,11 @@ def _sent(segments: int):
                 tokens, first = _tokens(data, offsets)
                 trains = np.repeat(~batch.column("held")[k].values.to_numpy(zero_copy_only=False), np.diff(first))
                 kinds = []
-                for grams in (tokens, _bigrams(tokens)):
+                for grams, form in ((tokens, np.asarray), (_bigrams(tokens), _short)):
                     gram, back = np.unique(grams, return_inverse=True)
                     count = np.bincount(back, trains, len(gram)).astype(np.int32)
                     order, segment = _dealt(gram, segments)
-                    kinds.append((gram[order], count[order], segment))
+                    kinds.append((form(gram[order]), count[order], segment))
                 used = np.union1d(kinds[0][2], kinds[1][2])
                 columns = []
                 for gram, count, segment in kinds:
@@ -174,9 +187,9 @@ def _answered(bits_per_entry: int):
 
     def run(table: pa.Table) -> pa.Table:
         kinds = []
-        for n in ("1", "2"):
-            sent, bounds = _unpacked(table.column(f"gram{n}"), U)
-            gram, back = np.unique(sent, return_inverse=True)
+        for n, dtype, form in (("1", U, np.asarray), ("2", "V5", _long)):
+            sent, bounds = _unpacked(table.column(f"gram{n}"), dtype)
+            gram, back = np.unique(form(sent), return_inverse=True)
             count = np.bincount(back, _unpacked(table.column(f"c{n}"), np.int32)[0], len(gram)).astype(np.int64)
             kinds.append((gram, back, count, bounds))
         gram, count = (np.concatenate([kinds[0][k], kinds[1][k]]) for k in (0, 2))
