@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, html, lm, minhash, mixing, pii, sql, substring, toxicity
+from . import ann, chat, decontaminate, exact, html, lm, merkle, minhash, mixing, permuterm, pii, sql, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
@@ -74,3 +74,19 @@ def op6_decontaminate(spark, sf_dir):
 @query
 def op2_mixing(spark, sf_dir):
     return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling(spark, sf_dir):
+    return permuterm.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_exact(spark, sf_dir):
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle(spark, sf_dir):
+    """Texts of a third of the rows are met in lower case."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0, bytes.lower)
