@@ -137,8 +137,10 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     # Texts stay where they are: a bitmap of the ids tells which sets to make.
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(place(F.col("id")))))
     texts = docs.withColumnRenamed("doc_id", "id").withColumn("place", place(F.col("id")))
-    own = nodes.select("id", "n", F.slice("sketch", 1, SKETCH).alias("sketch")).join(ids, "id", "left_semi")
-    full = stage(texts.mapInArrow(_full(size, shared), "id long, full array<long>, parity array<long>").join(own, "id").where(F.size("full") == F.col("n")), "full")
+    # Sketches for the union are cut from full sets: those of the nodes may end before SKETCH values, and what lies beyond the
+    # end of one is no difference.
+    full = texts.mapInArrow(_full(size, shared), "id long, full array<long>, parity array<long>").withColumn("sketch", F.slice("full", 1, SKETCH))
+    full = stage(full.join(nodes.select("id", "n").join(ids, "id", "left_semi"), "id").where(F.size("full") == F.col("n")), "full")
 
     # Members of long lists again, by the whole set: what remains listed then shares nearly
     # everything, not just a passage.

@@ -82,6 +82,20 @@ def test_near_duplicates_on_both_sides_of_the_wide_sketch(spark):
     assert got == brute_components(rows, 4, 80) and len({c for _, c in got.values()}) == 10
 
 
+def test_near_duplicates_of_every_size_at_the_threshold(spark):
+    """For 5 to 300 shingles a text and a longer one that begins with it, as long as the threshold lets it be and one word longer."""
+    rows, n = [], 0
+    for k in [*range(5, 60), *range(60, 301, 8)]:
+        for copy, extra in enumerate((0, k // 4, k // 4, k // 4 + 1)):
+            n += 1
+            at = k if copy < 2 else k + 1000 * copy
+            rows += [(2 * n, " ".join(f"v{at}x{j}" for j in range(k + 3)))] if copy else []
+            rows.append((2 * n + 1, " ".join(f"v{at}x{j}" for j in range(k + 3 + extra))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs_of(spark, rows), size=4).collect()}
+    want = brute_components(rows, 4, 80)
+    assert got == want and len({c for _, c in want.values()}) < len(rows) * 0.75
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = minhash.near_duplicates(docs_of(spark, ODD), size=4).collect()
     assert len(rows) == len(ODD)
