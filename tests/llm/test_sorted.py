@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,7 +166,7 @@ def test_queries_against_sql(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = con.execute(queries.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    show = lambda df: sorted(tuple("-" if x is None or x != x else str(x).removesuffix(".0") for x in row) for row in df[sorted(df.columns)].itertuples(index=False))
+    show = lambda df: sorted(tuple("-" if pd.isna(x) else str(x).removesuffix(".0") for x in row) for row in df[sorted(df.columns)].itertuples(index=False))
     assert show(got) == show(want) and len(got) > 100
 
 
