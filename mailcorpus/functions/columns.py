@@ -51,13 +51,25 @@ def strip_invisible(text: Column) -> Column:
     return F.regexp_replace(text, X.INVISIBLE, "")
 
 
-URL = r"(?i)\b(?:https?|hxxps?|ftp)://[^\s<>\"']+|\bwww\.[^\s<>\"']+"
+URL = r"(?i)\b(?:https?|hxxps?|ftp)://[^\s<>\"'()\[\]]+|\bwww\.[^\s<>\"'()\[\]]+"
+ATTRIBUTE = r"""(?i)\s(?:href|src)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""
+
+
+def _links(found: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(found, lambda u: F.regexp_replace(F.trim(u), r"[.,;:!?)\]}'\"]+$", "")), lambda u: u != ""))
 
 
 def urls(text: Column) -> Column:
     """Distinct links in order, without the punctuation that ends them."""
-    found = F.regexp_extract_all(text, F.lit(URL), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)\]}'\"]+$", "")))
+    return _links(F.regexp_extract_all(text, F.lit(URL), F.lit(0)))
+
+
+def message_urls(text: Column, page: Column) -> Column:
+    """Distinct links of a text and of a page: of its href and src attributes, quoted or not, and of what it says."""
+    attributes = F.transform(F.regexp_extract_all(page, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.regexp_replace(F.regexp_extract(a, r"(?s)=\s*(.*)$", 1), r"""(?s)^(["'])(.*)\1$""", "$2"))
+    none = F.array().cast("array<string>")
+    parts = [F.regexp_extract_all(text, F.lit(URL), F.lit(0)), attributes, F.regexp_extract_all(page, F.lit(URL), F.lit(0))]
+    return F.filter(_links(F.concat(*(F.coalesce(p, none) for p in parts))), lambda u: u.rlike(r"(?i)^(?:https?|hxxps?|ftp|www\.)"))
 
 
 def defanged(url: Column) -> Column:
@@ -118,11 +130,14 @@ def hidden_unicode_count(text: Column) -> Column:
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character; 0 for an empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
-    return F.aggregate(share, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+    """Bits per character; 0 for an empty text. The characters are sorted, then one fold sees the lengths of their runs."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    n = F.length(text).cast("double")
+    part = lambda run: F.when(run > 0, run * F.log2(run)).otherwise(F.lit(0.0))
+    state = lambda c, run, total: F.struct(c.alias("c"), run.alias("run"), total.alias("total"))
+    step = lambda s, c: F.when(s["c"] == c, state(c, s["run"] + 1, s["total"])).otherwise(state(c, F.lit(1.0), s["total"] + part(s["run"])))
+    total = F.aggregate(chars, state(F.lit(""), F.lit(0.0), F.lit(0.0)), step, lambda s: s["total"] + part(s["run"]))
+    return F.when(n > 0, F.log2(n) - total / n).otherwise(F.when(text.isNotNull(), F.lit(0.0)))
 
 
 def looks_random(text: Column, least: int = 12, bits: float = 3.5) -> Column:
@@ -165,13 +180,54 @@ def mixed_script_words(text: Column) -> Column:
     return F.when(~text.rlike(f"[{other}]"), 0).otherwise(F.size(mixed))
 
 
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once: a one-element array binds it to a variable."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _after(text: Column, mark: str, read) -> Column:
+    """A text whose pieces after each ``mark`` are what ``read`` makes of them; texts without it are left alone."""
+    joined = lambda ps: F.concat(ps[0], F.array_join(F.transform(F.slice(ps, F.lit(2), F.size(ps)), read), ""))
+    return _bound(text, lambda t: F.when(t.contains(mark), _bound(F.split(t, mark), joined)).otherwise(t))
+
+
+def decode_references(text: Column) -> Column:
+    """Character references as characters: numeric ones, with or without semicolon, then those of HTML 4, then the few that need no semicolon.
+
+    128-159 are Windows-1252; numbers that are no character give U+FFFD, unknown names stay.
+    """
+
+    def numeric(p: Column) -> Column:
+        code = F.regexp_extract(p, r"^(?:[xX][0-9a-fA-F]+|[0-9]+)", 0)
+        cp = F.when(code.rlike("^[xX]"), F.conv(F.substring(code, F.lit(2), F.length(code)), 16, 10)).otherwise(code).try_cast("bigint")
+        fine = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+        char = F.when(cp.between(128, 159), _literal_map(X.CP1252)[cp.cast("int")]).when(fine, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        rest = F.substring(p, F.length(code) + 1, F.length(p))
+        return F.when(code == "", F.concat(F.lit("&#"), p)).otherwise(F.concat(char, F.regexp_replace(rest, "^;", "")))
+
+    def named(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        low = F.lower(name)
+        char = F.coalesce(_literal_map(X.REFERENCES)[name], F.when(low.isin("amp", "lt", "gt", "quot"), _literal_map(X.REFERENCES)[low]))
+        return F.coalesce(F.concat(char, F.substring(p, F.length(name) + 2, F.length(p))), F.concat(F.lit("&"), p))
+
+    def bare(p: Column) -> Column:
+        name = F.regexp_extract(p, r"(?i)^(amp|lt|gt|quot|nbsp)(?![A-Za-z0-9;])", 1)
+        return F.coalesce(F.concat(_literal_map(X.REFERENCES)[F.lower(name)], F.substring(p, F.length(name) + 1, F.length(p))), F.concat(F.lit("&"), p))
+
+    return _after(_after(_after(text, "&#", numeric), "&", named), "&", bare)
+
+
 def html_to_text(page: Column) -> Column:
     """Visible text: scripts and styles out, breaks and block ends to line feeds, tags out, entities decoded, blanks squeezed."""
     text = F.regexp_replace(page, r"(?is)<(script|style|head|title)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|tr|li|h[1-6]|table|blockquote)\s*>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("copy", "\u00a9"), ("middot", "\u00b7"), ("amp", "&")):
-        text = F.regexp_replace(text, f"&{name};", char)
+    text = decode_references(text)
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
 
 
@@ -216,6 +272,20 @@ def is_private_ip(ip: Column) -> Column:
     return F.coalesce(F.when(ip.contains(":"), ip.rlike(r"(?i)^(?:::1$|f[cd]|fe[89ab])")).otherwise(v4), F.lit(False))
 
 
+def canonical_ip(text: Column) -> Column:
+    """One form for each address: IPv4 without leading zeros, IPv6 as eight lower-case groups, mapped IPv4 as IPv4; null if it is none."""
+    low = F.lower(text)
+    v4 = F.regexp_extract(low, r"^(?:::ffff:)?((?:\d{1,3}\.){3}\d{1,3})$", 1)
+    four = F.transform(F.split(v4, r"\."), lambda x: x.try_cast("int"))
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(low, "::", 1)), F.when(low.contains("::"), groups(F.substring_index(low, "::", -1))).otherwise(F.array().cast("array<string>"))
+    known = F.size(left) + F.size(right)
+    eight = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - known)), right)
+    fine = low.rlike(r"^[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}$") & ~low.rlike(":::|::.*::") & F.when(low.contains("::"), known < 8).otherwise((known == 8) & (F.size(F.split(low, ":")) == 8))
+    short = F.transform(eight, lambda g: F.coalesce(F.nullif(F.ltrim(g, F.lit("0")), F.lit("")), F.lit("0")))
+    return F.when((v4 != "") & ~F.exists(four, lambda x: x > 255), F.array_join(F.transform(four, lambda x: x.cast("string")), ".")).when(fine, F.array_join(short, ":"))
+
+
 def domain_tokens(text: Column, cap: int = 200) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,}\b"), F.lit(0))), 1, cap)
 

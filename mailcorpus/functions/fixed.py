@@ -1,5 +1,11 @@
 """Lists, patterns and limits that results depend on."""
 
+from html.entities import name2codepoint
+
+#: Named references: those of HTML 4, and apos; a no-break space reads as a blank.
+REFERENCES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+#: What the numeric references 128 to 159 mean: Windows-1252, where it has a character.
+CP1252 = {code: bytes([code]).decode("cp1252", "ignore") or chr(code) for code in range(128, 160)}
 SCAN_CHARS = 20_000
 HTML_SCAN_CHARS = 200_000
 MAX_MESSAGE_BYTES = 15 * 1024 * 1024
@@ -41,6 +47,8 @@ MACRO = "docm|dotm|xlsm|xltm|xlam|pptm|potm|ppam|ppsm|sldm"
 CONTAINER = "iso|img|vhd|vhdx"
 INVISIBLE = r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]"
 HIDDEN_CHARS = "\u00ad\u00a0\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\ufeff\u2060\u2061\u061c"
+#: Host names that say nothing about who received a message.
+LOCAL_HOST = r"^(?:localhost|localhost\.localdomain|unknown|127\.\d+\.\d+\.\d+|::1|0:0:0:0:0:0:0:1|.*\.local|.*\.localdomain|.*\.internal|.*\.lan)$"
 RISKY_EXTENSIONS = [".exe", ".scr", ".js", ".vbs", ".bat", ".cmd", ".jar", ".ps1"]
 URGENT_SUBJECT = ["urgent", "verify your account", "suspended", "action required", "password expires"]
 HIDDEN_CSS = r"(?i)display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0(?:px|pt|em|rem|%)?\s*(?:;|$)|opacity\s*:\s*0(?:\.0+)?\s*(?:;|$)|mso-hide\s*:\s*all"

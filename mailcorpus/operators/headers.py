@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailcorpus.functions import columns as C
 from mailcorpus.functions import fixed as X
 
-_HOST = r"([A-Za-z0-9._-]+)"
-
 
 def headers_table(messages: DataFrame) -> DataFrame:
     """A row for each header in order, the k-th of n with its name."""
@@ -28,27 +26,59 @@ def header_texts(headers: DataFrame, cap: int = X.HEADER_NAMES_CAP) -> DataFrame
 
 
 def hops(received: DataFrame) -> DataFrame:
-    """``received(path, pos, value)`` -> hops, oldest first, with their parts and time."""
+    """``received(path, pos, value)`` -> hops, oldest first, with their parts and time.
+
+    ``from_ip`` is read from the comment after the sending host: in brackets, bare IPv4, or bare
+    IPv6 (only with :: or all eight groups, so that no time of day is one).
+    """
     v = F.regexp_replace("value", r"\s+", " ")
+    body = F.when(v.contains(";"), F.regexp_extract(v, r"^(.*);", 1)).otherwise(v)
     text = F.regexp_replace(F.regexp_extract(v, r";\s*(?:[A-Za-z]{3},\s*)?([^;(]*?)\s*(?:\([^)]*\))?\s*$", 1), r"\s+", " ")
-    part = lambda p, k=1: F.nullif(F.regexp_extract(v, p, k), F.lit(""))
+    part = lambda p, k=1, of=body: F.nullif(F.regexp_extract(of, p, k), F.lit(""))
+    comment = F.trim(F.regexp_extract(body, r"(?i)\bfrom\s+\S+\s*\(([^)]*(?:\([^)]*\)[^)]*)*)\)", 1))
+    bare = F.regexp_extract(comment, r"(?:^|[\s(])([0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){2,7})(?=$|[\s)])", 1)
+    bare = F.when(bare.contains("::") | (F.size(F.split(bare, ":")) == 8), bare)
+    ip = F.coalesce(part(r"\[(?:IPv6:)?([0-9A-Fa-f:.]+)\]", of=comment), part(r"\b((?:\d{1,3}\.){3}\d{1,3})\b", of=comment), bare)
     out = received.select(
-        "path", "pos", part(rf"(?i)\bfrom\s+{_HOST}").alias("from_host"), part(r"(?i)\bfrom\s+\S+\s+\(([^)]*)\)").alias("from_comment"),
-        part(r"\[(?:IPv6:)?([0-9A-Fa-f.:]+)\]|\b([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b").alias("from_ip"), part(rf"(?i)\bby\s+{_HOST}").alias("by_host"),
-        part(r"(?i)\bwith\s+([A-Za-z0-9]+)").alias("with_"), part(r"(?i)\bid\s+<?([^\s;>]+)").alias("id"), part(r"(?i)\bfor\s+<?([^\s;>]+)").alias("for_address"),
+        "path", "pos", part(r"(?i)\bfrom\s+([^\s(]+)").alias("from_host"), F.nullif(comment, F.lit("")).alias("from_comment"), ip.alias("from_ip"), part(r"(?i)\bby\s+(\S+)").alias("by_host"),
+        part(r"(?i)\bwith\s+(.+?)(?=\s+(?:id|for|by|from|via)\b|\s*\(|\s*;|$)").alias("with_"), part(r"(?i)\bid\s+<?([^\s;>]+)").alias("id"), part(r"(?i)\bfor\s+<?([^\s;>]+)").alias("for_address"),
         F.nullif(text, F.lit("")).alias("date_text"), F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z")).alias("ts"),
     )
     return out.withColumn("idx", F.row_number().over(W.partitionBy("path").orderBy(F.desc("pos")))).where(F.col("idx") <= X.HOP_CAP)
 
 
+def _host(name: Column) -> Column:
+    """Lower case, without brackets and the dot at the end; addresses in one form."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"^\[(?:ipv6:)?|\]$", ""), r"\.$", "")
+    return F.coalesce(C.canonical_ip(plain), plain)
+
+
+def hand_off(by: Column, sender: Column, comment: Column, ip: Column) -> Column:
+    """Whether a hop names the receiver of the hop before it: ok, broken or unknown.
+
+    The same host or organisation, the receiver named in the comment, or its address count as the
+    same; without a name, or with a local one, nothing can be said. Addresses are compared in one
+    form, so 2001:DB8::1 is 2001:db8:0:0:0:0:0:1.
+    """
+    by, sender, comment = _host(by), _host(sender), F.lower(F.coalesce(comment, F.lit("")))
+    address = C.canonical_ip(by).isNotNull()
+    org = F.when(address, by).otherwise(C.registrable_domain(by))
+    org_sender = F.when(C.canonical_ip(sender).isNotNull(), sender).otherwise(C.registrable_domain(sender))
+    named = comment.contains(by) | ((org != by) & comment.contains(org))
+    met = address & (C.canonical_ip(F.coalesce(ip, F.lit(""))) == by)
+    return (
+        F.when((by == "") | ((sender == "") & (comment == "")) | by.rlike(X.LOCAL_HOST), "unknown").when(named, "ok").when((sender == "") | sender.rlike(X.LOCAL_HOST), "unknown")
+        .when((by == sender) | (org == org_sender) | F.coalesce(met, F.lit(False)), "ok").otherwise("broken")
+    )
+
+
 def chain(hops_: DataFrame) -> DataFrame:
     """Hops with ``delay_ms`` since the one before and the state of the hand-off from it."""
     order = W.partitionBy("path").orderBy("idx")
     millis = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
     out = hops_.withColumn("delay_ms", (millis - F.lag(millis).over(order)).cast("long")).withColumn("before", F.lower(F.lag("by_host").over(order)))
-    named = F.lower("from_host")
-    local = lambda h: h.isNull() | (h == "localhost") | ~h.contains(".") | h.rlike(r"\.(?:local|lan|internal|localdomain|home|corp)$")
-    state = F.when(F.col("idx") == 1, None).when(local(named) | local(F.col("before")), "unknown").when(C.aligned(named, F.col("before")), "ok").otherwise("broken")
+    given = lambda c: F.col(c) if c in hops_.columns else F.lit(None).cast("string")
+    state = F.when(F.col("idx") > 1, hand_off(F.col("before"), F.col("from_host"), given("from_comment"), given("from_ip")))
     return out.withColumn("state", state).withColumn("travels", F.coalesce(F.col("delay_ms") < -300_000, F.lit(False)))
 
 
@@ -97,16 +127,72 @@ def planted_results(results: DataFrame, hops_: DataFrame) -> DataFrame:
     return late.join(hosts, (late["path"] == hosts["_path"]) & C.aligned(F.col("authserv"), F.col("_host")), "left_anti")
 
 
+#: Segments of a trust header that are read: it is written by strangers.
+SEGMENTS = 64
+
+
+def segments(value: Column, most: int = SEGMENTS) -> Column:
+    """A header split at semicolons outside comments and quotes: a fold over its tokens that knows depth, quotes and escapes."""
+    tokens = F.regexp_extract_all(value, F.lit(r'(?s)[^\\"();]+|.'), F.lit(0))
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
+
+    def step(s: Column, t: Column) -> Column:
+        free = ~s["quoted"]
+        cut = free & (t == ";") & (s["depth"] == 0)
+        deeper = F.when(free & (t == "("), 1).when(free & (t == ")") & (s["depth"] > 0), -1).otherwise(0)
+        new = F.struct(
+            F.when(cut, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]).alias("out"), F.when(cut, "").otherwise(F.concat(s["cur"], t)).alias("cur"), (s["depth"] + deeper).alias("depth"),
+            F.when(free, t == '"').otherwise(s["escaped"] | (t != '"')).alias("quoted"), (s["quoted"] & ~s["escaped"] & (t == "\\")).alias("escaped"),
+        )
+        return F.when(F.size(s["out"]) >= most, s).otherwise(new)
+
+    return F.aggregate(tokens, zero, step, lambda s: F.concat(s["out"], F.array(s["cur"])))
+
+
+def uncommented(value: Column) -> Column:
+    """Struct of the text without its comments, and these; comments may hold others and may lack their end."""
+    tokens = F.regexp_extract_all(value, F.lit(r"[^()]+|[()]"), F.lit(0))
+    none = F.array().cast("array<string>")
+    zero = F.struct(F.lit("").alias("text"), none.alias("comments"), F.lit("").alias("cur"), F.lit(0).alias("depth"))
+
+    def step(s: Column, t: Column) -> Column:
+        opens, closes = t == "(", (t == ")") & (s["depth"] > 0)
+        last = closes & (s["depth"] == 1)
+        outside = (s["depth"] == 0) & ~opens
+        return F.struct(
+            F.when(outside, F.concat(s["text"], t)).otherwise(s["text"]).alias("text"), F.when(last, F.concat(s["comments"], F.array(F.trim(s["cur"])))).otherwise(s["comments"]).alias("comments"),
+            F.when(opens & (s["depth"] == 0), "").when(last | outside, s["cur"]).otherwise(F.concat(s["cur"], t)).alias("cur"), (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+        )
+
+    left = lambda s: F.when((s["depth"] > 0) & (F.trim(s["cur"]) != ""), F.array(F.trim(s["cur"]))).otherwise(none)
+    return F.aggregate(tokens, zero, step, lambda s: F.struct(s["text"].alias("text"), F.concat(s["comments"], left(s)).alias("comments")))
+
+
 def auth_results(headers: DataFrame) -> DataFrame:
-    """``(path, pos, value)`` of trust headers -> a row for each method: server, result, class and properties."""
-    plain = F.regexp_replace(F.regexp_replace("value", r"\([^()]*\)", " "), r"\s+", " ")
-    pieces = F.filter(F.transform(F.split(plain, ";"), lambda x: F.trim(x)), lambda p: p != "")
-    server = F.when(~F.element_at(pieces, 1).contains("="), F.lower(F.split(F.element_at(pieces, 1), " ")[0]))
-    rows = headers.select("path", "pos", server.alias("authserv"), F.explode(F.filter(pieces, lambda p: p.rlike(r"^[a-z0-9-]+\s*=\s*[a-z]+"))).alias("p")).where("p NOT LIKE 'i=%'")
-    result = F.lower(F.regexp_extract("p", r"^[A-Za-z0-9-]+\s*=\s*([A-Za-z]+)", 1))
-    kind = F.when(result == "pass", "ok").when(result.isin("fail", "hardfail", "permerror"), "flag").otherwise("note")
-    props = F.map_from_entries(F.array_distinct(F.transform(F.regexp_extract_all("p", F.lit(r"\b([a-z]+\.[a-z-]+=\S+)"), F.lit(1)), lambda x: F.struct(F.substring_index(x, "=", 1), F.substring_index(x, "=", -1)))))
-    return rows.select("path", "pos", "authserv", F.lower(F.regexp_extract("p", r"^([A-Za-z0-9-]+)", 1)).alias("method"), result.alias("result"), kind.alias("class"), props.alias("props"))
+    """``(path, pos, value)`` of trust headers -> a row for each method: server, result, class, comment and properties.
+
+    Understands quoted and escaped text, nested comments, the ``i=`` instance of ARC headers, and
+    headers without a server. What is no ``method=result`` is a row without a method; null and empty
+    headers give no row.
+    """
+    pair = r"^([A-Za-z0-9._+-]+)\s*=\s*([A-Za-z0-9._+-]+)\s*(.*)$"
+    rows = headers.select("path", "pos", segments(F.coalesce("value", F.lit(""))).alias("parts"))
+    instance = F.regexp_extract(F.col("parts")[0], r"(?i)^\s*i\s*=\s*(\d+)\s*$", 1)
+    rows = rows.withColumn("instance", instance.try_cast("int")).withColumn("parts", F.when(F.col("instance").isNotNull(), F.slice("parts", 2, SEGMENTS + 1)).otherwise(F.col("parts")))
+    rows = rows.withColumn("head", F.split(F.trim(uncommented(F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit("")))["text"]), r"\s+"))
+    lone = F.col("head")[0].contains("=")
+    rows = rows.withColumns({"authserv": F.when(~lone & (F.col("head")[0] != ""), F.lower(F.col("head")[0])), "version": F.when(~lone & F.get("head", F.lit(1)).rlike(r"^\d+$"), F.get("head", F.lit(1)))})
+    rows = rows.select("path", "pos", "instance", "authserv", "version", F.posexplode(F.when(lone, F.col("parts")).otherwise(F.slice("parts", 2, SEGMENTS + 1))).alias("nth", "part"))
+    rows = rows.withColumn("read", uncommented(F.col("part"))).withColumn("p", F.trim("read.text")).where("p <> ''")
+    known = F.col("p").rlike(pair)
+    result = F.when(known, F.lower(F.regexp_extract("p", pair, 2))).otherwise(F.col("p"))
+    kind = F.when(result.isin("pass", "bestguesspass"), "ok").when(result.isin("fail", "hardfail"), "flag").otherwise("note")
+    props = F.regexp_extract_all(F.when(known, F.regexp_extract("p", pair, 3)).otherwise(""), F.lit(r'[A-Za-z0-9._+-]+\s*=\s*(?:"(?:[^"\\]|\\.)*"|[^\s"]+)'), F.lit(0))
+    props = F.transform(props, lambda x: F.struct(F.regexp_extract(x, r"^([^=\s]+)", 1).alias("key"), F.regexp_replace(F.regexp_extract(x, r"(?s)=\s*(.*)$", 1), r'(?s)^"(.*)"$', "$1").alias("value")))
+    return rows.select(
+        "path", "pos", "nth", "instance", "authserv", "version", F.when(known, F.lower(F.regexp_extract("p", pair, 1))).otherwise("").alias("method"), result.alias("result"), kind.alias("class"),
+        F.array_join("read.comments", " ").alias("comment"), props.alias("props"),
+    )
 
 
 def first_results(headers: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mailcorpus.functions import columns as C
 from mailcorpus.functions import fixed as X
+from mailcorpus.shared import written
 
 #: Text fields of a search: the columns of message_facts that they read, joined by blanks.
 TEXT_FIELDS = {
@@ -166,15 +167,21 @@ class Search:
         return self.facts.where(p.column)
 
     def ranked(self, p: Predicate, limit: int = 500) -> DataFrame:
-        """The best rows with ``score``, ``matched_fields``, and the ``total`` they are the best of."""
+        """The best rows with ``score``, ``matched_fields``, the ``total`` they are the best of, and whether that is more: ``truncated``.
+
+        Rows are found and counted in one scan: the count is a metric observed below the ranking.
+        The ranking runs at once; its ``limit`` rows are a table in the shared folder, best first.
+        """
         by: dict[str, list[Column]] = {}
         for name, hit in p.hits:
             by.setdefault(name, []).append(hit)
         score = sum((F.when(C.any_of(h), X.WEIGHTS.get(f, 1)).otherwise(0) for f, h in by.items()), F.lit(0))
         matched = F.array_compact(F.array(*(F.when(C.any_of(h), F.lit(f)) for f, h in by.items()))) if by else F.array().cast("array<string>")
-        found = self.where(p).withColumn("score", score).withColumn("matched_fields", matched)
-        best = found.orderBy(F.desc("score"), F.desc(F.coalesce("date_ms", F.lit(0))), "path").limit(limit)
-        return best.crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))  # one row
+        seen = Observation()
+        found = self.where(p).withColumn("score", score).withColumn("matched_fields", matched).observe(seen, F.count("*").alias("total"))
+        best = written(found.orderBy(F.desc("score"), F.desc(F.coalesce("date_ms", F.lit(0))), "path").limit(limit), "ranked")
+        total = seen.get["total"]
+        return best.withColumn("total", F.lit(total).cast("long")).withColumn("truncated", F.lit(total > limit))
 
 
 def with_tags(facts: DataFrame, tags: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailcorpus.functions import helpers
+
 
 def effective(tags: DataFrame) -> DataFrame:
     return tags.select("email_id", "tag").distinct()
@@ -28,15 +30,18 @@ def normalise_all(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def run_rules(facts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """``(rule_id, path, email_id, matched, error)`` in one pass; a rule that cannot be read is an error, not a failure."""
-    tests = []
-    for rule, expression in rules:
+    helpers.register(facts.sparkSession)
+    holds, rows = [], []
+    for k, (rule, expression) in enumerate(rules):
         try:
             facts.select(F.expr(expression).cast("boolean")).schema
         except Exception as why:  # the rule is user text
-            tests.append(F.struct(F.lit(rule).alias("rule_id"), F.lit(False).alias("matched"), F.lit(str(why).split("\n")[0][:80]).alias("error")))
+            rows.append(F.struct(F.lit(rule).alias("rule_id"), F.lit(False).alias("matched"), F.lit(str(why).split("\n")[0][:80]).alias("error")))
         else:
-            tests.append(F.struct(F.lit(rule).alias("rule_id"), F.coalesce(F.expr(expression).cast("boolean"), F.lit(False)).alias("matched"), F.lit(None).cast("string").alias("error")))
-    return facts.select("path", "email_id", F.explode(F.array(*tests)).alias("r")).select("r.rule_id", "path", "email_id", "r.matched", "r.error")
+            # Conditions are columns of their own, as SQL functions may not stand in a generator.
+            holds.append(F.coalesce(F.expr(expression).cast("boolean"), F.lit(False)).alias(f"_holds_{k}"))
+            rows.append(F.struct(F.lit(rule).alias("rule_id"), F.col(f"_holds_{k}").alias("matched"), F.lit(None).cast("string").alias("error")))
+    return facts.select("path", "email_id", *holds).select("path", "email_id", F.explode(F.array(*rows)).alias("r")).select("r.rule_id", "path", "email_id", "r.matched", "r.error")
 
 
 def match_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1 +1,3 @@
 
+
+from . import registry, senders  # noqa: F401
