@@ -49,6 +49,8 @@ INVISIBLE = r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]"
 HIDDEN_CHARS = "\u00ad\u00a0\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\ufeff\u2060\u2061\u061c"
 #: Host names that say nothing about who received a message.
 LOCAL_HOST = r"^(?:localhost|localhost\.localdomain|unknown|127\.\d+\.\d+\.\d+|::1|0:0:0:0:0:0:0:1|.*\.local|.*\.localdomain|.*\.internal|.*\.lan)$"
+#: Headers that a message has at most once.
+SINGLE_HEADERS = ["from", "sender", "subject", "date", "message-id", "reply-to", "in-reply-to"]
 RISKY_EXTENSIONS = [".exe", ".scr", ".js", ".vbs", ".bat", ".cmd", ".jar", ".ps1"]
 URGENT_SUBJECT = ["urgent", "verify your account", "suspended", "action required", "password expires"]
 HIDDEN_CSS = r"(?i)display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0(?:px|pt|em|rem|%)?\s*(?:;|$)|opacity\s*:\s*0(?:\.0+)?\s*(?:;|$)|mso-hide\s*:\s*all"

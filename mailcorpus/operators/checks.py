@@ -104,10 +104,20 @@ def check_rows(facts: DataFrame, only: set[str] | None = None, trusted: list[str
             known = C.any_of([C.is_under(readable, d) for d in trusted])
             imitates = once("imitates", ~readable.rlike(r"^[\x00-\x7F]*$") & ~known & C.any_of([C.is_under(skeleton, d) for d in trusted]))
         add("sender-domain", F.when(literal | imitates, "flag").otherwise("ok"), _list(F.when(literal, "sender-ip-literal"), F.when(imitates, "confusable-domain")))
+    if wanted("duplicate-headers", "duplicate_names"):
+        simple("duplicate-headers", F.size("duplicate_names") > 0, "duplicate-headers")
     if wanted("dkim-alignment", "dkim_domains"):
-        none = once("unsigned", F.coalesce(F.size("dkim_domains"), F.lit(0)) <= 0)
+        # A signature that names no domain is one; only the lack of any is not applicable.
+        signed = F.col("dkim_signed") if "dkim_signed" in have else F.size("dkim_domains") > 0
+        none = once("unsigned", ~F.coalesce(signed, F.lit(False)))
         other = once("signer", F.coalesce((text("from_domain") != "") & (F.size("dkim_domains") > 0) & ~F.exists("dkim_domains", lambda d: C.aligned(text("from_domain"), d)), F.lit(False)))
         add("dkim-alignment", F.when(none, "na").when(other, "note").otherwise("ok"), _list(F.when(other, "dkim-misaligned")))
+    if wanted("header-forgery", "forgery"):
+        forged = once("forgery", F.coalesce("forgery", F.array().cast("array<string>")))
+        add("header-forgery", F.when(F.size(forged) > 0, "flag").otherwise("ok"), forged)
+    if wanted("sender-origin", "origin"):
+        origin = once("origin", F.col("origin"))
+        add("sender-origin", F.when(origin == "claims-internal", "flag").when(origin == "internal", "ok").when(origin == "unverified", "note").otherwise("na"), _list(F.when(origin == "claims-internal", "claims-internal")))
 
     parts = {"text_body", "html_body"} <= have
     if parts:
@@ -124,10 +134,12 @@ def check_rows(facts: DataFrame, only: set[str] | None = None, trusted: list[str
         only_image = (seen < 15) & (picture | image)
         add("image-only", F.when(only_image, "flag").otherwise("ok"), _list(F.when(only_image, "image-only")))
     if parts and wanted("text-html"):
-        share = once("share", C.text_overlap(text("text_body"), C.html_to_text(text("html_body", X.HTML_SCAN_CHARS))))
+        share = once("share", C.text_overlap(text("text_body"), page))
         add("text-html", F.when(share.isNull(), "na").when(share < 0.25, "flag").when(share < 0.5, "note").otherwise("ok"), _list(F.when(share < 0.5, "text-html-mismatch")))
 
-    whole = text("body", X.SCAN_CHARS) if "body" in have else F.substring(F.concat(text("text_body"), F.lit("\n"), C.html_to_text(text("html_body", X.HTML_SCAN_CHARS))), 1, X.SCAN_CHARS) if parts else None
+    whole = text("body", X.SCAN_CHARS) if "body" in have else F.substring(F.concat(text("text_body"), F.lit("\n"), page), 1, X.SCAN_CHARS) if parts else None
+    if whole is not None and parts:
+        whole = once("whole", whole)
     # Texts in which characters are looked for: body, subject, sender's name and link hosts.
     hosts = F.array_join(F.coalesce("link_hosts", F.array().cast("array<string>")), " ") if "link_hosts" in have else F.lit("")
     fields = {"subject": text("subject"), "name": text("from_name"), "body": whole if whole is not None else F.lit(""), "links": hosts}
@@ -162,7 +174,11 @@ def check_rows(facts: DataFrame, only: set[str] | None = None, trusted: list[str
             apart = F.coalesce(both & (F.get(a, F.lit(0)) != F.get(b, F.lit(0))), F.lit(False))
             add("script-mismatch", F.when(~both, "na").when(apart, "note").otherwise("ok"), _list(F.when(apart, "script-mismatch")))
         bound |= {"s_subject": C.script_profile(text("subject")), "s_body": C.script_profile(whole)}
-    once_ = facts.select("path", *(v.alias(n) for n, v in bound.items()))
+    # The page's text and what is scanned of the body first: several measures read them.
+    early = {n: bound.pop(n) for n in ("m_page", "m_whole") if n in bound}
+    for n, v in early.items():
+        facts = facts.withColumn(n, v)
+    once_ = facts.select("path", *early, *(v.alias(n) for n, v in bound.items()))
     return once_.select("path", F.explode(F.array(*rows)).alias("r")).select("path", "r.*")
 
 

@@ -35,7 +35,7 @@ def hops(received: DataFrame) -> DataFrame:
     body = F.when(v.contains(";"), F.regexp_extract(v, r"^(.*);", 1)).otherwise(v)
     text = F.regexp_replace(F.regexp_extract(v, r";\s*(?:[A-Za-z]{3},\s*)?([^;(]*?)\s*(?:\([^)]*\))?\s*$", 1), r"\s+", " ")
     part = lambda p, k=1, of=body: F.nullif(F.regexp_extract(of, p, k), F.lit(""))
-    comment = F.trim(F.regexp_extract(body, r"(?i)\bfrom\s+\S+\s*\(([^)]*(?:\([^)]*\)[^)]*)*)\)", 1))
+    comment = F.trim(F.regexp_extract(body, r"(?i)\bfrom\s+\S+\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)", 1))
     bare = F.regexp_extract(comment, r"(?:^|[\s(])([0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){2,7})(?=$|[\s)])", 1)
     bare = F.when(bare.contains("::") | (F.size(F.split(bare, ":")) == 8), bare)
     ip = F.coalesce(part(r"\[(?:IPv6:)?([0-9A-Fa-f:.]+)\]", of=comment), part(r"\b((?:\d{1,3}\.){3}\d{1,3})\b", of=comment), bare)
@@ -47,39 +47,41 @@ def hops(received: DataFrame) -> DataFrame:
     return out.withColumn("idx", F.row_number().over(W.partitionBy("path").orderBy(F.desc("pos")))).where(F.col("idx") <= X.HOP_CAP)
 
 
-def _host(name: Column) -> Column:
-    """Lower case, without brackets and the dot at the end; addresses in one form."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"^\[(?:ipv6:)?|\]$", ""), r"\.$", "")
-    return F.coalesce(C.canonical_ip(plain), plain)
+def _plain_host(name: Column) -> Column:
+    """Lower case, without brackets and the dot at the end."""
+    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"^\[(?:ipv6:)?|\]$|\.$", "")
 
 
-def hand_off(by: Column, sender: Column, comment: Column, ip: Column) -> Column:
-    """Whether a hop names the receiver of the hop before it: ok, broken or unknown.
+def hand_offs(pairs: DataFrame) -> DataFrame:
+    """Adds ``hand_off``: whether a hop names the receiver ``before`` it, ok, broken or unknown.
 
-    The same host or organisation, the receiver named in the comment, or its address count as the
-    same; without a name, or with a local one, nothing can be said. Addresses are compared in one
-    form, so 2001:DB8::1 is 2001:db8:0:0:0:0:0:1.
+    ``before``, ``from_host``, ``from_comment`` and ``from_ip`` are compared. The same host or
+    organisation, the receiver named in the comment, or its address count as the same; without a
+    name, or with a local one, nothing can be said. Addresses are compared in one form, so
+    2001:DB8::1 is 2001:db8:0:0:0:0:0:1. Each form is a column of its own and made once.
     """
-    by, sender, comment = _host(by), _host(sender), F.lower(F.coalesce(comment, F.lit("")))
-    address = C.canonical_ip(by).isNotNull()
-    org = F.when(address, by).otherwise(C.registrable_domain(by))
-    org_sender = F.when(C.canonical_ip(sender).isNotNull(), sender).otherwise(C.registrable_domain(sender))
-    named = comment.contains(by) | ((org != by) & comment.contains(org))
-    met = address & (C.canonical_ip(F.coalesce(ip, F.lit(""))) == by)
-    return (
-        F.when((by == "") | ((sender == "") & (comment == "")) | by.rlike(X.LOCAL_HOST), "unknown").when(named, "ok").when((sender == "") | sender.rlike(X.LOCAL_HOST), "unknown")
-        .when((by == sender) | (org == org_sender) | F.coalesce(met, F.lit(False)), "ok").otherwise("broken")
+    kept = pairs.columns
+    pairs = pairs.withColumns({"_by": _plain_host(F.col("before")), "_from": _plain_host(F.col("from_host")), "_said": F.lower(F.coalesce("from_comment", F.lit("")))})
+    pairs = pairs.withColumns({"_by_ip": C.canonical_ip(F.col("_by")), "_from_ip": C.canonical_ip(F.col("_from")), "_ip": C.canonical_ip(F.coalesce("from_ip", F.lit("")))})
+    pairs = pairs.withColumns({"_by_org": F.coalesce("_by_ip", C.registrable_domain(F.col("_by"))), "_from_org": F.coalesce("_from_ip", C.registrable_domain(F.col("_from"))), "_by": F.coalesce("_by_ip", "_by"), "_from": F.coalesce("_from_ip", "_from")})
+    by, sender, said = F.col("_by"), F.col("_from"), F.col("_said")
+    named = said.contains(by) | ((F.col("_by_org") != by) & said.contains(F.col("_by_org")))
+    same = (by == sender) | (F.col("_by_org") == F.col("_from_org")) | F.coalesce(F.col("_by_ip") == F.col("_ip"), F.lit(False))
+    state = (
+        F.when((by == "") | ((sender == "") & (said == "")) | by.rlike(X.LOCAL_HOST), "unknown").when(named, "ok")
+        .when((sender == "") | sender.rlike(X.LOCAL_HOST), "unknown").when(same, "ok").otherwise("broken")
     )
+    return pairs.select(*kept, state.alias("hand_off"))
 
 
 def chain(hops_: DataFrame) -> DataFrame:
     """Hops with ``delay_ms`` since the one before and the state of the hand-off from it."""
     order = W.partitionBy("path").orderBy("idx")
     millis = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
-    out = hops_.withColumn("delay_ms", (millis - F.lag(millis).over(order)).cast("long")).withColumn("before", F.lower(F.lag("by_host").over(order)))
-    given = lambda c: F.col(c) if c in hops_.columns else F.lit(None).cast("string")
-    state = F.when(F.col("idx") > 1, hand_off(F.col("before"), F.col("from_host"), given("from_comment"), given("from_ip")))
-    return out.withColumn("state", state).withColumn("travels", F.coalesce(F.col("delay_ms") < -300_000, F.lit(False)))
+    out = hops_.withColumns({c: F.lit(None).cast("string") for c in ("from_comment", "from_ip") if c not in hops_.columns})
+    out = out.withColumns({"delay_ms": (millis - F.lag(millis).over(order)).cast("long"), "before": F.lower(F.lag("by_host").over(order))})
+    out = hand_offs(out).withColumn("state", F.when(F.col("idx") > 1, F.col("hand_off"))).drop("hand_off")
+    return out.withColumn("travels", F.coalesce(F.col("delay_ms") < -300_000, F.lit(False)))
 
 
 def chain_totals(chained: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 
 
-from . import registry, senders  # noqa: F401
+from . import registry, senders, evidence, arrivals, leaves, decoding  # noqa: F401, I001
