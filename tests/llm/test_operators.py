@@ -230,6 +230,30 @@ def test_toxicity_scores_by_hand(spark):
         assert abs(score - 1 / (1 + math.exp(-max(-60, min(60, slope * max(logits) + shift))))) < 1e-6
 
 
+def test_toxicity_of_documents_held_out(spark):
+    """Whole documents of sf0.1 whose labels taught nothing: most toxic ones are caught, hardly any clean one is."""
+    d = "/root/testdata/sf0.1"
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    scored = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi"), labels, held_out)
+    rows = scored.where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    caught = [r.predicted for r in rows if r.toxic == 1]
+    alarms = [r.predicted for r in rows if r.toxic == 0]
+    assert len(caught) > 100 and sum(caught) >= 0.7 * len(caught) and sum(alarms) < 0.02 * len(alarms)
+
+
+def test_sample_passes_over_what_does_not_fit():
+    assert toxicity._fitting([(1, 0, 6), (2, 0, 5), (3, 0, 4), (4, 1, 11), (5, 1, 10)], 10) == [1, 3, 5]
+
+
+@pytest.mark.parametrize("absent", [0, 5000])
+def test_labels_of_absent_documents_take_no_place(spark, absent):
+    rows = [(k, ("you fool dunce " if k % 4 == 0 else "good day all ") + f"w{k} x{k % 7}") for k in range(80)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(80)] + [(k, k % 2) for k in range(1000, 1000 + absent)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs_of(spark, rows), labels, F.lit(False), sample=60).where("predicted = 1").select("doc_id").collect()
+    assert {r.doc_id for r in got} == {k for k in range(80) if k % 4 == 0}
+
+
 def test_toxicity_learns_from_the_end_of_long_texts(spark):
     """All labelled texts have more than 8000 characters, and the insults come after those."""
     r = random.Random(4)
