@@ -181,7 +181,9 @@ def mixed_script_words(text: Column) -> Column:
 
 
 def _literal_map(values: dict) -> Column:
-    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    """A map of fixed values, as one SQL literal."""
+    text = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(text(x) for pair in values.items() for x in pair) + ")")
 
 
 def _bound(value: Column, use) -> Column:
