@@ -53,4 +53,4 @@ def test_empty_documents(spark):
 
 
 def test_queries_are_one_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
