@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from mailcorpus.functions import columns as C
 from mailcorpus.functions import fixed as X
 from mailcorpus.functions import hosts
+from mailcorpus.shared import bucketed
 
 from . import checks, headers
 
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -41,12 +43,11 @@ def trust_evidence(table: DataFrame, chain: DataFrame) -> DataFrame:
     """Per path with trust headers: ``forgery`` (flags of inserted ones) and ``dmarc_top`` (the newest says dmarc=pass)."""
     rows = headers.auth_results(_named(table, "authentication-results")).withColumn("server", F.regexp_replace(F.coalesce("authserv", F.lit("")), r"^\[|\]$|\.$", ""))
     # One server that wrote two headers or more and disagrees with itself about a method.
-    methods = rows.where("server <> '' AND method <> ''").groupBy("path", "server", "method").agg(F.countDistinct("result").alias("results"))
-    disagree = methods.groupBy("path", "server").agg((F.max("results") > 1).alias("disagrees"))
-    wrote = rows.where("server <> ''").groupBy("path", "server").agg(F.countDistinct("pos").alias("headers"), F.max("pos").alias("lowest"))
-    servers = wrote.join(disagree, ["path", "server"], "left").join(chain.select("path", "last_received", "by_hosts"), "path", "left")
+    methods = rows.where("server <> ''").groupBy("path", "server", "method").agg(F.min("result").alias("least"), F.max("result").alias("most"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    wrote = methods.groupBy("path", "server").agg(F.bool_or((F.col("method") != "") & (F.col("least") < F.col("most"))).alias("disagrees"), F.min("first").alias("highest"), F.max("last").alias("lowest"))
+    servers = wrote.join(chain.select("path", "last_received", "by_hosts"), "path", "left")
     met = F.exists(F.coalesce("by_hosts", _none()), lambda h: C.aligned(F.regexp_replace(h, r"^\[|\]$|\.$", ""), F.col("server")))
-    conflict = F.bool_or((F.col("headers") > 1) & F.coalesce("disagrees", F.lit(False)))
+    conflict = F.bool_or((F.col("highest") < F.col("lowest")) & F.coalesce("disagrees", F.lit(False)))
     planted = F.bool_or(F.coalesce(F.col("lowest") > F.col("last_received"), F.lit(False)) & F.col("server").contains(".") & ~met)
     forged = servers.groupBy("path").agg(F.array_compact(F.array(F.when(conflict, "auth-results-conflict"), F.when(planted, "auth-results-planted"))).alias("forgery"))
     top = rows.groupBy("path", "pos").agg(F.bool_or((F.col("method") == "dmarc") & (F.col("result") == "pass")).alias("dmarc")).groupBy("path").agg(F.min_by("dmarc", "pos").alias("dmarc_top"))
@@ -96,6 +97,14 @@ def origin(internal: list[str]) -> Column:
     return F.when(~ours(F.col("from_domain")), "external").when(F.coalesce("hop_count", F.lit(0)) == 0, "unverified").when(~outside | vouched, "internal").otherwise("claims-internal")
 
 
+def stored(messages: DataFrame, table: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Messages and header rows, written once in the same buckets of their path.
+
+    On these, ``assemble`` shuffles only hosts of links; neither headers nor bodies move again.
+    """
+    return bucketed(messages, "messages", "path", buckets), bucketed(table, "headers", "path", buckets)
+
+
 def assemble(messages: DataFrame, table: DataFrame, internal: list[str] = ()) -> DataFrame:
     """Messages with all that the 20 checks read; ``table(path, pos, name, lower, value)`` has their headers.
 

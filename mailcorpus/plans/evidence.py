@@ -119,7 +119,7 @@ def facts(spark, d):
     """Messages assembled with what their headers and hosts say."""
     b = _boxed(spark, d)
     b = b.withColumns({"att_names": F.split("att_list", ";"), "from_address": F.concat(F.lit("u@"), "from_domain"), "url_domains": C.url_hosts(C.message_urls(F.col("text_body"), F.col("html_body")))})
-    return evidence.assemble(b, header_rows(spark, d), _INTERNAL)
+    return evidence.assemble(*evidence.stored(b, header_rows(spark, d)), _INTERNAL)
 
 
 def _all_checks(spark, d):
