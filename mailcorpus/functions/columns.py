@@ -47,28 +47,39 @@ def is_punycode(host: Column) -> Column:
     return F.coalesce(F.exists(F.split(F.lower(host), r"\."), lambda x: x.startswith("xn--")), F.lit(False))
 
 
+def is_ascii(text: Column) -> Column:
+    """As many bytes as characters: known without a look at any of them."""
+    return F.octet_length(text) == F.length(text)
+
+
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, X.INVISIBLE, "")
+    return F.when(is_ascii(text), text).otherwise(F.regexp_replace(text, X.INVISIBLE, ""))
 
 
 URL = r"(?i)\b(?:https?|hxxps?|ftp)://[^\s<>\"'()\[\]]+|\bwww\.[^\s<>\"'()\[\]]+"
 ATTRIBUTE = r"""(?i)\s(?:href|src)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""
 
 
+def _addresses(text: Column) -> Column:
+    """What URL finds; texts without a mark that every link holds are not searched."""
+    held = text.contains("://") | F.lower(text).contains("www.")
+    return F.when(held, F.regexp_extract_all(text, F.lit(URL), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
 def _links(found: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, lambda u: F.regexp_replace(F.trim(u), r"[.,;:!?)\]}'\"]+$", "")), lambda u: u != ""))
 
 
 def urls(text: Column) -> Column:
     """Distinct links in order, without the punctuation that ends them."""
-    return _links(F.regexp_extract_all(text, F.lit(URL), F.lit(0)))
+    return _links(_addresses(text))
 
 
 def message_urls(text: Column, page: Column) -> Column:
     """Distinct links of a text and of a page: of its href and src attributes, quoted or not, and of what it says."""
     attributes = F.transform(F.regexp_extract_all(page, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.regexp_replace(F.regexp_extract(a, r"(?s)=\s*(.*)$", 1), r"""(?s)^(["'])(.*)\1$""", "$2"))
     none = F.array().cast("array<string>")
-    parts = [F.regexp_extract_all(text, F.lit(URL), F.lit(0)), attributes, F.regexp_extract_all(page, F.lit(URL), F.lit(0))]
+    parts = [_addresses(text), attributes, _addresses(page)]
     return F.filter(_links(F.concat(*(F.coalesce(p, none) for p in parts))), lambda u: u.rlike(r"(?i)^(?:https?|hxxps?|ftp|www\.)"))
 
 
@@ -102,9 +113,15 @@ def urgency_score(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.when(head.contains(k), 1).otherwise(0) for k in X.URGENCY])
 
 
+#: What every match of an indicator holds, in lower case: texts with none of it are not searched for it.
+_FINANCIAL_MARKS = {"swift_bic": ["swift", "bic"], "routing_number": ["routing"], "crypto_wallet_eth": ["0x"], "gift_card_request": ["gift"]}
+
+
 def financial_indicators(text: Column) -> Column:
     head = F.substring(text, 1, X.SCAN_CHARS)
-    return F.array_compact(F.array(*(F.when(head.rlike(p), F.lit(k)) for k, p in X.FINANCIAL.items())))
+    low = F.lower(head)
+    held = lambda k: any_of([low.contains(m) for m in _FINANCIAL_MARKS[k]]) if k in _FINANCIAL_MARKS else F.lit(True)
+    return F.array_compact(F.array(*(F.when(held(k) & head.rlike(p), F.lit(k)) for k, p in X.FINANCIAL.items())))
 
 
 def brand_mismatch(name: Column, host: Column) -> Column:
@@ -146,28 +163,38 @@ def looks_random(text: Column, least: int = 12, bits: float = 3.5) -> Column:
 
 def hidden_chars(text: Column) -> Column:
     """Counts of zero-width, direction and override characters; joiners only between Latin letters or digits."""
-    text = F.regexp_replace(text, "^\ufeff", "")
-    count = lambda p: F.regexp_count(text, F.lit(p)).cast("int")
+    count = lambda p: F.regexp_count(inner, F.lit(p)).cast("int")
+    inner = F.regexp_replace(text, "^\ufeff", "")
     zero = count("[\u200b\u2060-\u2064\ufeff]") + count("(?<=[A-Za-z0-9])[\u200c\u200d](?=[A-Za-z0-9])")
     override = count("[\u202d\u202e]")
-    return F.struct(zero.alias("zero_width"), (override + count("[\u202a-\u202c\u2066-\u2069]")).alias("bidi"), override.alias("override"))
+    found = lambda z, b, o: F.struct(z.alias("zero_width"), b.alias("bidi"), o.alias("override"))
+    none = F.lit(0)
+    # Most texts hold none of these characters, which a look at their size or one pass tells.
+    clean = is_ascii(text) | ~text.rlike("[\u200b-\u200d\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]")
+    return F.when(clean, found(none, none, none)).otherwise(found(zero, override + count("[\u202a-\u202c\u2066-\u2069]"), override))
 
 
 def script_profile(text: Column) -> Column:
-    """Scripts with three letters and 5 % of the letters, most used first; else the most used one."""
-    count = lambda s: F.regexp_count(text, F.lit(f"[{X.SCRIPTS[s]}]")).cast("int")
-    counts = F.array(*(F.struct((-count(s)).alias("n"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(X.SCRIPTS)))
+    """Scripts with three letters and 5 % of the letters, most used first; else the most used one.
+
+    Letters are counted by the length that a text loses with them. One pass takes the Latin ones,
+    another all blocks that hold no other script; other letters are then counted in what is left.
+    """
+    lost = lambda t, letters: F.length(t) - F.length(F.regexp_replace(t, f"[{letters}]+", ""))
+    others = F.regexp_replace(text, r"[\x00-\u036f\u1d00-\u1eff\u2000-\u2bff]+", "")
+    counted = lambda rest: F.array(*(F.struct((-lost(text if s == "latin" else rest, v)).alias("n"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, (s, v) in enumerate(X.SCRIPTS.items())))
 
     def of(present: Column, total: Column) -> Column:
         large = F.filter(present, lambda c: (c["n"] <= -3) & (-c["n"] >= total * 0.05))
         return F.transform(F.when(F.size(large) > 0, large).otherwise(F.slice(present, 1, 1)), lambda c: c["s"])
 
     # One-element arrays bind the counts, and then their sum, to a variable: each is evaluated once.
-    present = F.transform(F.array(counts), lambda c: F.array_sort(F.filter(c, lambda x: x["n"] < 0)))
+    counts = F.transform(F.array(others), counted)
+    present = F.transform(counts, lambda c: F.array_sort(F.filter(c, lambda x: x["n"] < 0)))
     summed = F.transform(present, lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0), lambda a, c: a - c["n"]).alias("total")))
     used = F.transform(summed, lambda x: of(x["p"], x["total"]))[0]
     ascii_ = F.when(text.rlike("[A-Za-z]"), F.array(F.lit("latin"))).otherwise(F.array().cast("array<string>"))
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), ascii_).otherwise(used)
+    return F.when(is_ascii(text), ascii_).otherwise(used)
 
 
 def mixed_script_words(text: Column) -> Column:
@@ -177,7 +204,7 @@ def mixed_script_words(text: Column) -> Column:
     mixed = F.filter(words, lambda w: reduce(lambda a, b: a + b, [F.when(w.rlike(f"[{X.SCRIPTS[s]}]"), 1).otherwise(0) for s in X.CONFUSABLE_SCRIPTS]) >= 2)
     # Two of them are at least one that is not Latin.
     other = "".join(X.SCRIPTS[s] for s in X.CONFUSABLE_SCRIPTS if s != "latin")
-    return F.when(~text.rlike(f"[{other}]"), 0).otherwise(F.size(mixed))
+    return F.when(is_ascii(text) | ~text.rlike(f"[{other}]"), 0).otherwise(F.size(mixed))
 
 
 def _literal_map(values: dict) -> Column:
