@@ -11,6 +11,8 @@ article the good one) and middling ones the good one. A heading follows the bloc
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -45,10 +47,16 @@ _BAD_NAME = re.compile(
     re.I,
 )
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|main|story|body|text)(?=$|[\s_-])", re.I)
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?</\1\s*>|<(?:{ENDLESS})\b[^>]*>.*\Z|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>", re.S | re.I)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_RAW = re.compile(rf"<({RAW})\b[^>]*>", re.I)
+_RAW_END = re.compile(rf"</({RAW})\s*>", re.I)
+_ENDLESS = frozenset(ENDLESS.split("|"))
+_TAG = re.compile(r"<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
+#: Names that also head parts of an article: there they decide nothing, and a block must speak for itself.
+_WEAK_NAME = re.compile(r"(?:discussion|legal|side)", re.I)
 SHORT, LONG = 70, 200
 LOW, HIGH = 0.08, 0.16
 LINKS = 0.4
@@ -61,8 +69,9 @@ class _Block:
         self.parts, self.linked, self.bad, self.article, self.heading, self.label = [], 0, bad, article, heading, ""
 
 
-def _traits(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is to be left out, and whether it is an article."""
+def _traits(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is to be left out, whether it is an article, and whether it is a part of one that may be no text of it."""
+    weak = False
     bad = tag in BAD_TAGS or (tag == "header" and not inside)
     article = tag in ("article", "main")
     for m in _ATTRIBUTE.finditer(attributes):
@@ -71,17 +80,59 @@ def _traits(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
             bad |= value.lower() in BAD_ROLES
             article |= value.lower() in ("main", "article")
         elif name in ("class", "id"):
-            if not article and tag not in ("body", "html") and _BAD_NAME.search(value):
+            names = [m[0].strip(" \t\r\n\f_-") for m in _BAD_NAME.finditer(value)] if not article and tag not in ("body", "html") else []
+            if names and inside and all(map(_WEAK_NAME.fullmatch, names)):
+                weak = True
+            elif names:
                 bad |= not _GOOD_NAME.search(value) or bool(re.search(r"comment|sidebar|footer|advert|cookie", value, re.I))
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             bad = True
-    return bad, article
+    return bad, article, weak
+
+
+def _tags(page: str):
+    """Start, end, name, whether it closes, and attributes of each tag in order.
+
+    Comments and declarations have no name, elements whose content is no text are one tag named
+    ``raw``. Their end tags are listed first, so that one without an end costs no look at the rest
+    of the page; behind the last ``>`` only a comment can begin. The time is linear in the page.
+    """
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in _RAW_END.finditer(page):
+        ends.setdefault(m[1].casefold(), []).append(m.span())
+    last, at = page.rfind(">"), page.find("<")
+    while at >= 0:
+        start = at
+        m = _COMMENT.match(page, at)
+        if m:
+            at = m.end()
+            yield start, at, "", False, ""
+        elif at < last:
+            m = _RAW.match(page, at)
+            name = m[1].casefold() if m else ""
+            spans = ends.get(name, [])
+            k = bisect_left(spans, (m.end(), 0)) if m else 0
+            if k < len(spans):
+                at = spans[k][1]
+                yield start, at, "raw", False, ""
+            elif name in _ENDLESS:
+                yield start, len(page), "", False, ""
+                return
+            elif m := _TAG.match(page, at):
+                at = m.end()
+                yield start, at, (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+            else:
+                at += 1
+        else:
+            at += 1
+        at = page.find("<", at)
 
 
 def _blocks(page: str) -> list[tuple[str, int, _Block]]:
     """Non-empty blocks in order: text, characters under links, block."""
     out: list[_Block] = []
     stack: list[tuple[str, bool, bool]] = []
+    depth: Counter[str] = Counter()
     block = _Block(False, False, False)
     links, at = 0, 0
 
@@ -91,30 +142,29 @@ def _blocks(page: str) -> list[tuple[str, int, _Block]]:
             if links:
                 block.linked += len(piece.strip())
 
-    for m in _TAG.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[3] or m[6]
-        if not tag:
-            if m[1]:
-                text(" ")
-            continue
-        tag, closing, attributes = tag.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
-        if tag == "a":
+    for start, end, tag, closing, attributes in _tags(page):
+        text(page[at:start])
+        at = end
+        if tag == "raw":
+            text(" ")
+        elif tag == "a":
             links = 0 if closing else 1
         elif tag in BLOCK:
             links = 0
             bad, article = (stack[-1][1:] if stack else (False, False))
             if closing:
-                if tag in HOLDERS and any(s[0] == tag for s in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                while tag in HOLDERS and depth[tag]:
+                    name = stack.pop()[0]
+                    depth[name] -= 1
+                    if name == tag:
+                        break
                 bad, article = (stack[-1][1:] if stack else (False, False))
             else:
-                own_bad, own_article = _traits(tag, attributes, article)
-                bad, article = bad or own_bad, article or own_article
+                own_bad, own_article, weak = _traits(tag, attributes, article)
+                bad, article = bad or own_bad, (article or own_article) and not weak
                 if tag in HOLDERS and not attributes.endswith("/"):
                     stack.append((tag, bad, article))
+                    depth[tag] += 1
             out.append(block)
             block = _Block(bad, article, not closing and len(tag) == 2 and tag[0] == "h" and tag[1] in "123456")
         elif tag == "br" or tag == "img" or tag == "input":
@@ -132,6 +182,13 @@ def _blocks(page: str) -> list[tuple[str, int, _Block]]:
 def extract(page: str | None) -> str:
     """The main text of a page; empty if there is none."""
     blocks = _blocks(page or "")
+    first = _first(blocks)
+    settled = _settled(first, [b.heading for _, _, b in blocks], [b.article for _, _, b in blocks])
+    return "\n".join(words for (words, _, _), good in zip(blocks, settled) if good)
+
+
+def _first(blocks: list[tuple[str, int, _Block]]) -> list[str]:
+    """The first pass: good, bad, short or middling."""
     for words, linked, b in blocks:
         density = 0.0
         if len(words) >= SHORT:
@@ -152,6 +209,11 @@ def extract(page: str | None) -> str:
         for k, (_, _, b) in enumerate(blocks):
             if not b.bad and (b.article or first[k] == "middling") and first[k] != "bad":
                 first[k] = "good"
+    return first
+
+
+def _settled(first: list[str], heading: list[bool], article: list[bool]) -> list[bool]:
+    """The second pass: which blocks are good once open ones have the label of their decided neighbours."""
     before, seen = [], None
     for k, label in enumerate(first):
         before.append(seen)
@@ -160,23 +222,21 @@ def extract(page: str | None) -> str:
     for k in range(len(first) - 1, -1, -1):
         after[k] = seen
         seen = k if first[k] in ("good", "bad") else seen
-    kept = []
-    for k, (words, _, b) in enumerate(blocks):
-        label = first[k]
+    out = []
+    for k, label in enumerate(first):
         if label in ("short", "middling"):
             near = [i for i in (before[k], after[k]) if i is not None]
             labels = {first[i] for i in near}
             if len(labels) < 2:
                 label = labels.pop() if labels else "bad"
-            elif b.heading:
+            elif heading[k]:
                 label = first[after[k]]
-            elif label == "middling" or b.article:
+            elif label == "middling" or article[k]:
                 label = "good"
             else:
                 label = first[min(near, key=lambda i: abs(i - k))]
-        if label == "good":
-            kept.append(words)
-    return "\n".join(kept)
+        out.append(label == "good")
+    return out
 
 
 def _extracted(batches):
