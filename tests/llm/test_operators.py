@@ -362,6 +362,25 @@ def test_nearest_neighbours_with_fewer_than_all_lists(spark):
     assert hit / (150 * 20) > 0.9
 
 
+def test_nearest_neighbours_of_uneven_vectors(spark):
+    """Few long vectors, a common offset, near copies: the result is the exact one, order and scores included."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 16)) * np.exp(1.5 * rng.normal(size=(2400, 1)))
+    x[:600] = 50 + rng.normal(size=(600, 16))
+    x[600:1200] = x[600] + 1e-3 * rng.normal(size=(600, 16))
+    x[1200:1220] *= 1e3
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 2400, 20):
+        s = np.cumsum(x.astype(float) * x[q].astype(float), axis=1)[:, -1]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(2400), -s))[:20]
+        assert got[q] == [(int(i), float(s[i])) for i in want]
+
+
 def test_contamination(spark):
     r = random.Random(6)
     v = [f"w{k}" for k in range(300)]
