@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from mailcorpus.functions import columns as C
 from mailcorpus.operators import domains
 
 
@@ -11,3 +12,12 @@ def test_long_lists_are_not_broadcast(spark):
     near = domains.near_hosts(hosts, spark.range(1000).select(F.format_string("host%d.example", "id").alias("listed")))
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_digests_are_no_wallets(spark):
+    """A token of 40 hex digits may begin with bc1."""
+    texts = ['token = "bc1' + "9f" * 18 + '0"', "send to bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq", "bc1" + "q" * 59, "bc1" + "q" * 39 + "0", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = {r.k: r.f for r in df.select("k", C.financial_indicators(F.col("t")).alias("f")).collect()}
+    wallet = ["crypto_wallet_btc"]
+    assert found == {0: [], 1: wallet, 2: wallet, 3: [], 4: wallet}
