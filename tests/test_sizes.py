@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mailcorpus.functions import columns as C
 from mailcorpus.operators import domains
+from mailcorpus.plans import decoding
 
 
 def test_long_lists_are_not_broadcast(spark):
@@ -21,3 +22,8 @@ def test_digests_are_no_wallets(spark):
     found = {r.k: r.f for r in df.select("k", C.financial_indicators(F.col("t")).alias("f")).collect()}
     wallet = ["crypto_wallet_btc"]
     assert found == {0: [], 1: wallet, 2: wallet, 3: [], 4: wallet}
+
+
+def test_messages_are_made_by_many_tasks(spark, tmp_path):
+    spark.range(200).selectExpr("id AS doc_id").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert decoding._files(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
