@@ -5,6 +5,7 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
+from mailcorpus.functions import columns as C
 from mailcorpus.operators import checks
 from mailcorpus.plans import registry
 
@@ -43,3 +44,12 @@ def test_accented_letters_are_latin_by_default(spark):
     status = lambda **more: {r.path: r.status for r in checks.check_rows(m, {"body-script"}, **more).where(F.col("check") == "body-script").collect()}
     assert status() == {"p": "ok", "q": "note", "r": "ok"}
     assert status(unaccented=True) == {"p": "na", "q": "note", "r": "na"}
+
+
+def test_references_cut_before_their_semicolon(spark, tmp_path):
+    """Titles are cut at a length, within a reference too."""
+    ends = ["&quot", "&quo", "&am", "&amp", "&a", "&", "&lt", "&gt", "&nbsp", "&copy", "&quot;", "&amp;quot", "&amp quot;"]
+    rows = [(k, f"http://p.example/{k}", f"<title>a token = {e}</title><h1>A token = {e}</h1><p>a token = &quot;1&quot; &amp; b {e}") for k, e in enumerate(ends)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    _compare(spark, tmp_path, ["page_text"], pages=pages)
+    assert [r.t for r in pages.select("page_id", C.html_to_text(F.col("html")).alias("t")).where("page_id IN (0, 6)").sort("page_id").collect()] == ['A token = "\na token = "1" & b "', 'A token = <\na token = "1" & b <']
