@@ -53,3 +53,13 @@ def test_references_cut_before_their_semicolon(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     _compare(spark, tmp_path, ["page_text"], pages=pages)
     assert [r.t for r in pages.select("page_id", C.html_to_text(F.col("html")).alias("t")).where("page_id IN (0, 6)").sort("page_id").collect()] == ['A token = "\na token = "1" & b "', 'A token = <\na token = "1" & b <']
+
+
+def _late(spark):
+    """Messages whose marks stand on both sides of the 20 000th character, or far behind it."""
+    marks = ["IBAN DE89370400440532013000 thanks", "kindly act now, this is urgent", "wire funds asap to GB82WEST12345698765432 immediately", "nothing"]
+    return _documents(spark, ["word " * n + marks[k % 4] for n in (3_998, 9_000) for k in range(80)])
+
+
+def test_indicators_of_whole_bodies(spark, tmp_path):
+    _compare(spark, tmp_path, ["indicator_export", "search_financial", "rule_statistics"], documents=_late(spark))
