@@ -62,4 +62,4 @@ def _late(spark):
 
 
 def test_indicators_of_whole_bodies(spark, tmp_path):
-    _compare(spark, tmp_path, ["indicator_export", "search_financial", "rule_statistics"], documents=_late(spark))
+    _compare(spark, tmp_path, ["indicator_export", "indicator_export_scope", "search_financial", "rule_statistics"], documents=_late(spark))
