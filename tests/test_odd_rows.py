@@ -63,3 +63,7 @@ def _late(spark):
 
 def test_indicators_of_whole_bodies(spark, tmp_path):
     _compare(spark, tmp_path, ["indicator_export", "indicator_export_scope", "search_financial", "rule_statistics"], documents=_late(spark))
+
+
+def test_rules_on_whole_bodies(spark, tmp_path):
+    _compare(spark, tmp_path, ["starter_rules", "rule_statistics", "search_urgency", "search_ranked"], documents=_late(spark))
