@@ -66,4 +66,4 @@ def test_indicators_of_whole_bodies(spark, tmp_path):
 
 
 def test_rules_on_whole_bodies(spark, tmp_path):
-    _compare(spark, tmp_path, ["starter_rules", "rule_statistics", "search_urgency", "search_ranked"], documents=_late(spark))
+    _compare(spark, tmp_path, ["starter_rules", "rule_statistics", "urgency_and_money", "search_urgency", "search_ranked"], documents=_late(spark))
