@@ -13,7 +13,8 @@ from .test_registry import SF, TABLES, plain
 
 
 def _compare(spark, folder, names, **given):
-    """Rows of the queries on ``given`` tables and those of sf0.001 are those of their SQL."""
+    """Rows of the queries on ``given`` tables and those of sf0.001, which must be those of their SQL."""
+    found = {}
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
     for t in TABLES:
@@ -26,6 +27,8 @@ def _compare(spark, folder, names, **given):
         got, want = registry.QUERIES[name](spark, str(folder)).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns), name
         assert plain(got) == plain(want), name
+        found[name] = set(got.itertuples(index=False, name=None))
+    return found
 
 
 def _documents(spark, texts):
@@ -62,8 +65,14 @@ def _late(spark):
 
 
 def test_indicators_of_whole_bodies(spark, tmp_path):
-    _compare(spark, tmp_path, ["indicator_export", "indicator_export_scope", "search_financial", "rule_statistics"], documents=_late(spark))
+    found = _compare(spark, tmp_path, ["indicator_export", "indicator_export_scope", "search_financial", "rule_statistics"], documents=_late(spark))
+    # Every second message has an IBAN of its own, every eleventh gets one by the view; failed are those with id % 4 = 1.
+    held = [k for k in range(160) if k % 2 == 0 or k % 11 == 0]
+    assert ("financial", "iban", len(held)) in found["indicator_export"]
+    assert ("financial", "iban", sum(k % 4 == 1 for k in held)) in found["indicator_export_scope"]
 
 
 def test_rules_on_whole_bodies(spark, tmp_path):
-    _compare(spark, tmp_path, ["starter_rules", "rule_statistics", "urgency_and_money", "search_urgency", "search_ranked"], documents=_late(spark))
+    found = _compare(spark, tmp_path, ["starter_rules", "rule_statistics", "urgency_and_money", "search_urgency", "search_ranked"], documents=_late(spark))
+    assert {("box1/m1.eml", 3, ""), ("box2/m2.eml", 3, "iban"), ("box4/m81.eml", 3, ""), ("box5/m82.eml", 3, "iban")} <= found["urgency_and_money"]
+    assert {("high-urgency-score", "box4/m81.eml"), ("bec-combined-signal", "box2/m2.eml"), ("financial-indicator", "box5/m82.eml")} <= found["starter_rules"]
